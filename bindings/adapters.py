@@ -30,7 +30,7 @@ def _lines(df: DataFrame, *keep: str) -> DataFrame:
     return exploded.filter(F.length("line") >= fixed.MIN_QUOTE_LENGTH)
 
 
-def _quotes_from(documents: DataFrame) -> DataFrame:
+def document_quotes(documents: DataFrame) -> DataFrame:
     doc, line = F.col("doc_id"), F.col("line")
     kind = (doc + F.length(line)) % 29
     worded = (
@@ -79,7 +79,7 @@ def labelled(spark: SparkSession, sf_dir: str, condition: str) -> DataFrame:
 
 
 def bronze_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _quotes_from(documents(spark, sf_dir)).drop("doc_id")
+    return document_quotes(documents(spark, sf_dir)).drop("doc_id")
 
 
 def bronze_supplemental(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,7 @@ def bronze_supplemental(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(translated, F.concat(F.lit("https://example.test/t/"), conv)).alias("translation_url"),
         minutes_after_base(conv * 3 + turn).alias("reviewed_at"),
     )
-    repeated = _quotes_from(labelled(spark, sf_dir, "quality = 1 and toxic = 1")).select(
+    repeated = document_quotes(labelled(spark, sf_dir, "quality = 1 and toxic = 1")).select(
         "thinker_qid",
         "thinker_name",
         "text",
@@ -139,7 +139,7 @@ def bronze_thinkers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labelled_ids(spark: SparkSession, sf_dir: str, condition: str) -> DataFrame:
-    rows = _quotes_from(labelled(spark, sf_dir, condition))
+    rows = document_quotes(labelled(spark, sf_dir, condition))
     identity = ids.quote_id(F.col("thinker_qid"), text.clean_text(F.col("text")))
     return rows.select("doc_id", "thinker_qid", identity.alias("quote_id"))
 
@@ -200,3 +200,229 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(user % 4 == 0, "verificada").when(user % 4 == 1, "obra").alias("category"),
         F.when(value < 30, ((F.floor(value / 10) + 2) * 60).cast("long")).alias("max_length"),
     )
+
+
+def raw_supplemental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV-shaped text records: conversation lines with faults of every kind, and document lines."""
+    conv, line = F.col("conv_id"), F.col("line")
+    translated = F.col("role") == "assistant"
+    blank = F.lit("")
+    spoken = _lines(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role").select(
+        F.lit("conversations").alias("source_file"),
+        (conv * 1000000 + F.col("turn") * 10000 + F.col("line_no")).alias("line_number"),
+        F.when(conv % 43 != 0, F.concat(F.lit("src"), conv % 23)).alias("thinker_qid"),
+        F.concat(F.lit(" SRC"), conv % 29).alias("thinker_name"),
+        F.concat(F.lit("\t"), line, F.lit(" ")).alias("text"),
+        F.when(translated, F.concat(F.lit("[o] "), line)).otherwise(blank).alias("original_text"),
+        F.when(translated | (conv % 47 == 0), "fr").otherwise(blank).alias("original_language"),
+        F.when(conv % 41 == 0, "outra").otherwise("obra").alias("category"),
+        F.when(translated, "Conversas").otherwise(blank).alias("work"),
+        F.concat(F.when(conv % 31 == 0, "http").otherwise("https"), F.lit("://example.test/c/"), conv).alias("source_url"),
+        F.lit("Edition").alias("source_name"),
+        F.lit("Public domain").alias("source_license"),
+        F.when(conv % 37 == 0, "x1").when(conv % 37 == 1, "0").otherwise((conv + 1).cast("string")).alias("source_revision"),
+        F.when(translated & (conv % 17 != 0), F.concat(F.lit("Tradutor "), conv % 5)).otherwise(blank).alias("translator_name"),
+        F.when(translated, "CC0 1.0").otherwise(blank).alias("translation_license"),
+        F.when(translated, F.concat(F.when(conv % 19 == 0, "http").otherwise("https"), F.lit("://example.test/t/"), conv))
+        .otherwise(blank)
+        .alias("translation_url"),
+        F.when(conv % 23 == 0, "2026-01-01T00:00:00")
+        .when(conv % 23 == 1, "yesterday")
+        .when(conv % 23 == 2, "2026-01-01T00:00:00+02:00")
+        .otherwise("2026-01-01T00:00:00Z")
+        .alias("reviewed_at"),
+    )
+    doc = F.col("doc_id")
+    written = _lines(documents(spark, sf_dir), "doc_id", "source").select(
+        F.lit("documents").alias("source_file"),
+        (doc * 100000 + F.col("line_no")).alias("line_number"),
+        F.col("source").alias("thinker_qid"),
+        F.upper("source").alias("thinker_name"),
+        line.alias("text"),
+        F.lit(None).cast("string").alias("original_text"),
+        F.lit(None).cast("string").alias("original_language"),
+        F.lit("verificada").alias("category"),
+        F.lit(None).cast("string").alias("work"),
+        F.concat(F.lit("https://example.test/d/"), doc).alias("source_url"),
+        F.lit("Edition").alias("source_name"),
+        F.lit("Public domain").alias("source_license"),
+        (doc + 1).cast("string").alias("source_revision"),
+        F.lit(None).cast("string").alias("translator_name"),
+        F.lit(None).cast("string").alias("translation_license"),
+        F.lit(None).cast("string").alias("translation_url"),
+        F.lit("2026-01-01T00:00:00Z").alias("reviewed_at"),
+    )
+    return spoken.unionByName(written)
+
+
+def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw fetch results: resolution, page and entity documents as JSON, with failures of every kind."""
+    page = F.col("page_id")
+    props = F.struct(F.when(page % 11 != 0, F.concat(F.lit("Q"), page)).alias("wikibase_item"))
+    resolved = F.struct(
+        F.struct(F.array(F.struct(F.col("url").alias("title"), props.alias("pageprops"))).alias("pages")).alias("query")
+    )
+    revision = F.when(page % 13 == 0, F.concat(F.lit('"'), page, F.lit('"'))).otherwise(page.cast("string"))
+    # Keys out of order and with blanks: the canonical form has neither.
+    raw_page = F.concat(
+        F.lit('{ "parse": {"text": '),
+        F.regexp_extract(F.to_json(F.struct("html")), r"(?s)^\{.html.:(.*)\}\z", 1),
+        F.lit(', "revid": '),
+        revision,
+        F.lit("} }"),
+    )
+    entity = F.concat(F.lit('{"entities": {"Q'), page, F.lit('": {}}}'))
+    return spread(table(spark, sf_dir, "pages"), "page_id").select(
+        F.concat(F.lit("page "), page).alias("requested_name"),
+        minutes_after_base(page).alias("fetched_at"),
+        F.to_json(resolved).alias("resolution"),
+        raw_page.alias("wikiquote"),
+        entity.alias("wikidata"),
+        F.when(page % 17 == 0, "ConnectError").alias("fetch_error"),
+    )
+
+
+def entity_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as claims: sixteen events make the record of one entity."""
+    event, user, value = F.col("event_id"), F.col("user_id"), F.col("value")
+    pids = [*fixed.LABELLED_PROPERTIES, fixed.BIRTH_DATE, fixed.DEATH_DATE, fixed.INFLUENCED_BY]
+    pid = F.element_at(F.array(*[F.lit(p) for p in pids]), (user % 9 + 1).cast("int"))
+    is_time = F.col("pid").isin(fixed.BIRTH_DATE, fixed.DEATH_DATE)
+    key = F.get_json_object("props", "$.k").cast("long")
+
+    def padded(number: Column, width: int) -> Column:
+        return F.lpad(number.cast("string"), width, "0")
+
+    time = F.concat(
+        F.when(event % 3 == 0, "-").otherwise("+"),
+        padded(event * 7 % 2100, 4),
+        F.lit("-"),
+        padded(event % 13, 2),
+        F.lit("-"),
+        padded(event % 29, 2),
+        F.lit("T00:00:00Z"),
+    )
+    return (
+        table(spark, sf_dir, "events")
+        .withColumn("pid", pid)
+        .select(
+            F.concat(F.lit("Q"), F.floor(event / 16)).alias("qid"),
+            "pid",
+            (event % 16).cast("int").alias("pos"),
+            F.when(value < 5, "preferred").when(value > 100, "deprecated").otherwise("normal").alias("rank"),
+            F.when(user % 31 == 0, "string").when(is_time, "time").otherwise("wikibase-entityid").alias("vtype"),
+            F.when(~is_time & (user % 31 != 0), F.concat(F.lit("L"), key * 25 + user % 25)).alias("ref_id"),
+            F.when(is_time & (user % 31 != 0), time).alias("time"),
+            F.when(is_time & (user % 31 != 0), event % 7 + 6).cast("int").alias("precision"),
+            "event_id",
+            "event_type",
+            "user_id",
+        )
+    )
+
+
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity_events(spark, sf_dir).drop("event_id", "event_type", "user_id")
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    qids = entity_events(spark, sf_dir).select("qid").distinct()
+    return qids.withColumn("name", F.concat(F.lit("Entity "), "qid"))
+
+
+def descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lang = F.when(F.col("event_type") == "view", "pt").when(F.col("event_type") == "click", "en").otherwise("fr")
+    return entity_events(spark, sf_dir).select(
+        "qid", lang.alias("lang"), F.concat(F.col("event_type"), F.lit(" "), "user_id").alias("value")
+    )
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names as labels: some ids have both languages, some one, some none."""
+    part = table(spark, sf_dir, "part")
+    qid = F.concat(F.lit("L"), "p_partkey").alias("qid")
+    portuguese = part.filter(F.col("p_size") % 2 == 1).select(
+        qid, F.lit("pt").alias("lang"), F.concat("p_name", F.lit(" (pt)")).alias("value")
+    )
+    english = part.filter(F.col("p_size") % 5 != 0).select(qid, F.lit("en").alias("lang"), F.col("p_name").alias("value"))
+    return portuguese.unionByName(english)
+
+
+def entity_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims as the JSON documents they come in, sixteen claims at most in each."""
+    value = F.when(F.col("vtype") == "time", F.to_json(F.struct("time", "precision"))).when(
+        F.col("vtype") == "wikibase-entityid", F.to_json(F.struct(F.col("ref_id").alias("id")))
+    )
+    claim = F.concat(
+        F.lit('{"rank":"'), "rank", F.lit('","mainsnak":{"datavalue":{"type":"'), "vtype", F.lit('","value":'),
+        F.coalesce(value, F.lit('"text"')), F.lit("}}}"),
+    )
+    statements = (
+        entity_events(spark, sf_dir)
+        .groupBy("qid", "pid")
+        .agg(F.array_sort(F.collect_list(F.struct("event_id", claim.alias("claim")))).alias("listed"))
+    )
+    property_json = F.concat(
+        F.lit('"'), "pid", F.lit('":['), F.array_join(F.transform("listed", lambda x: x["claim"]), ","), F.lit("]")
+    )
+    return statements.groupBy("qid").agg(
+        F.concat(F.lit("{"), F.array_join(F.collect_list(property_json), ","), F.lit("}")).alias("claims")
+    )
+
+
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(
+        F.concat(F.lit("P"), "p_partkey").alias("thinker_qid"),
+        F.col("p_name").alias("thinker_name"),
+        F.concat("p_name", F.lit(" "), "p_brand").alias("wikiquote_title"),
+        F.when(F.col("p_size") % 3 != 0, F.concat(F.lit("E"), "p_partkey")).alias("entity_qid"),
+    )
+
+
+def name_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name, every word of a name, and every nation, as search text."""
+    known = table(spark, sf_dir, "part").select("p_name").distinct()
+    words = known.select(F.explode(F.split("p_name", " ")).alias("query_text"))
+    nations = table(spark, sf_dir, "nation").select(F.col("n_name").alias("query_text"))
+    texts = known.select(F.upper("p_name").alias("query_text")).unionByName(words).unionByName(nations).distinct()
+    return texts.select(F.col("query_text").alias("query_id"), "query_text")
+
+
+def section_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages and lines as blocks; short lines are headings."""
+    line = F.col("line")
+    lines = documents(spark, sf_dir).select(
+        "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
+    )
+    size = F.length(line)
+    heading = (
+        F.when(size % 6 == 0, "Verificadas")
+        .when(size % 6 == 1, F.concat(F.lit(" Atribuídas ("), size, F.lit(") ")))
+        .when(size % 6 == 2, F.lit("Sobre (o autor)"))
+        .when(size % 6 == 3, "REFERÊNCIAS")
+        .otherwise(line)
+    )
+    is_heading = size < fixed.SHORT_TEXT_BELOW
+    return lines.select(
+        "doc_id",
+        "line_no",
+        is_heading.alias("is_heading"),
+        F.when(is_heading, heading).otherwise(F.concat(F.lit("“"), line, F.lit('" '))).alias("text"),
+    )
+
+
+def metadata_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Build metadata of one dataset per order, with faults of every kind."""
+    order = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("d"), F.floor(order / F.when(order % 19 == 0, 1).otherwise(2))).alias("dataset"),
+        F.when(order % 11 == 0, 2).otherwise(3).alias("schema_version"),
+        F.when(order % 7 == 0, "XYZ").otherwise(F.left(F.sha2(order.cast("string"), 256), F.lit(16))).alias("dataset_version"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("source_fetched_at"),
+        F.lit("3").alias("pipeline_version"),
+        F.lit("1").alias("parser_version"),
+        F.when(order % 13 == 0, "  ").otherwise(F.concat(F.lit("run-"), order)).alias("run_id"),
+        F.when(order % 17 == 0, "invalid").otherwise(F.sha2(order.cast("string"), 256)).alias("manifest_sha256"),
+        F.when(order % 23 != 0, F.col("o_orderstatus")).alias("source_commit"),
+    )
+    return rows

@@ -8,8 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindings import adapters as given
+from lapidary.functions import text
+from lapidary.functions.dates import partial_date
+from lapidary.operators import picks
+from lapidary.operators import violations as v
+from lapidary.plans import checks, extraction, profiles, publication, reports, search, selection, silver
 from lapidary.plans import gold as gold_plan
-from lapidary.plans import reports, silver
+from lapidary.sources import entities, snapshots, supplemental
+from lapidary.sources import pages as page_source
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -97,3 +103,374 @@ def collection_coverage(spark, sf_dir):
 @query
 def collection_audit(spark, sf_dir):
     return reports.collection_audit(_gold(spark, sf_dir), _dim(spark, sf_dir), given.members(spark, sf_dir))
+
+
+def _relations(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    gold, queue = _gold(spark, sf_dir), given.queue(spark, sf_dir)
+    return {
+        "stg_quotes": _silver(spark, sf_dir),
+        "dim_thinkers": _dim(spark, sf_dir),
+        "fct_quotes": gold,
+        "editorial_review_queue": gold_plan.review_queue(queue, gold),
+        "daily_quote_selection": given.allowlist(spark, sf_dir),
+        "quote_review_queue": queue,
+    }
+
+
+@query
+def not_null_violations(spark, sf_dir):
+    return checks.not_null(_relations(spark, sf_dir))
+
+
+@query
+def unique_violations(spark, sf_dir):
+    """Uniqueness before and after deduplication: bronze occurrences repeat, silver ones do not."""
+    union = silver.union_sources(given.bronze_quotes(spark, sf_dir), given.bronze_supplemental(spark, sf_dir))
+    bronze = v.repeated_keys(silver.identify(union), ["occurrence_id"]).withColumnRenamed("occurrence_id", "key")
+    return checks.unique(_relations(spark, sf_dir)).unionByName(
+        bronze.select(F.lit("bronze").alias("relation"), "key", "occurrences")
+    )
+
+
+@query
+def accepted_values_violations(spark, sf_dir):
+    return checks.accepted_values(_relations(spark, sf_dir))
+
+
+@query
+def relationship_violations(spark, sf_dir):
+    return checks.relationships(_relations(spark, sf_dir))
+
+
+@query
+def row_rule_violations(spark, sf_dir):
+    return checks.row_level_summary(_gold(spark, sf_dir))
+
+
+@query
+def translation_provenance_violations(spark, sf_dir):
+    return _flat(checks.translation_provenance(_silver(spark, sf_dir)))
+
+
+@query
+def source_artifact_violations(spark, sf_dir):
+    return checks.source_artifacts(_silver(spark, sf_dir))
+
+
+@query
+def citation_only_daily_violations(spark, sf_dir):
+    return checks.citation_only_daily(_gold(spark, sf_dir))
+
+
+@query
+def attribution_section_daily_violations(spark, sf_dir):
+    return checks.attribution_section_daily(_gold(spark, sf_dir))
+
+
+@query
+def supplemental_repeats(spark, sf_dir):
+    return checks.supplemental_repeats(_silver(spark, sf_dir))
+
+
+@query
+def daily_count_violations(spark, sf_dir):
+    return checks.daily_counts(_gold(spark, sf_dir), _dim(spark, sf_dir))
+
+
+@query
+def queue_missing(spark, sf_dir):
+    return checks.queue_missing(given.queue(spark, sf_dir), _gold(spark, sf_dir))
+
+
+@query
+def queue_already_approved(spark, sf_dir):
+    return checks.queue_already_approved(given.queue(spark, sf_dir), _gold(spark, sf_dir))
+
+
+@query
+def queue_hard_failures(spark, sf_dir):
+    return checks.queue_hard_failures(given.queue(spark, sf_dir), _gold(spark, sf_dir))
+
+
+@query
+def queue_balance(spark, sf_dir):
+    return checks.queue_balance(given.queue(spark, sf_dir), _dim(spark, sf_dir), expected=14, exempt=("src7",))
+
+
+def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return given.members(spark, sf_dir).select("thinker_name").distinct()
+
+
+@query
+def missing_thinkers(spark, sf_dir):
+    return checks.missing_thinkers(_expected(spark, sf_dir), _dim(spark, sf_dir))
+
+
+@query
+def thinkers_without_eligible(spark, sf_dir):
+    return checks.thinkers_without_eligible(_expected(spark, sf_dir), _gold(spark, sf_dir), _dim(spark, sf_dir))
+
+
+@query
+def wrong_daily_counts(spark, sf_dir):
+    return checks.wrong_daily_counts(_gold(spark, sf_dir), _dim(spark, sf_dir))
+
+
+@query
+def publication_gates(spark, sf_dir):
+    gold, dim = _gold(spark, sf_dir), _dim(spark, sf_dir)
+    provenance = snapshots.manifest_summary(
+        snapshots.manifest(snapshots.source_records(given.fetched_pages(spark, sf_dir)), "run")
+    ).filter("status = 'complete'")
+    return publication.gate_violations(gold, dim, _expected(spark, sf_dir), provenance)
+
+
+@query
+def serving_quotes(spark, sf_dir):
+    return publication.serving_quotes(_gold(spark, sf_dir))
+
+
+@query
+def serving_thinkers(spark, sf_dir):
+    return publication.serving_thinkers(_dim(spark, sf_dir))
+
+
+@query
+def serving_constraints(spark, sf_dir):
+    return publication.serving_constraints(
+        publication.serving_thinkers(_dim(spark, sf_dir)), publication.serving_quotes(_gold(spark, sf_dir))
+    )
+
+
+@query
+def dataset_version(spark, sf_dir):
+    return publication.dataset_version(
+        publication.serving_thinkers(_dim(spark, sf_dir)), publication.serving_quotes(_gold(spark, sf_dir))
+    )
+
+
+@query
+def metadata_problems(spark, sf_dir):
+    return publication.metadata_problems(given.metadata_candidates(spark, sf_dir), "dataset")
+
+
+@query
+def quote_pages(spark, sf_dir):
+    rows = _gold(spark, sf_dir).select("thinker_qid", "occurrence_id", "quote_text", "category")
+    return picks.page_of(rows, ["thinker_qid"], "occurrence_id", offset=25, limit=10)
+
+
+@query
+def quote_samples(spark, sf_dir):
+    rows = _silver(spark, sf_dir).select("thinker_qid", "source_revision", "occurrence_id", "quote_text")
+    return profiles.quote_samples(rows, "thinker_qid", ["source_revision", "occurrence_id"], n=10)
+
+
+@query
+def daily_selection(spark, sf_dir):
+    return selection.daily_selection(
+        given.requests(spark, sf_dir),
+        _gold(spark, sf_dir),
+        _dim(spark, sf_dir),
+        given.members(spark, sf_dir),
+        given.DATASET_VERSION,
+    )
+
+
+@query
+def collection_samples(spark, sf_dir):
+    members = given.members(spark, sf_dir)
+    slugs = members.select("slug").distinct()
+    return selection.collection_samples(
+        slugs, "2026-07-13", _gold(spark, sf_dir), _dim(spark, sf_dir), members, given.DATASET_VERSION
+    ).drop("max_length")
+
+
+@query
+def two_stage_selection(spark, sf_dir):
+    return selection.two_stage_selection(
+        given.requests(spark, sf_dir), _silver(spark, sf_dir), given.members(spark, sf_dir)
+    ).drop("quote_text", "original_text")
+
+
+@query
+def supplemental_errors(spark, sf_dir):
+    rows = supplemental.validate(given.raw_supplemental(spark, sf_dir), _expected(spark, sf_dir))
+    bad = rows.filter(F.size("errors") > 0)
+    return bad.select("source_file", "line_number", F.array_join("errors", ",").alias("errors"))
+
+
+@query
+def supplemental_first_error(spark, sf_dir):
+    return supplemental.first_error(
+        supplemental.validate(given.raw_supplemental(spark, sf_dir), _expected(spark, sf_dir))
+    )
+
+
+@query
+def supplemental_rows(spark, sf_dir):
+    rows = supplemental.typed(
+        supplemental.validate(given.raw_supplemental(spark, sf_dir), _expected(spark, sf_dir))
+    )
+    return rows.withColumn("reviewed_at", F.unix_seconds("reviewed_at"))
+
+
+@query
+def source_records(spark, sf_dir):
+    records = snapshots.source_records(given.fetched_pages(spark, sf_dir))
+    return snapshots.manifest(records, "run").withColumn("fetched_at", F.unix_seconds("fetched_at"))
+
+
+@query
+def manifest_summary(spark, sf_dir):
+    records = snapshots.source_records(given.fetched_pages(spark, sf_dir))
+    rows = snapshots.manifest(records, "run").withColumn("fetched_at", F.unix_seconds("fetched_at"))
+    return snapshots.manifest_summary(rows)
+
+
+@query
+def snapshot_pages(spark, sf_dir):
+    pages = snapshots.pages_of(snapshots.source_records(given.fetched_pages(spark, sf_dir)))
+    return pages.withColumn("fetched_at", F.unix_seconds("fetched_at"))
+
+
+@query
+def section_quotes(spark, sf_dir):
+    carried = extraction.carry_sections(given.section_blocks(spark, sf_dir), ["doc_id"], "line_no")
+    items = carried.filter(~F.col("is_heading")).withColumnRenamed("text", "item").drop("is_heading")
+    return extraction.classify_items(items)
+
+
+ARTICLE_PAGES = page_source.PageRules(
+    root_tag="article", root_class=None, headings=("h1", "h2", "h3", "h4"), list_tag=None, item_tag="p"
+)
+
+
+@query
+def html_quotes(spark, sf_dir):
+    pages = given.spread(given.table(spark, sf_dir, "pages"), "page_id").select(
+        F.concat(F.lit("Q"), "page_id").alias("qid"),
+        F.concat(F.lit("page "), "page_id").alias("name"),
+        F.col("url").alias("title"),
+        F.col("page_id").alias("revision"),
+        F.col("page_id").alias("fetched_at"),
+        "html",
+    )
+    return extraction.extract_quotes(pages, ARTICLE_PAGES)
+
+
+@query
+def page_urls(spark, sf_dir):
+    lines = given.section_blocks(spark, sf_dir).select("doc_id", "line_no", "text")
+    return lines.select("doc_id", "line_no", text.page_url(F.col("text"), "").alias("url"))
+
+
+@query
+def comparison_keys(spark, sf_dir):
+    lines = given.section_blocks(spark, sf_dir).select("doc_id", "line_no", "text")
+    return lines.select("doc_id", "line_no", text.comparison_key(F.col("text")).alias("key"))
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _silver(spark, sf_dir).select("occurrence_id", "quote_text").filter("occurrence_id is not null")
+
+
+@query
+def token_frequencies(spark, sf_dir):
+    return search.token_frequencies(search.token_index(_texts(spark, sf_dir), "occurrence_id", "quote_text"))
+
+
+@query
+def quote_search(spark, sf_dir):
+    wanted = given.table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("query_text")
+    )
+    return search.search_texts(wanted, _texts(spark, sf_dir), "occurrence_id", "quote_text")
+
+
+@query
+def name_search(spark, sf_dir):
+    names = given.names(spark, sf_dir).drop("entity_qid")
+    return search.search_names(given.name_queries(spark, sf_dir), names, limit=5)
+
+
+@query
+def name_resolution(spark, sf_dir):
+    names = given.names(spark, sf_dir)
+    return search.resolve_names(given.name_queries(spark, sf_dir), names.drop("entity_qid"), names)
+
+
+@query
+def entity_claims(spark, sf_dir):
+    return entities.read_claims(given.entity_documents(spark, sf_dir))
+
+
+@query
+def best_claims(spark, sf_dir):
+    return profiles.best_claims(given.claims(spark, sf_dir))
+
+
+@query
+def partial_dates(spark, sf_dir):
+    dated = given.entity_events(spark, sf_dir).filter("time is not null")
+    date = partial_date(F.col("time"), F.col("precision"))
+    return dated.select("event_id", date.alias("date")).select("event_id", "date.*")
+
+
+@query
+def referenced_ids(spark, sf_dir):
+    return profiles.referenced_ids(given.claims(spark, sf_dir))
+
+
+@query
+def labelled_references(spark, sf_dir):
+    return profiles.labelled_references(given.claims(spark, sf_dir), given.labels(spark, sf_dir))
+
+
+def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profiles.entity_profiles(
+        given.entities(spark, sf_dir),
+        given.claims(spark, sf_dir),
+        given.labels(spark, sf_dir),
+        given.descriptions(spark, sf_dir),
+    )
+
+
+def _joined(column: str, *fields: str):
+    """Lists as text, so that both engines print them alike."""
+    if not fields:
+        return F.array_join(column, ";").alias(column)
+    shown = F.transform(column, lambda x: F.concat_ws("=", *[F.coalesce(x[f], F.lit("")) for f in fields]))
+    return F.array_join(shown, ";").alias(column)
+
+
+@query
+def entity_profiles(spark, sf_dir):
+    return _profiles(spark, sf_dir).select(
+        "qid",
+        "nome",
+        "descricao",
+        F.col("nascimento.exibicao").alias("nascimento"),
+        F.col("morte.valor").alias("morte"),
+        "local_nascimento",
+        *[_joined(c) for c in ("nacionalidade", "ocupacoes", "correntes", "formacao")],
+        _joined("obras", "titulo", "qid"),
+        _joined("fontes", "fonte", "licenca", "url"),
+    )
+
+
+@query
+def thinker_profiles(spark, sf_dir):
+    documents = given.documents(spark, sf_dir)
+    qid = F.concat(F.lit("Q"), "doc_id").alias("qid")
+    quotes = given.document_quotes(documents).withColumn("qid", qid)
+    pages = documents.filter("lang <> 'de'").select(qid)
+    rows = profiles.thinker_profiles(_profiles(spark, sf_dir), pages, quotes, ["fetched_at", "text"], sample=3)
+    return rows.select(
+        "qid", _joined("frases", "texto", "categoria", "obra"), _joined("fontes", "fonte", "url"), "aviso"
+    )
+
+
+@query
+def influence_edges(spark, sf_dir):
+    return profiles.influence_edges(given.claims(spark, sf_dir), given.labels(spark, sf_dir))

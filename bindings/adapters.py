@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lapidary import fixed
 from lapidary.functions import ids, text
@@ -17,8 +18,15 @@ BASE_TIME = 1767225600  # 2026-01-01T00:00:00Z
 DATASET_VERSION = "0123456789abcdef"
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its schema is read from the footers once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def minutes_after_base(minutes: Column) -> Column:
@@ -41,6 +49,8 @@ def document_quotes(documents: DataFrame) -> DataFrame:
         .when(kind == 4, F.concat(F.lit("(...) "), line))
         .when(kind == 5, F.concat(F.lit(" \t"), F.replace(line, F.lit(" "), F.lit("  "))))
         .when(kind == 6, F.concat(F.lit("Livro "), doc, F.lit(" IV. "), F.length(line)))
+        .when(kind == 7, F.concat(line, F.lit(" [1] [2]")))
+        .when(kind == 8, F.concat(line, F.lit('""')))
         .otherwise(line)
     )
     category = F.when(doc % 5 == 0, "atribuida").when(doc % 5 <= 2, "verificada").otherwise("obra")

@@ -16,6 +16,7 @@ from lapidary.plans import checks, extraction, profiles, publication, reports, s
 from lapidary.plans import gold as gold_plan
 from lapidary.sources import entities, snapshots, supplemental
 from lapidary.sources import pages as page_source
+from lapidary.session import reused
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,13 +103,15 @@ def collection_coverage(spark, sf_dir):
 
 @query
 def collection_audit(spark, sf_dir):
-    return reports.collection_audit(_gold(spark, sf_dir), _dim(spark, sf_dir), given.members(spark, sf_dir))
+    gold = reused(_gold(spark, sf_dir))
+    return reports.collection_audit(gold, _dim(spark, sf_dir), given.members(spark, sf_dir))
 
 
 def _relations(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    gold, queue = _gold(spark, sf_dir), given.queue(spark, sf_dir)
+    stg, queue = reused(_silver(spark, sf_dir)), given.queue(spark, sf_dir)
+    gold = reused(gold_plan.curate(stg, given.allowlist(spark, sf_dir)))
     return {
-        "stg_quotes": _silver(spark, sf_dir),
+        "stg_quotes": stg,
         "dim_thinkers": _dim(spark, sf_dir),
         "fct_quotes": gold,
         "editorial_review_queue": gold_plan.review_queue(queue, gold),
@@ -218,7 +221,8 @@ def wrong_daily_counts(spark, sf_dir):
 
 @query
 def publication_gates(spark, sf_dir):
-    gold, dim = _gold(spark, sf_dir), _dim(spark, sf_dir)
+    gold = reused(_gold(spark, sf_dir).select("thinker_qid", "is_daily_eligible"))
+    dim = _dim(spark, sf_dir)
     provenance = snapshots.manifest_summary(
         snapshots.manifest(snapshots.source_records(given.fetched_pages(spark, sf_dir)), "run")
     ).filter("status = 'complete'")
@@ -256,7 +260,7 @@ def metadata_problems(spark, sf_dir):
 
 @query
 def quote_pages(spark, sf_dir):
-    rows = _gold(spark, sf_dir).select("thinker_qid", "occurrence_id", "quote_text", "category")
+    rows = reused(_gold(spark, sf_dir).select("thinker_qid", "occurrence_id", "quote_text", "category"))
     return picks.page_of(rows, ["thinker_qid"], "occurrence_id", offset=25, limit=10)
 
 
@@ -270,26 +274,31 @@ def quote_samples(spark, sf_dir):
 def daily_selection(spark, sf_dir):
     return selection.daily_selection(
         given.requests(spark, sf_dir),
-        _gold(spark, sf_dir),
+        reused(_gold(spark, sf_dir).filter("is_daily_eligible")),
         _dim(spark, sf_dir),
-        given.members(spark, sf_dir),
+        reused(given.members(spark, sf_dir)),
         given.DATASET_VERSION,
     )
 
 
 @query
 def collection_samples(spark, sf_dir):
-    members = given.members(spark, sf_dir)
+    members = reused(given.members(spark, sf_dir))
     slugs = members.select("slug").distinct()
     return selection.collection_samples(
-        slugs, "2026-07-13", _gold(spark, sf_dir), _dim(spark, sf_dir), members, given.DATASET_VERSION
+        slugs,
+        "2026-07-13",
+        reused(_gold(spark, sf_dir).filter("is_daily_eligible")),
+        _dim(spark, sf_dir),
+        members,
+        given.DATASET_VERSION,
     ).drop("max_length")
 
 
 @query
 def two_stage_selection(spark, sf_dir):
     return selection.two_stage_selection(
-        given.requests(spark, sf_dir), _silver(spark, sf_dir), given.members(spark, sf_dir)
+        given.requests(spark, sf_dir), reused(_silver(spark, sf_dir)), reused(given.members(spark, sf_dir))
     ).drop("quote_text", "original_text")
 
 
@@ -385,7 +394,7 @@ def quote_search(spark, sf_dir):
     wanted = given.table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query_text")
     )
-    return search.search_texts(wanted, _texts(spark, sf_dir), "occurrence_id", "quote_text")
+    return search.search_texts(wanted, reused(_texts(spark, sf_dir)), "occurrence_id", "quote_text")
 
 
 @query

@@ -93,7 +93,7 @@ def page_url(title: Column, prefix: str) -> Column:
 
 @lru_cache(maxsize=1)
 def _fold_exceptions() -> dict[str, str]:
-    """Characters whose case folding is not their lower-case form, from the Unicode tables."""
+    """Lower-case characters that case folding changes further, from the Unicode tables."""
     found = {}
     for code in range(0x80, sys.maxunicode + 1):
         char = chr(code)
@@ -103,12 +103,21 @@ def _fold_exceptions() -> dict[str, str]:
 
 
 def casefold(text: Column) -> Column:
-    """Unicode case folding: ``lower`` plus the characters that fold further, such as sharp s."""
-    exceptions = _fold_exceptions()
-    lowered = F.lower(text)
-    table = F.create_map(*[F.lit(part) for pair in exceptions.items() for part in pair])
-    folded = F.concat_ws("", F.transform(F.split(lowered, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)))
-    return F.when(lowered.rlike("[" + "".join(exceptions) + "]"), folded).otherwise(lowered)
+    """Unicode case folding: ``lower`` plus the characters that fold further.
+
+    Sharp s, the one that ordinary text has, is replaced outright, and
+    characters that fold to one other character are translated. Only a text
+    with a rarer character, such as a ligature, is taken apart.
+    """
+    exceptions = {char: folded for char, folded in _fold_exceptions().items() if char != "\u00df"}
+    single = {char: folded for char, folded in exceptions.items() if len(folded) == 1}
+    longer = {char: folded for char, folded in exceptions.items() if len(folded) > 1}
+    folded = F.translate(
+        F.replace(F.lower(text), F.lit("\u00df"), F.lit("ss")), "".join(single), "".join(single.values())
+    )
+    table = F.create_map(*[F.lit(part) for pair in longer.items() for part in pair])
+    rebuilt = F.concat_ws("", F.transform(F.split(folded, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)))
+    return F.when(folded.rlike("[" + "".join(longer) + "]"), rebuilt).otherwise(folded)
 
 
 def comparison_key(text: Column) -> Column:

@@ -60,12 +60,11 @@ def pick_by_seed(quotes: DataFrame, requests: DataFrame, members: DataFrame) ->
     ``members``: scope, thinker_name, without repeats.
     Requests with the same filters share one filter row, and filters meet the
     counts per (thinker, category, length, slice) rather than the quotes.
-    Returns request_id, occurrence_id and ``matches``; requests without a match are absent.
+    Returns request_id, ``matches`` and the columns of the picked quote; requests
+    without a match are absent. ``quotes`` is read twice.
     """
     filters = ["scope", "category", "max_length"]
-    sliced = quotes.select("thinker_name", "category", "character_count", "occurrence_id").withColumn(
-        "slice", slice_of(F.col("occurrence_id"))
-    )
+    sliced = quotes.withColumn("slice", slice_of(F.col("occurrence_id")))
     cells = sliced.groupBy("thinker_name", "category", "character_count", "slice").agg(
         F.count(F.lit(1)).alias("cell_rows")
     )
@@ -83,29 +82,47 @@ def pick_by_seed(quotes: DataFrame, requests: DataFrame, members: DataFrame) ->
     per_slice = matching(cells.join(by_name, "thinker_name")).groupBy("filter_id", "slice").agg(
         F.sum("cell_rows").alias("rows")
     )
-    bounds = slice_bounds(per_slice, ["filter_id"])
     totals = per_slice.groupBy("filter_id").agg(F.sum("rows").alias("matches"))
-    placed = (
+    positions = (
         requests.withColumn("filter_id", F.xxhash64(*_filled(filters)))
         .select("request_id", "filter_id", "seed")
         .join(totals, "filter_id")
         .withColumn("position", ids.seeded_index(F.col("seed"), F.col("matches")))
+        .withColumn("bin", _bin(F.col("position"), F.col("matches")))
         .drop("seed")
-        .join(bounds.select("filter_id", "slice", "before", "rows"), "filter_id")
-        .filter((F.col("before") <= F.col("position")) & (F.col("position") < F.col("before") + F.col("rows")))
+    )
+    # Slices are laid out over equal bins of positions, so a request meets the
+    # few slices around its position and not every slice of its filter.
+    bounds = slice_bounds(per_slice, ["filter_id"])
+    last = F.col("before") + F.col("rows") - 1
+    binned = bounds.select(
+        "filter_id",
+        "slice",
+        "before",
+        last.alias("last"),
+        F.explode(F.sequence(_bin(F.col("before"), F.col("total")), _bin(last, F.col("total")))).alias("bin"),
+    )
+    placed = (
+        positions.join(binned, ["filter_id", "bin"])
+        .filter(F.col("position").between(F.col("before"), F.col("last")))
         .withColumn("place", F.col("position") - F.col("before") + 1)
         .select("request_id", "filter_id", "slice", "place", "matches")
     )
     needed = placed.select("filter_id", "slice").distinct().join(by_name, "filter_id")
     ranked = (
         matching(sliced.join(needed, ["thinker_name", "slice"]))
-        .select("filter_id", "slice", "occurrence_id")
+        .drop("scope", "wanted_category", "wanted_length")
         .withColumn(
             "place",
             F.row_number().over(Window.partitionBy("filter_id", "slice").orderBy("occurrence_id")).cast("long"),
         )
     )
-    return placed.join(ranked, ["filter_id", "slice", "place"]).select("request_id", "occurrence_id", "matches")
+    return placed.join(ranked, ["filter_id", "slice", "place"]).drop("filter_id", "slice", "place")
+
+
+def _bin(position: Column, total: Column) -> Column:
+    """One of 256 equal bins of the positions below ``total``."""
+    return F.floor(position * 256 / total)
 
 
 def _filled(names: list[str]) -> list[Column]:

@@ -55,24 +55,17 @@ def _blank_to_null(requests: DataFrame) -> DataFrame:
 
 def _checked(requests: DataFrame, members: DataFrame, check_thinker: bool) -> DataFrame:
     """Add ``problem``: the first of unknown collection, unknown thinker, thinker outside the collection."""
-    slugs = members.select(F.col("slug").alias("collection")).distinct().withColumn("_slug", F.lit(True))
-    names = members.select(F.col("thinker_name").alias("thinker")).distinct().withColumn("_name", F.lit(True))
-    pairs = (
-        members.select(F.col("slug").alias("collection"), F.col("thinker_name").alias("thinker"))
-        .distinct()
-        .withColumn("_pair", F.lit(True))
-    )
-    joined = (
-        requests.join(slugs, "collection", "left")
-        .join(names, "thinker", "left")
-        .join(pairs, ["collection", "thinker"], "left")
-    )
+    # A collection is one catalogue record, so its member list is as long as that record holds.
+    collections = members.groupBy(F.col("slug").alias("collection")).agg(F.collect_set("thinker_name").alias("_members"))
+    joined = requests.join(collections, "collection", "left")
     thinker, collection = F.col("thinker"), F.col("collection")
-    problem = F.when(collection.isNotNull() & F.col("_slug").isNull(), "unknown_collection")
+    problem = F.when(collection.isNotNull() & F.col("_members").isNull(), "unknown_collection")
     if check_thinker:
+        names = members.select(F.col("thinker_name").alias("thinker")).distinct().withColumn("_name", F.lit(True))
+        joined = joined.join(names, "thinker", "left")
         problem = problem.when(thinker.isNotNull() & F.col("_name").isNull(), "unknown_thinker")
-    problem = problem.when(thinker.isNotNull() & collection.isNotNull() & F.col("_pair").isNull(), "not_in_collection")
-    return joined.withColumn("problem", problem).drop("_slug", "_name", "_pair")
+    problem = problem.when(~F.array_contains("_members", thinker), "not_in_collection")
+    return joined.withColumn("problem", problem).drop("_members", "_name")
 
 
 def _length_key(max_length: Column) -> Column:
@@ -80,9 +73,12 @@ def _length_key(max_length: Column) -> Column:
     return F.nullif(max_length.cast("long"), F.lit(0).cast("long")).cast("string")
 
 
-def _answer(requests: DataFrame, picks: DataFrame, quotes: DataFrame) -> DataFrame:
-    chosen = picks.join(quotes.select(*_SHOWN).withColumnRenamed("category", "quote_category"), "occurrence_id")
-    answered = requests.join(chosen, "request_id", "left")
+def _pick(quotes: DataFrame, requests: DataFrame, members: DataFrame) -> DataFrame:
+    return pick_by_seed(quotes.select("character_count", *_SHOWN), requests, members).drop("character_count")
+
+
+def _answer(requests: DataFrame, picks: DataFrame) -> DataFrame:
+    answered = requests.join(picks.withColumnRenamed("category", "quote_category"), "request_id", "left")
     status = F.coalesce("problem", F.when(F.col("occurrence_id").isNull(), "no_match").otherwise("ok"))
     return answered.withColumn("status", status).drop("problem", "seed", "scope")
 
@@ -112,8 +108,7 @@ def daily_selection(
     seeded = checked.withColumn("seed", ids.seed(key)).withColumn(
         "scope", _scope(F.col("thinker"), F.col("collection"))
     )
-    picks = pick_by_seed(eligible, seeded.filter("problem is null"), _scopes(members))
-    return _answer(seeded, picks, eligible)
+    return _answer(seeded, _pick(eligible, seeded.filter("problem is null"), _scopes(members)))
 
 
 def collection_samples(
@@ -183,5 +178,4 @@ def two_stage_selection(
         .select("request_id", "scope", "category", "max_length", "seed")
     )
     names = quotes.select(_by_thinker(F.col("thinker_name")).alias("scope"), "thinker_name").distinct()
-    picks = pick_by_seed(quotes, second, names)
-    return _answer(checked.drop("_key"), picks, quotes)
+    return _answer(checked.drop("_key"), _pick(quotes, second, names))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,16 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
+def reused(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, for plans that read them more than once.
+
+    The work behind them then runs once, and a lost executor costs a re-read.
+    """
+    path = f"{shared_dir(df.sparkSession)}/reused-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Spread rows read from fewer files than there are cores.
 

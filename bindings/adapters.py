@@ -35,47 +35,36 @@ def minutes_after_base(minutes: Column) -> Column:
 
 def _lines(df: DataFrame, *keep: str) -> DataFrame:
     exploded = df.select(*keep, F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return exploded.filter(F.length("line") >= fixed.MIN_QUOTE_LENGTH)
+    return exploded.filter(f"length(line) >= {fixed.MIN_QUOTE_LENGTH}")
 
 
 def document_quotes(documents: DataFrame) -> DataFrame:
-    doc, line = F.col("doc_id"), F.col("line")
-    kind = (doc + F.length(line)) % 29
-    worded = (
-        F.when(kind == 0, F.concat(line, F.lit(" [1][2]")))
-        .when(kind == 1, F.concat(line, F.lit('"')))
-        .when(kind == 2, F.concat(line, F.lit('".')))
-        .when(kind == 3, F.concat(F.lit("..."), line))
-        .when(kind == 4, F.concat(F.lit("(...) "), line))
-        .when(kind == 5, F.concat(F.lit(" \t"), F.replace(line, F.lit(" "), F.lit("  "))))
-        .when(kind == 6, F.concat(F.lit("Livro "), doc, F.lit(" IV. "), F.length(line)))
-        .when(kind == 7, F.concat(line, F.lit(" [1] [2]")))
-        .when(kind == 8, F.concat(line, F.lit('""')))
-        .otherwise(line)
-    )
-    category = F.when(doc % 5 == 0, "atribuida").when(doc % 5 <= 2, "verificada").otherwise("obra")
-    work = F.when(
-        F.col("category") == "obra",
-        F.when(doc % 7 == 0, "Obras Atribuídas").otherwise(F.concat(F.lit("Livro "), doc % 11)),
-    )
-    return (
-        _lines(documents, "doc_id", "source", "lang")
-        .withColumn("text", worded)
-        .withColumn("category", category)
-        .withColumn("work", work)
-        .select(
-            "doc_id",
-            F.col("source").alias("thinker_qid"),
-            F.upper("source").alias("thinker_name"),
-            "text",
-            "category",
-            "work",
-            F.concat(F.lit(fixed.PAGE_URL_PREFIX), "source", F.lit("_"), "lang").alias("source_url"),
-            F.lit(fixed.PAGE_SOURCE_NAME).alias("source_name"),
-            F.lit(fixed.PAGE_LICENSE).alias("source_license"),
-            (doc + 1).alias("source_revision"),
-            minutes_after_base((doc * 7 + F.col("line_no") * 3) % 100000).alias("fetched_at"),
-        )
+    """Document lines as bronze quotes, some of them worded with an artefact or as a reference."""
+    worded = """case (doc_id + length(line)) % 29
+        when 0 then concat(line, ' [1][2]')
+        when 1 then concat(line, '"')
+        when 2 then concat(line, '".')
+        when 3 then concat('...', line)
+        when 4 then concat('(...) ', line)
+        when 5 then concat(char(160), char(9), replace(line, ' ', '  '))
+        when 6 then concat('Livro ', doc_id, ' IV. ', length(line))
+        when 7 then concat(line, ' [1] [2]')
+        when 8 then concat(line, '""')
+        else line end"""
+    category = "case when doc_id % 5 = 0 then 'atribuida' when doc_id % 5 <= 2 then 'verificada' else 'obra' end"
+    work = "case when doc_id % 7 = 0 then 'Obras Atribuídas' else concat('Livro ', doc_id % 11) end"
+    return _lines(documents, "doc_id", "source", "lang").selectExpr(
+        "doc_id",
+        "source as thinker_qid",
+        "upper(source) as thinker_name",
+        f"{worded} as text",
+        f"{category} as category",
+        f"case when doc_id % 5 >= 3 then {work} end as work",
+        f"concat('{fixed.PAGE_URL_PREFIX}', source, '_', lang) as source_url",
+        f"'{fixed.PAGE_SOURCE_NAME}' as source_name",
+        f"'{fixed.PAGE_LICENSE}' as source_license",
+        "doc_id + 1 as source_revision",
+        f"timestamp_seconds({BASE_TIME} + 60 * ((doc_id * 7 + line_no * 3) % 100000)) as fetched_at",
     )
 
 
@@ -93,45 +82,42 @@ def bronze_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bronze_supplemental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conv, turn, line = F.col("conv_id"), F.col("turn"), F.col("line")
-    translated = F.col("role") == "assistant"
-    spoken = _lines(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role").select(
-        F.concat(F.lit("src"), conv % 23).alias("thinker_qid"),
-        F.concat(F.lit("SRC"), conv % 23).alias("thinker_name"),
-        line.alias("text"),
-        F.when(translated, F.concat(F.lit("[o] "), line)).alias("original_text"),
-        F.when(translated, "fr")
-        .when((F.col("role") == "user") & ((conv + turn) % 19 == 0), "de")
-        .alias("original_language"),
-        F.when(conv % 41 == 0, "outra").otherwise("obra").alias("category"),
-        F.lit("Conversas").alias("work"),
-        F.concat(F.lit("https://example.test/c/"), conv).alias("source_url"),
-        F.lit("Edition").alias("source_name"),
-        F.when(conv % 37 != 0, "Public domain").alias("source_license"),
-        (conv + 1).alias("source_revision"),
-        F.when(translated & ((conv + turn) % 17 != 0), F.concat(F.lit("Tradutor "), conv % 5)).alias(
-            "translator_name"
-        ),
-        F.when(translated, "CC0 1.0").alias("translation_license"),
-        F.when(translated, F.concat(F.lit("https://example.test/t/"), conv)).alias("translation_url"),
-        minutes_after_base(conv * 3 + turn).alias("reviewed_at"),
+    talks = spread(table(spark, sf_dir, "conversations"), "conv_id")
+    spoken = _lines(talks, "conv_id", "turn", "role").selectExpr(
+        "concat('src', conv_id % 23) as thinker_qid",
+        "concat('SRC', conv_id % 23) as thinker_name",
+        "line as text",
+        "case when role = 'assistant' then concat('[o] ', line) end as original_text",
+        """case when role = 'assistant' then 'fr'
+            when role = 'user' and (conv_id + turn) % 19 = 0 then 'de' end as original_language""",
+        "case when conv_id % 41 = 0 then 'outra' else 'obra' end as category",
+        "'Conversas' as work",
+        "concat('https://example.test/c/', conv_id) as source_url",
+        "'Edition' as source_name",
+        "case when conv_id % 37 <> 0 then 'Public domain' end as source_license",
+        "conv_id + 1 as source_revision",
+        """case when role = 'assistant' and (conv_id + turn) % 17 <> 0
+            then concat('Tradutor ', conv_id % 5) end as translator_name""",
+        "case when role = 'assistant' then 'CC0 1.0' end as translation_license",
+        "case when role = 'assistant' then concat('https://example.test/t/', conv_id) end as translation_url",
+        f"timestamp_seconds({BASE_TIME} + 60 * (conv_id * 3 + turn)) as reviewed_at",
     )
-    repeated = document_quotes(labelled(spark, sf_dir, "quality = 1 and toxic = 1")).select(
+    repeated = document_quotes(labelled(spark, sf_dir, "quality = 1 and toxic = 1")).selectExpr(
         "thinker_qid",
         "thinker_name",
         "text",
-        F.lit(None).cast("string").alias("original_text"),
-        F.lit(None).cast("string").alias("original_language"),
+        "cast(null as string) as original_text",
+        "cast(null as string) as original_language",
         "category",
         "work",
-        F.concat(F.lit("https://example.test/d/"), "doc_id").alias("source_url"),
+        "concat('https://example.test/d/', doc_id) as source_url",
         "source_name",
         "source_license",
         "source_revision",
-        F.lit(None).cast("string").alias("translator_name"),
-        F.lit(None).cast("string").alias("translation_license"),
-        F.lit(None).cast("string").alias("translation_url"),
-        F.col("fetched_at").alias("reviewed_at"),
+        "cast(null as string) as translator_name",
+        "cast(null as string) as translation_license",
+        "cast(null as string) as translation_url",
+        "fetched_at as reviewed_at",
     )
     return spoken.unionByName(repeated)
 

@@ -24,18 +24,22 @@ def token_frequencies(index: DataFrame) -> DataFrame:
     return index.groupBy("token").agg(F.count(F.lit(1)).alias("texts"))
 
 
-def search_texts(queries: DataFrame, rows: DataFrame, identity: str, column: str) -> DataFrame:
+def search_texts(
+    queries: DataFrame, rows: DataFrame, identity: str, column: str, index: DataFrame | None = None
+) -> DataFrame:
     """Texts that hold all tokens of a query, for every query (query_id, query_text).
 
     Each query looks up its rarest token only; its candidates are then checked
     against the text's token list. Tokens that most texts share are therefore
-    never joined unless a query has nothing rarer.
+    never joined unless a query has nothing rarer. With a stored ``index`` only
+    the candidates are taken apart; without one the texts are, twice.
     """
     wanted = queries.select("query_id", token_list(F.col("query_text")).alias("query_tokens")).filter(
         F.size("query_tokens") > 0
     )
     terms = wanted.select("query_id", F.explode("query_tokens").alias("token"))
-    index = token_index(rows, identity, column)
+    if index is None:
+        index = token_index(rows, identity, column)
     used = index.join(terms.select("token").distinct(), "token", "left_semi")
     rarest = (
         terms.join(token_frequencies(used), "token")
@@ -43,11 +47,10 @@ def search_texts(queries: DataFrame, rows: DataFrame, identity: str, column: str
         .agg(F.min_by("token", F.struct("texts", "token")).alias("token"))
     )
     candidates = index.join(rarest, "token").select("query_id", identity)
-    texts = rows.select(identity, token_list(F.col(column)).alias("_tokens"))
     return (
-        candidates.join(texts, identity)
+        candidates.join(rows.select(identity, column), identity)
         .join(wanted, "query_id")
-        .filter(F.size(F.array_except("query_tokens", "_tokens")) == 0)
+        .filter(F.size(F.array_except("query_tokens", token_list(F.col(column)))) == 0)
         .select("query_id", identity)
     )
 

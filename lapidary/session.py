@@ -29,10 +29,11 @@ def reused(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread rows read from fewer files than there are cores.
+    """Spread rows read from a handful of files over the cores.
 
     A table of many files is split by the scan already and passes unchanged;
-    only a table of a few files, whose rows would sit in a few tasks, is shuffled.
+    only a table with fewer files than half the cores, whose rows would sit in
+    a few tasks, is shuffled.
     """
     parallelism = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= parallelism else df.repartition(parallelism, key)
+    return df if 2 * len(df.inputFiles()) >= parallelism else df.repartition(parallelism, key)

@@ -181,6 +181,13 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_region.unionByName(by_remainder)
 
 
+def member_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue order: the members by region, then all members again by remainder."""
+    key = F.col("n_nationkey")
+    nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("SRC"), key).alias("thinker_name"), key.alias("position"))
+    return nations.unionByName(nations.withColumn("position", F.col("position") + 100))
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One selection request per event."""
     user, value = F.col("user_id"), F.col("value")

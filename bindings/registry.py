@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindings import adapters as given
-from lapidary.functions import text
+from lapidary.functions import ids, text
 from lapidary.functions.dates import partial_date
 from lapidary.operators import picks
 from lapidary.operators import violations as v
-from lapidary.plans import checks, extraction, profiles, publication, reports, search, selection, silver
+from lapidary.operators.latest import first_mentions
+from lapidary.plans import build, checks, extraction, profiles, publication, reports, search, selection, silver
 from lapidary.plans import gold as gold_plan
 from lapidary.sources import entities, snapshots, supplemental
 from lapidary.sources import pages as page_source
@@ -200,6 +201,28 @@ def queue_balance(spark, sf_dir):
     return checks.queue_balance(given.queue(spark, sf_dir), _dim(spark, sf_dir), expected=14, exempt=("src7",))
 
 
+@query
+def failed_checks(spark, sf_dir):
+    return build.failed_checks(_relations(spark, sf_dir), queue_expected=14, queue_exempt=("src7",))
+
+
+@query
+def catalogue_names(spark, sf_dir):
+    return first_mentions(given.member_list(spark, sf_dir), "thinker_name", "position")
+
+
+@query
+def request_seeds(spark, sf_dir):
+    key = ids.selection_key(F.col("on_date"), F.col("thinker"), F.col("collection"))
+    place = ids.seeded_index(ids.seed(key), F.col("request_id") + 1)
+    return given.requests(spark, sf_dir).select("request_id", place.alias("place"))
+
+
+@query
+def entity_labels(spark, sf_dir):
+    return profiles.chosen_texts(given.labels(spark, sf_dir))
+
+
 def _expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return given.members(spark, sf_dir).select("thinker_name").distinct()
 

@@ -19,6 +19,11 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
 
 
+def first_mentions(df: DataFrame, column: str, position: str) -> DataFrame:
+    """Distinct values with the position of their first mention."""
+    return df.groupBy(column).agg(F.min(position).alias(position))
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], newest_by: str, ties: Sequence[str]) -> DataFrame:
     """Newest row of every key; equal times are settled by the ``ties`` columns, nulls last."""
     order = [F.desc_nulls_last(newest_by), *[F.asc_nulls_last(name) for name in ties]]

@@ -287,6 +287,18 @@ def quote_pages(spark, sf_dir):
     return picks.page_of(rows, ["thinker_qid"], "occurrence_id", offset=25, limit=10)
 
 
+def _section_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    carried = extraction.carry_sections(given.section_blocks(spark, sf_dir), ["doc_id"], "line_no")
+    items = carried.filter(~F.col("is_heading")).withColumnRenamed("text", "item").drop("is_heading")
+    return extraction.classify_items(items)
+
+
+@query
+def source_order_pages(spark, sf_dir):
+    quotes = _section_quotes(spark, sf_dir).drop("work")
+    return picks.page_in_order(quotes, ["doc_id"], "line_no", offset=2, limit=3)
+
+
 @query
 def quote_samples(spark, sf_dir):
     rows = _silver(spark, sf_dir).select("thinker_qid", "source_revision", "occurrence_id", "quote_text")
@@ -368,9 +380,7 @@ def snapshot_pages(spark, sf_dir):
 
 @query
 def section_quotes(spark, sf_dir):
-    carried = extraction.carry_sections(given.section_blocks(spark, sf_dir), ["doc_id"], "line_no")
-    items = carried.filter(~F.col("is_heading")).withColumnRenamed("text", "item").drop("is_heading")
-    return extraction.classify_items(items)
+    return _section_quotes(spark, sf_dir)
 
 
 ARTICLE_PAGES = page_source.PageRules(

@@ -52,6 +52,26 @@ def page_of(rows: DataFrame, keys: list[str], identity: str, offset: int, limit:
     )
 
 
+def page_in_order(rows: DataFrame, page: list[str], order: str, offset: int, limit: int) -> DataFrame:
+    """Rows ``offset .. offset + limit`` of each source page in page order, with page figures.
+
+    The windows cover the rows of one page, which arrived as one record.
+    """
+    whole = Window.partitionBy(*page)
+    numbered = rows.withColumns(
+        {
+            "position": F.row_number().over(whole.orderBy(order)).cast("long") - 1,
+            "total": F.count(F.lit(1)).over(whole),
+        }
+    )
+    size = F.greatest(F.lit(0), F.least(F.lit(limit), F.col("total") - offset))
+    return (
+        numbered.filter((F.col("position") >= offset) & (F.col("position") < offset + limit))
+        .withColumn("page_count", size)
+        .withColumn("has_more", F.col("total") > offset + limit)
+    )
+
+
 def pick_by_seed(quotes: DataFrame, requests: DataFrame, members: DataFrame) -> DataFrame:
     """For each request, the quote at ``seed mod n`` among the ``n`` matching quotes by occurrence order.
 

@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapidary import fixed
 from lapidary.functions import ids
 
 
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Stored JSON documents, one per file: (file, document)."""
+    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    return whole.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("document"))
+
+
+def misnamed_documents(documents: DataFrame) -> DataFrame:
+    """Documents whose file name does not carry the digest of their content."""
+    named = F.regexp_extract("file", r"([0-9a-f]{64})\.json\z", 1)
+    actual = F.sha2("document", 256)
+    return documents.select("file", named.alias("named"), actual.alias("actual")).filter("named <> actual")
+
+
 def canonical_json(raw: Column) -> Column:
     """JSON with sorted keys and no blanks; null when the text is not JSON."""
     return F.to_json(F.try_parse_json(raw))

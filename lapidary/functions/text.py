@@ -102,22 +102,37 @@ def _fold_exceptions() -> dict[str, str]:
     return found
 
 
+def _ranges(chars: dict[str, str], gap: int) -> str:
+    """A short character class that covers the characters and gaps of up to ``gap`` between them."""
+    spans: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if spans and code - spans[-1][1] <= gap:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    return "[" + "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in spans) + "]"
+
+
 def casefold(text: Column) -> Column:
     """Unicode case folding: ``lower`` plus the characters that fold further.
 
-    Sharp s, the one that ordinary text has, is replaced outright, and
-    characters that fold to one other character are translated. Only a text
-    with a rarer character, such as a ligature, is taken apart.
+    Sharp s, the one that ordinary text has, is replaced outright. Texts with
+    characters near the others are translated, and those near a character that
+    folds to several, such as a ligature, are taken apart; both are exact for
+    any text, so the guards may be wider than need be.
     """
     exceptions = {char: folded for char, folded in _fold_exceptions().items() if char != "\u00df"}
     single = {char: folded for char, folded in exceptions.items() if len(folded) == 1}
     longer = {char: folded for char, folded in exceptions.items() if len(folded) > 1}
-    folded = F.translate(
-        F.replace(F.lower(text), F.lit("\u00df"), F.lit("ss")), "".join(single), "".join(single.values())
-    )
+    lowered = F.replace(F.lower(text), F.lit("\u00df"), F.lit("ss"))
+    translated = F.translate(lowered, "".join(single), "".join(single.values()))
     table = F.create_map(*[F.lit(part) for pair in longer.items() for part in pair])
-    rebuilt = F.concat_ws("", F.transform(F.split(folded, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)))
-    return F.when(folded.rlike("[" + "".join(longer) + "]"), rebuilt).otherwise(folded)
+    rebuilt = F.concat_ws("", F.transform(F.split(translated, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)))
+    return (
+        F.when(~lowered.rlike(_ranges(exceptions, 1024)), lowered)
+        .when(~lowered.rlike(_ranges(longer, 16)), translated)
+        .otherwise(rebuilt)
+    )
 
 
 def comparison_key(text: Column) -> Column:

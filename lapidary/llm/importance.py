@@ -21,57 +21,35 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lapidary.llm.common import written
+from lapidary.llm.wordhash import MIX, window_hashes, word_hashes, word_starts
 
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
-#: Odd multipliers that spread hashes over their upper bits.
-MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
-#: Words whose hash a worker remembers.
-REMEMBERED = 300_000
 SAMPLE = 20_000
 SEED = 7
 #: Values are kept as whole numbers of 2**-20, moved up to be positive; log ratios beyond 2**31 cannot occur.
 UNIT, SHIFT, LEVELS = 1 << 20, 1 << 52, (39, 26, 13, 0)
 
 
-class _Hashes(dict):
-    """Hash of each word; remembers a bounded number of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh64_intdigest(word)
-        if len(self) < REMEMBERED:
-            self[word] = value
-        return value
-
-
-_hash_of = _Hashes()
-
-
 def ngram_buckets(text: str | None) -> np.ndarray:
     """Buckets of all words and all pairs of neighbouring words of a text."""
-    words = (text or "").encode().split()
-    hashes = np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words))
-    pairs = (hashes[:-1] * MIX[0] + hashes[1:]) * MIX[1]
-    return (np.concatenate([hashes * MIX[1], pairs]) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    hashes = word_hashes(data, word_starts(data))
+    return (np.concatenate([hashes * MIX[1], window_hashes(hashes, 2) * MIX[1]]) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
 def _counts(batches):
     target, raw = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for batch in batches:
         for text, good in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist()):
-            if len(buckets := ngram_buckets(text)):
-                own = np.bincount(buckets, minlength=BUCKETS) if len(buckets) > BUCKETS // 4 else None
-                for sums in (raw, target) if good else (raw,):
-                    if own is None:
-                        np.add.at(sums, buckets, 1)
-                    else:
-                        sums += own
+            buckets = ngram_buckets(text)
+            for sums in (raw, target) if good else (raw,):
+                np.add.at(sums, buckets, 1)
     seen = np.flatnonzero(raw)
     columns = [pa.array(seen), pa.array(target[seen]), pa.array(raw[seen])]
     yield pa.RecordBatch.from_arrays(columns, ["bucket", "target", "raw"])

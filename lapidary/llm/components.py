@@ -32,7 +32,7 @@ def components(links: DataFrame) -> DataFrame:
     Each round is one table in the shared folder. A star's centre is joined with its rays, which the runtime splits
     when a centre is hot; minima are summed per task first. No link set or component passes through the driver.
     """
-    stars = written(_small_star(links.filter("a != b")), "stars")
+    stars = written(_small_star(written(links.filter("a != b"), "links")), "stars")
     before = None
     while (now := _state(stars)) != before:
         before = now

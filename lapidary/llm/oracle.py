@@ -54,4 +54,67 @@ from shared join sizes on id = item_id
 where 10 * n_shared >= 8 * n_item
 """
 
-SQL = {"op5_benchmark_decontamination": CONTAINED, "op6_url_filter": URL_FILTER}
+#: Parameters as in ``mixing``: seed 11, share 0.8, three epochs.
+MIXED = """
+with docs as (
+    select doc_id, lang, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as n_tokens,
+        md5(coalesce(text, '')) as digest,
+        case when source in ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7', 'src8', 'src9') then 'web'
+            when source in ('src10', 'src11', 'src12', 'src13', 'src14') then 'reference'
+            when source in ('src15', 'src16', 'src17', 'src18', 'src19') then 'books' else 'other' end as domain
+    from documents
+), leaves as (
+    select domain, lang, source, sum(n_tokens) as tokens from docs where n_tokens > 0 group by all
+), d0 as (
+    select domain, sum(tokens) * 3.0::double as capacity,
+        case domain when 'web' then 0.5::double when 'reference' then 0.3::double when 'books' then 0.2::double else 1.0::double end as weight,
+        (select sum(tokens) * 0.8::double from leaves) as budget
+    from leaves group by domain
+), r0 as (
+    select *, capacity / weight as fill,
+        (budget - coalesce(sum(capacity) over (order by capacity / weight, domain rows between unbounded preceding and 1 preceding), 0))
+            / sum(weight) over (order by capacity / weight, domain rows between current row and unbounded following) as rate
+    from d0
+), g0 as (
+    select domain, least(capacity, coalesce(max(rate) filter (where rate <= fill) over () * weight, capacity)) as budget from r0
+), d1 as (
+    select l.domain, l.lang, sum(tokens) * 3.0::double as capacity,
+        case l.lang when 'en' then 0.6::double when 'de' then 0.2::double when 'fr' then 0.1::double when 'es' then 0.1::double else 1.0::double end as weight,
+        any_value(g0.budget) as budget
+    from leaves l join g0 on l.domain = g0.domain group by l.domain, l.lang
+), r1 as (
+    select *, capacity / weight as fill,
+        (budget - coalesce(sum(capacity) over (partition by domain order by capacity / weight, lang rows between unbounded preceding and 1 preceding), 0))
+            / sum(weight) over (partition by domain order by capacity / weight, lang rows between current row and unbounded following) as rate
+    from d1
+), g1 as (
+    select domain, lang, least(capacity, coalesce(max(rate) filter (where rate <= fill) over (partition by domain) * weight, capacity)) as budget from r1
+), d2 as (
+    select l.domain, l.lang, l.source, tokens, tokens * 3.0::double as capacity,
+        case l.source when 'src0' then 3.0::double else 1.0::double end as weight, g1.budget
+    from leaves l join g1 on l.domain = g1.domain and l.lang is not distinct from g1.lang
+), r2 as (
+    select *, capacity / weight as fill,
+        (budget - coalesce(sum(capacity) over (partition by domain, lang order by capacity / weight, source rows between unbounded preceding and 1 preceding), 0))
+            / sum(weight) over (partition by domain, lang order by capacity / weight, source rows between current row and unbounded following) as rate
+    from d2
+), g2 as (
+    select domain, lang, source, tokens,
+        floor(least(capacity, coalesce(max(rate) filter (where rate <= fill) over (partition by domain, lang) * weight, capacity)) + 1e-6)::bigint as budget
+    from r2
+), planned as (
+    select d.*, budget // tokens as full_epochs, budget % tokens as rest
+    from docs d join g2 g on d.domain = g.domain and d.lang is not distinct from g.lang and d.source is not distinct from g.source
+    where n_tokens > 0
+), ordered as (
+    select *, md5('11|' || (full_epochs + 1)::varchar || '|' || coalesce(doc_id::varchar, '') || '|' || digest) as place from planned
+), summed as (
+    select *, sum(n_tokens) over (partition by domain, lang, source order by place range between unbounded preceding and current row) as through
+    from ordered
+), counted as (
+    select *, full_epochs + case when through <= rest then 1 else 0 end as times from summed
+)
+select doc_id, domain, lang, source, n_tokens::bigint as n_tokens, unnest(range(1, times::bigint + 1))::integer as epoch from counted
+"""
+
+SQL = {"op5_benchmark_decontamination": CONTAINED, "op6_url_filter": URL_FILTER, "op8_source_mixing": MIXED}

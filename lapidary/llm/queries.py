@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapidary.llm import decontaminate, importance, popcount_dedup, url_filter
+from lapidary.llm import decontaminate, importance, line_crf, mixing, popcount_dedup, token_store, url_filter, wrapper
+from lapidary.llm.common import new_path
 
 #: Names in a host that put its pages on the list of op6.
 LISTED_HOSTS = "casino|bets|pills|ads-track"
@@ -15,6 +16,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_labelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    judged = line_crf.judge(docs, line_crf.train(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return judged.select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.round("content_share", 6).alias("content_share"),
+    )
+
+
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    token_store.write(table(spark, sf_dir, "documents"), path)
+    return token_store.read_summary(spark, path)
+
+
+def op3_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wrapper.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    text = F.array_join("blocks", "\n")
+    return found.select("row.page_id", "row.url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -25,6 +47,12 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, listed).select("row.page_id", "host", "path", "rule", "verdict", "listed")
 
 
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [mixing.domain_of(F.col("source")), F.col("lang"), F.col("source")]
+    taken = mixing.mixed(table(spark, sf_dir, "documents"), paths)
+    return taken.select("row.doc_id", F.col("p0").alias("domain"), "row.lang", "row.source", "n_tokens", "epoch")
+
+
 def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
     return judged.select("row.doc_id", F.round("log_ratio", 4).alias("log_ratio"), "kept")

@@ -10,9 +10,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lapidary.llm import decontaminate, importance, popcount_dedup
-from lapidary.llm.common import written
+from lapidary.llm import decontaminate, importance, mixing, popcount_dedup, token_store
+from lapidary.llm.common import new_path, written
+
+#: Each document can be taken once; the budget is this share of the tokens that reach the mixing.
+EPOCHS, SHARE = 1, 0.8
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +35,25 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontaminate.without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents within their source's share of the token budget."""
+    paths = [mixing.domain_of(F.col("source")), F.col("lang"), F.col("source")]
+    return mixing.mixed(docs, paths, share=SHARE, epochs=EPOCHS).select("row.*")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` of the documents as read back from the token store."""
+    path = new_path(spark, "tokens")
+    token_store.write(docs, path)
+    return token_store.read_summary(spark, path)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality", quality),
     ("near_duplicates", near_duplicates),
     ("decontamination", decontamination),
+    ("mixing", mixing_sources),
+    ("tokens", tokens),
 ]
 
 #: The first two stages use hashes that DuckDB does not have; tests/llm compare every stage with brute force.

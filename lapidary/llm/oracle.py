@@ -54,6 +54,46 @@ from shared join sizes on id = item_id
 where 10 * n_shared >= 8 * n_item
 """
 
+#: The captures of ``queries.captures``; each header stands alone until the last step.
+REVISITS = """
+with page as (
+    select page_id, url, md5(coalesce(html, '')) as d, regexp_extract(url, '^[^/]*://[^/?#]*') as site, 1767225600 + page_id * 60 as t
+    from pages
+), captured as (
+    select page_id * 3 as capture_id, url, t as seconds, 'response' as kind, d, '"' || d[1:8] || '"' as etag, '60' as age from page
+    union all
+    select page_id * 3 + 1, url, t + 3600, 'revisit', d,
+        case when d[1] < '4' then '"old"' when d[1] < '8' then 'W/"' || d[1:8] || '"' when d[1] < 'c' then '"' || d[1:8] || '"' end, '90'
+    from page
+    union all
+    select page_id * 3 + 2, site || '/', t + 30, case when d[1] < '4' then 'response' else 'revisit' end, d, '"' || d[2] || '"', d[2] from page
+), cut as (
+    select *, substr(url, instr(url, '://') + 3) as rest, coalesce(instr(url, '://') > 0, false) as ok from captured
+), parts as (
+    select * exclude (rest, ok),
+        case when ok then regexp_replace(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^www\\.', '')
+            || regexp_replace(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '/+$', '') end as place,
+        array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1), '&'),
+            lambda p: p <> '' and not starts_with(p, 'utm_'))), '&') as parameters
+    from cut
+), keyed as (
+    select *, place || case when parameters <> '' then '?' || parameters else '' end as key from parts
+), matched as (
+    select v.*, r.capture_id as response_id, r.d as r_d, r.etag as r_etag,
+        row_number() over (partition by v.capture_id order by r.seconds desc, r.capture_id desc) as n
+    from keyed v left join keyed r on r.kind = 'response' and r.key = v.key and r.seconds < v.seconds
+    where v.kind = 'revisit'
+), judged as (
+    select *, case when response_id is null then 'no_response' when etag is null then 'unchecked'
+        when regexp_replace(etag, '^[Ww]/', '') = regexp_replace(r_etag, '^[Ww]/', '') then 'resolved' else 'mismatch' end as status
+    from matched where n = 1
+)
+select capture_id, url, status, response_id, case when status in ('resolved', 'unchecked') then r_d end as digest,
+    case when status in ('resolved', 'unchecked') then 'cache-control: max-age=' || age || chr(10) || 'content-length: ' || r_d[1:2]
+        || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || seconds || chr(10) || 'etag: ' || coalesce(etag, r_etag) end as headers
+from judged
+"""
+
 #: Parameters as in ``mixing``: seed 11, share 0.8, three epochs.
 MIXED = """
 with docs as (
@@ -117,4 +157,4 @@ with docs as (
 select doc_id, domain, lang, source, n_tokens::bigint as n_tokens, unnest(range(1, times::bigint + 1))::integer as epoch from counted
 """
 
-SQL = {"op5_benchmark_decontamination": CONTAINED, "op6_url_filter": URL_FILTER, "op8_source_mixing": MIXED}
+SQL = {"op5_benchmark_decontamination": CONTAINED, "op6_url_filter": URL_FILTER, "op7_revisit_resolution": REVISITS, "op8_source_mixing": MIXED}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapidary.llm import decontaminate, importance, line_crf, mixing, popcount_dedup, token_store, url_filter, wrapper
+from lapidary.llm import decontaminate, importance, licences, line_crf, mixing, popcount_dedup, revisits, token_store, url_filter, wrapper
 from lapidary.llm.common import new_path
 
 #: Names in a host that put its pages on the list of op6.
@@ -37,6 +37,11 @@ def op3_wrapper_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.page_id", "row.url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
 
 
+def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licences.scan(docs, licences.train(docs)).drop("text")
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -47,6 +52,39 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, listed).select("row.page_id", "host", "path", "rule", "verdict", "listed")
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """Three captures of each page: a full response, a revisit an hour later, and a visit to the host's first page.
+
+    The digest of the page decides what the last two look like, so that entity tags match, match weakly or differ.
+    """
+    digest = F.md5(F.coalesce("html", F.lit("")))
+    site = F.regexp_extract("url", "^[^/]*://[^/?#]*", 0)
+    page = pages.select("page_id", "url", digest.alias("d"), site.alias("site"), (F.lit(1767225600) + F.col("page_id") * 60).alias("t"))
+    tag = F.concat(F.lit('"'), F.substring("d", 1, 8), F.lit('"'))
+    visit = F.substring("d", 2, 1)
+
+    def headers(tag, seconds, age):
+        pairs = {"etag": tag, "date": seconds.cast("string"), "cache-control": F.concat(F.lit("max-age="), age), "content-length": F.substring("d", 1, 2), "content-type": F.lit("text/html")}
+        return F.map_filter(F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
+
+    first = F.substring("d", 1, 1)
+    again = F.when(first < "4", F.lit('"old"')).when(first < "8", F.concat(F.lit("W/"), tag)).when(first < "c", tag)
+    home = F.concat(F.lit('"'), visit, F.lit('"'))
+    kinds = [
+        (F.col("page_id") * 3, F.col("url"), F.col("t"), F.lit("response"), headers(tag, F.col("t"), F.lit("60"))),
+        (F.col("page_id") * 3 + 1, F.col("url"), F.col("t") + 3600, F.lit("revisit"), headers(again, F.col("t") + 3600, F.lit("90"))),
+        (F.col("page_id") * 3 + 2, F.concat("site", F.lit("/")), F.col("t") + 30,
+         F.when(first < "4", "response").otherwise("revisit"), headers(home, F.col("t") + 30, visit)),
+    ]
+    rows = F.array(*[F.struct(i.alias("capture_id"), u.alias("url"), t.alias("seconds"), k.alias("kind"), F.col("d").alias("digest"), h.alias("headers")) for i, u, t, k, h in kinds])
+    return page.select(F.explode(rows).alias("c")).select("c.*")
+
+
+def op7_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = revisits.resolve(captures(table(spark, sf_dir, "pages")))
+    return found.withColumn("headers", revisits.header_text(F.col("headers")))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = [mixing.domain_of(F.col("source")), F.col("lang"), F.col("source")]
     taken = mixing.mixed(table(spark, sf_dir, "documents"), paths)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lapidary.llm.common import written
+from lapidary.llm.common import first_by, written
 from lapidary.llm.wordhash import MIX, window_hashes, word_hashes, word_starts
 
 BUCKET_BITS = 14
@@ -58,7 +58,7 @@ def _counts(batches):
 def log_ratios(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SEED) -> list[float] | None:
     """Log ratio of target to raw probability per bucket, both smoothed by one; None without good labels."""
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("good_id")).distinct()
-    chosen = good.orderBy(F.xxhash64(F.lit(seed), "good_id"), "good_id").limit(sample)
+    chosen = first_by(good, F.xxhash64(F.lit(seed), "good_id"), sample).select("good_id")
     # Bounded: at most `sample` ids.
     texts = docs.select("doc_id", "text")
     flagged = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("good_id"), "left")

@@ -3,7 +3,7 @@
 A sparse softmax regression over word n-grams (one to three words, presence only) scores each paragraph for each
 licence family and for "unknown". It is fitted on the driver on a bounded set: the given templates, seeded variants of
 them with words left out, added and cut off, sentences that only use the same vocabulary, and at most ``sample`` paragraphs of
-the corpus by hash as unknown ones. Proximal steps keep the weights sparse; a temperature fitted on held-out rows
+as many corpus texts, both first by hash, as unknown ones. Proximal steps keep the weights sparse; a temperature fitted on held-out rows
 calibrates the probabilities, of the unknown class too.
 
 On the corpus all work is native expressions. A paragraph can only leave "unknown" if it holds one of the anchor
@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapidary.llm.common import written
+from lapidary.llm.common import first_by, written
 
 WORD = r"[a-z0-9]+(?:[.+-][a-z0-9]+)*"
 WIDTHS = (1, 2, 3)
@@ -164,7 +164,8 @@ def fit(templates: Mapping[str, Sequence[str]], others: list[str], rounds: int =
 
 def train(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, sample: int = SAMPLE, seed: int = SEED) -> Model:
     """``docs`` has ``text``. Paragraphs with a word that marks licences in nearly any wording are no unknown examples."""
-    lines = docs.select(F.explode_outer(F.split("text", "\n")).alias("line")).filter("length(line) between 1 and 1000")
+    some = first_by(docs.select("text"), F.xxhash64(F.lit(seed), "text"), sample)
+    lines = some.select(F.explode_outer(F.split("text", "\n")).alias("line")).filter("length(line) between 1 and 1000")
     plain = lines.filter(~F.lower("line").rlike("licen[sc]e|copyright|spdx|permission")).select("line")
     # Bounded: at most `sample` lines of at most 1000 characters.
     others = plain.select(F.xxhash64(F.lit(seed), "line").alias("order"), "line").distinct().orderBy("order", "line").limit(sample)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
+from lapidary.llm.common import first_by
 from lapidary.llm.wordhash import IS_BLANK, window_hashes, word_hashes, word_starts
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -181,7 +182,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int =
     """The field of ``docs`` (``doc_id, text``) and ``labels`` (``doc_id, quality``)."""
     order = F.xxhash64(F.lit(seed), "named")
     known = labels.filter("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("named"), "quality").distinct()
-    drawn = [known.filter(F.col("quality") == q).orderBy(order, "named").limit(sample) for q in (0, 1)]
+    drawn = [first_by(known.filter(F.col("quality") == q), order, sample).drop("order") for q in (0, 1)]
     # Bounded: at most twice `sample` ids.
     chosen = docs.select("doc_id", "text").join(F.broadcast(drawn[0].unionByName(drawn[1])), F.col("doc_id") == F.col("named"))
 

@@ -8,25 +8,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from lapidary import fixed
 from lapidary.functions import ids, text
-from lapidary.session import spread
+from lapidary.session import input_partitions, spread
 
 BASE_TIME = 1767225600  # 2026-01-01T00:00:00Z
 DATASET_VERSION = "0123456789abcdef"
 
 
-_schemas: dict[str, StructType] = {}
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; its schema is read from the footers once per process."""
-    path = f"{sf_dir}/{name}.parquet"
-    if path not in _schemas:
-        _schemas[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_schemas[path]).parquet(path)
+def dealt(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A given table whose rows carry much work, over as many partitions as the session asks for."""
+    rows = table(spark, sf_dir, name)
+    return spread(rows, key, input_partitions(rows))
 
 
 def minutes_after_base(minutes: Column) -> Column:
@@ -69,7 +67,7 @@ def document_quotes(documents: DataFrame) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id")
+    return dealt(spark, sf_dir, "documents", "doc_id").select("doc_id", "text", "lang", "source")
 
 
 def labelled(spark: SparkSession, sf_dir: str, condition: str) -> DataFrame:
@@ -82,7 +80,7 @@ def bronze_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bronze_supplemental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    talks = spread(table(spark, sf_dir, "conversations"), "conv_id")
+    talks = dealt(spark, sf_dir, "conversations", "conv_id")
     spoken = _lines(talks, "conv_id", "turn", "role").selectExpr(
         "concat('src', conv_id % 23) as thinker_qid",
         "concat('SRC', conv_id % 23) as thinker_name",
@@ -197,7 +195,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("request_id"),
-        F.date_format("ts", "yyyy-MM-dd").alias("on_date"),
+        F.col("ts").cast("date").cast("string").alias("on_date"),
         F.when(F.col("event_type").isin("click", "purchase"), F.concat(F.lit("SRC"), user % 30)).alias("thinker"),
         F.when(F.col("event_type").isin("view", "purchase", "error"), slug).alias("collection"),
         F.when(user % 4 == 0, "verificada").when(user % 4 == 1, "obra").alias("category"),
@@ -275,7 +273,7 @@ def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("} }"),
     )
     entity = F.concat(F.lit('{"entities": {"Q'), page, F.lit('": {}}}'))
-    return spread(table(spark, sf_dir, "pages"), "page_id").select(
+    return dealt(spark, sf_dir, "pages", "page_id").select(
         F.concat(F.lit("page "), page).alias("requested_name"),
         minutes_after_base(page).alias("fetched_at"),
         F.to_json(resolved).alias("resolution"),
@@ -421,7 +419,7 @@ def metadata_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("d"), F.floor(order / F.when(order % 19 == 0, 1).otherwise(2))).alias("dataset"),
         F.when(order % 11 == 0, 2).otherwise(3).alias("schema_version"),
         F.when(order % 7 == 0, "XYZ").otherwise(F.left(F.sha2(order.cast("string"), 256), F.lit(16))).alias("dataset_version"),
-        F.date_format("o_orderdate", "yyyy-MM-dd").alias("source_fetched_at"),
+        F.col("o_orderdate").cast("date").cast("string").alias("source_fetched_at"),
         F.lit("3").alias("pipeline_version"),
         F.lit("1").alias("parser_version"),
         F.when(order % 13 == 0, "  ").otherwise(F.concat(F.lit("run-"), order)).alias("run_id"),

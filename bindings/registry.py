@@ -24,12 +24,8 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(function: Query) -> Query:
-    def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return function(spark, sf_dir)
-
-    QUERIES[function.__name__] = prepared
-    return prepared
+    QUERIES[function.__name__] = function
+    return function
 
 
 def _silver(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,11 +104,18 @@ def collection_audit(spark, sf_dir):
     return reports.collection_audit(gold, _dim(spark, sf_dir), given.members(spark, sf_dir))
 
 
-def _relations(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    stg, queue = reused(_silver(spark, sf_dir)), given.queue(spark, sf_dir)
-    gold = reused(gold_plan.curate(stg, given.allowlist(spark, sf_dir)))
+#: Columns of gold that no column test reads.
+TEXT_COLUMNS = ("quote_text", "original_text", "work", "source_url", "translator_name", "translation_url", "fetched_at")
+
+
+def _relations(spark: SparkSession, sf_dir: str, texts: bool = False) -> dict[str, DataFrame]:
+    """All relations. Gold holds a row for each silver row, so silver is read from it; texts only where asked for."""
+    gold, queue = _gold(spark, sf_dir), given.queue(spark, sf_dir)
+    if not texts:
+        gold = gold.withColumns({c: F.lit(None).cast(gold.schema[c].dataType) for c in TEXT_COLUMNS})
+    gold = reused(gold)
     return {
-        "stg_quotes": stg,
+        "stg_quotes": gold,
         "dim_thinkers": _dim(spark, sf_dir),
         "fct_quotes": gold,
         "editorial_review_queue": gold_plan.review_queue(queue, gold),
@@ -143,7 +146,11 @@ def accepted_values_violations(spark, sf_dir):
 
 @query
 def relationship_violations(spark, sf_dir):
-    return checks.relationships(_relations(spark, sf_dir))
+    gold, queue = _gold(spark, sf_dir).select("thinker_qid", "quote_id"), given.queue(spark, sf_dir)
+    # One row of the review queue for each queued quote that gold holds.
+    entries = queue.select("thinker_qid", "quote_id").join(gold.distinct(), ["thinker_qid", "quote_id"]).dropDuplicates(["quote_id"])
+    tables = {"fct_quotes": gold, "editorial_review_queue": entries, "dim_thinkers": _dim(spark, sf_dir)}
+    return checks.relationships(tables)
 
 
 @query
@@ -161,14 +168,65 @@ def source_artifact_violations(spark, sf_dir):
     return checks.source_artifacts(_silver(spark, sf_dir))
 
 
+def _wrongly_eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold with approved rows made eligible against the rules, so that the checks have something to find."""
+    return _gold(spark, sf_dir).withColumn("is_daily_eligible", F.col("editorial_approved"))
+
+
 @query
 def citation_only_daily_violations(spark, sf_dir):
-    return checks.citation_only_daily(_gold(spark, sf_dir))
+    return checks.citation_only_daily(_wrongly_eligible(spark, sf_dir))
 
 
 @query
 def attribution_section_daily_violations(spark, sf_dir):
-    return checks.attribution_section_daily(_gold(spark, sf_dir))
+    return checks.attribution_section_daily(_wrongly_eligible(spark, sf_dir))
+
+
+@query
+def gates_without_eligible(spark, sf_dir):
+    """The publication gates on gold without an eligible row and without provenance."""
+    none = reused(_gold(spark, sf_dir).select("thinker_qid", F.lit(False).alias("is_daily_eligible")))
+    provenance = spark.createDataFrame([], "run_id string")
+    return publication.gate_violations(none, _dim(spark, sf_dir), _expected(spark, sf_dir), provenance)
+
+
+@query
+def publication_counts(spark, sf_dir):
+    """Row counts of gold and serving tables, equal in a complete publication."""
+    gold, dim = _gold(spark, sf_dir), _dim(spark, sf_dir)
+    pairs = {"quotes": (gold, publication.serving_quotes(gold)), "thinkers": (dim, publication.serving_thinkers(dim))}
+    frames = [publication.count_comparison(name, *pair) for name, pair in pairs.items()]
+    return frames[0].unionByName(frames[1])
+
+
+@query
+def provenance_rows(spark, sf_dir):
+    """Provenance of a run that holds the fetched pages without a failure."""
+    records = snapshots.source_records(given.fetched_pages(spark, sf_dir)).filter("status = 'success'")
+    return publication.provenance_rows(snapshots.manifest_summary(snapshots.manifest(records, "run")), "local")
+
+
+@query
+def queue_checks_switched(spark, sf_dir):
+    """Entries that each queue check finds, switched on and off."""
+    gold, dim, queue = reused(_gold(spark, sf_dir).drop(*TEXT_COLUMNS)), _dim(spark, sf_dir), given.queue(spark, sf_dir)
+    frames = []
+    for enabled in (True, False):
+        found = {
+            "missing": checks.queue_missing(queue, gold, enabled),
+            "approved": checks.queue_already_approved(queue, gold, enabled),
+            "hard": checks.queue_hard_failures(queue, gold, enabled),
+            "balance": checks.queue_balance(queue, dim, 14, ("src7",), enabled),
+        }
+        frames += [
+            rows.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(name).alias("check"), F.lit(enabled).alias("enabled"), "violations")
+            for name, rows in found.items()
+        ]
+    first, *rest = frames
+    for frame in rest:
+        first = first.unionByName(frame)
+    return first
 
 
 @query
@@ -203,7 +261,7 @@ def queue_balance(spark, sf_dir):
 
 @query
 def failed_checks(spark, sf_dir):
-    return build.failed_checks(_relations(spark, sf_dir), queue_expected=14, queue_exempt=("src7",))
+    return build.failed_checks(_relations(spark, sf_dir, texts=True), queue_expected=14, queue_exempt=("src7",))
 
 
 @query
@@ -287,6 +345,14 @@ def quote_pages(spark, sf_dir):
     return picks.page_of(rows, ["thinker_qid"], "occurrence_id", offset=25, limit=10)
 
 
+@query
+def quote_page_figures(spark, sf_dir):
+    """A row for each thinker, empty pages included."""
+    counts = _gold(spark, sf_dir).groupBy("thinker_qid").agg(F.count(F.lit(1)).alias("n"))
+    thinkers = _dim(spark, sf_dir).select("thinker_qid").join(counts, "thinker_qid", "left")
+    return picks.page_figures(thinkers.select("thinker_qid", F.coalesce("n", F.lit(0)).alias("total")), offset=25, limit=10)
+
+
 def _section_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     carried = extraction.carry_sections(given.section_blocks(spark, sf_dir), ["doc_id"], "line_no")
     items = carried.filter(~F.col("is_heading")).withColumnRenamed("text", "item").drop("is_heading")
@@ -368,8 +434,7 @@ def source_records(spark, sf_dir):
 @query
 def manifest_summary(spark, sf_dir):
     records = snapshots.source_records(given.fetched_pages(spark, sf_dir))
-    rows = snapshots.manifest(records, "run").withColumn("fetched_at", F.unix_seconds("fetched_at"))
-    return snapshots.manifest_summary(rows)
+    return snapshots.manifest_summary(snapshots.manifest(records, "run"))
 
 
 @query
@@ -390,7 +455,7 @@ ARTICLE_PAGES = page_source.PageRules(
 
 @query
 def html_quotes(spark, sf_dir):
-    pages = given.spread(given.table(spark, sf_dir, "pages"), "page_id").select(
+    pages = given.dealt(spark, sf_dir, "pages", "page_id").select(
         F.concat(F.lit("Q"), "page_id").alias("qid"),
         F.concat(F.lit("page "), "page_id").alias("name"),
         F.col("url").alias("title"),
@@ -427,7 +492,8 @@ def quote_search(spark, sf_dir):
     wanted = given.table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query_text")
     )
-    return search.search_texts(wanted, reused(_texts(spark, sf_dir)), "occurrence_id", "quote_text")
+    index = search.token_index(_texts(spark, sf_dir), "occurrence_id", "quote_text")
+    return search.search_index(wanted, index, "occurrence_id")
 
 
 @query
@@ -436,6 +502,12 @@ def name_search(spark, sf_dir):
     return search.search_names(given.name_queries(spark, sf_dir), names, limit=5)
 
 
+@query
+def name_search_figures(spark, sf_dir):
+    names = given.names(spark, sf_dir).drop("entity_qid")
+    return search.search_figures(given.name_queries(spark, sf_dir), names, limit=5)
+
+
 @query
 def name_resolution(spark, sf_dir):
     names = given.names(spark, sf_dir)
@@ -506,6 +578,7 @@ def thinker_profiles(spark, sf_dir):
     documents = given.documents(spark, sf_dir)
     qid = F.concat(F.lit("Q"), "doc_id").alias("qid")
     quotes = given.document_quotes(documents).withColumn("qid", qid)
+    # Not a cut of the input: entities of German documents stand for those whose page could not be fetched.
     pages = documents.filter("lang <> 'de'").select(qid)
     rows = profiles.thinker_profiles(_profiles(spark, sf_dir), pages, quotes, ["fetched_at", "text"], sample=3)
     return rows.select(
@@ -513,6 +586,13 @@ def thinker_profiles(spark, sf_dir):
     )
 
 
+@query
+def influence_graph(spark, sf_dir):
+    edges = profiles.influence_edges(given.claims(spark, sf_dir), given.labels(spark, sf_dir))
+    graph = profiles.influence_graph(given.entities(spark, sf_dir), edges)
+    return graph.select("qid", "name", _joined("influenciado_por", "qid", "nome"))
+
+
 @query
 def influence_edges(spark, sf_dir):
     return profiles.influence_edges(given.claims(spark, sf_dir), given.labels(spark, sf_dir))

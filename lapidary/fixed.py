@@ -149,3 +149,63 @@ COLLECTIONS = [
         ["John Stuart Mill", "Friedrich Nietzsche", "Jean-Paul Sartre", "Nelson Mandela"],
     ),
 ]
+
+# Columns of the serving tables, of the build metadata and of a selected quote.
+SERVING_THINKERS = ["thinker_qid", "thinker_name", "wikiquote_title", "source_url", "source_revision", "fetched_at"]
+SERVING_QUOTES = [
+    "occurrence_id",
+    "quote_id",
+    "thinker_qid",
+    "quote_text",
+    "original_text",
+    "original_language",
+    "category",
+    "work",
+    "source_url",
+    "source_name",
+    "source_license",
+    "source_revision",
+    "translator_name",
+    "translation_license",
+    "translation_url",
+    "character_count",
+    "curation_status",
+    "quality_reason",
+    "quality_reasons",
+    "is_daily_eligible",
+]
+METADATA_TEXTS = [
+    "dataset_version",
+    "source_fetched_at",
+    "pipeline_version",
+    "parser_version",
+    "run_id",
+    "manifest_sha256",
+    "source_commit",
+]
+SERVING_NULLABLE = {
+    "original_text",
+    "original_language",
+    "work",
+    "translator_name",
+    "translation_license",
+    "translation_url",
+}
+SELECTION_FIELDS = [
+    "occurrence_id",
+    "quote_text",
+    "original_text",
+    "original_language",
+    "thinker_name",
+    "category",
+    "work",
+    "source_name",
+    "source_license",
+    "source_url",
+    "translator_name",
+    "translation_license",
+    "translation_url",
+]
+
+# Fixed value: the thinker without queue entries.
+QUEUE_EXEMPT = ("Q7186",)

@@ -11,18 +11,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapidary.functions import ids
+from lapidary.session import reused
 
 SLICE_DIGITS = 3
+#: Slice of rows without identity: after all digits, so they come last.
+LAST = "g"
 
 
 def slice_of(identity: Column, digits: int = SLICE_DIGITS) -> Column:
-    return F.substring(identity, 1, digits)
+    return F.coalesce(F.substring(identity, 1, digits), F.lit(LAST))
 
 
 def slice_bounds(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Rows before each slice (``before``), in it (``rows``) and in all slices of the key (``total``).
 
-    The window runs over counts, at most ``16 ** SLICE_DIGITS`` rows for a key.
+    The window runs over counts, at most ``16 ** digits`` rows for a key.
     """
     ordered = Window.partitionBy(*keys).orderBy("slice")
     running = F.sum("rows").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -31,25 +34,45 @@ def slice_bounds(counts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def page_of(rows: DataFrame, keys: list[str], identity: str, offset: int, limit: int) -> DataFrame:
-    """Rows ``offset .. offset + limit`` of every key in identity order, with ``position`` and page figures."""
-    sliced = rows.withColumn("slice", slice_of(F.col(identity)))
-    bounds = slice_bounds(sliced.groupBy(*keys, "slice").agg(F.count(F.lit(1)).alias("rows")), keys)
-    wanted = bounds.filter((F.col("before") < offset + limit) & (F.col("before") + F.col("rows") > offset))
+def page_figures(totals: DataFrame, offset: int, limit: int) -> DataFrame:
+    """Figures of the page ``offset .. offset + limit`` for every key of ``totals`` (keys, total), empty pages too."""
+    size = F.greatest(F.lit(0), F.least(F.lit(limit), F.col("total") - offset))
+    return totals.select(
+        "*",
+        size.cast("long").alias("page_count"),
+        F.lit(offset).alias("page_offset"),
+        F.lit(limit).alias("page_limit"),
+        (F.col("total") > offset + limit).alias("has_more"),
+    )
+
+
+def _with_figures(rows: DataFrame, offset: int, limit: int) -> DataFrame:
+    return page_figures(rows, offset, limit).drop("page_offset", "page_limit")
+
+
+def page_of(
+    rows: DataFrame, keys: list[str], identity: str, offset: int, limit: int, digits: int = SLICE_DIGITS
+) -> DataFrame:
+    """Rows ``offset .. offset + limit`` of every key in identity order, with ``position`` and page figures.
+
+    Rows without identity come last. Keys without a row on the page have none here; see ``page_figures``.
+    """
+    sliced = rows.withColumn("slice", slice_of(F.col(identity), digits))
+    counts = sliced.groupBy(*keys, "slice").agg(F.count(F.lit(1)).alias("rows"))
+    wanted = slice_bounds(counts, keys).filter(
+        (F.col("before") < offset + limit) & (F.col("before") + F.col("rows") > offset)
+    )
+    same = F.col("slice") == F.col("wanted_slice")
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"wanted_{key}"))
+    renamed = wanted.drop("rows").withColumnsRenamed({name: f"wanted_{name}" for name in [*keys, "slice"]})
+    order = Window.partitionBy(*keys, "slice").orderBy(F.asc_nulls_last(identity))
     ranked = (
-        sliced.join(wanted.drop("rows"), [*keys, "slice"])
-        .withColumn(
-            "position",
-            F.col("before") + F.row_number().over(Window.partitionBy(*keys, "slice").orderBy(identity)) - 1,
-        )
+        sliced.join(renamed, same)
+        .withColumn("position", F.col("before") + F.row_number().over(order) - 1)
         .filter((F.col("position") >= offset) & (F.col("position") < offset + limit))
     )
-    size = F.greatest(F.lit(0), F.least(F.lit(limit), F.col("total") - offset))
-    return (
-        ranked.withColumn("page_count", size)
-        .withColumn("has_more", F.col("total") > offset + limit)
-        .drop("slice", "before")
-    )
+    return _with_figures(ranked.drop("slice", "before", *[c for c in renamed.columns if c.startswith("wanted_")]), offset, limit)
 
 
 def page_in_order(rows: DataFrame, page: list[str], order: str, offset: int, limit: int) -> DataFrame:
@@ -64,43 +87,53 @@ def page_in_order(rows: DataFrame, page: list[str], order: str, offset: int, lim
             "total": F.count(F.lit(1)).over(whole),
         }
     )
-    size = F.greatest(F.lit(0), F.least(F.lit(limit), F.col("total") - offset))
-    return (
-        numbered.filter((F.col("position") >= offset) & (F.col("position") < offset + limit))
-        .withColumn("page_count", size)
-        .withColumn("has_more", F.col("total") > offset + limit)
-    )
+    on_page = numbered.filter((F.col("position") >= offset) & (F.col("position") < offset + limit))
+    return _with_figures(on_page, offset, limit)
 
 
-def pick_by_seed(quotes: DataFrame, requests: DataFrame, members: DataFrame) -> DataFrame:
+def pick_by_seed(
+    quotes: DataFrame, requests: DataFrame, members: DataFrame, digits: int = SLICE_DIGITS
+) -> DataFrame:
     """For each request, the quote at ``seed mod n`` among the ``n`` matching quotes by occurrence order.
 
     ``quotes``: thinker_name, category, character_count, occurrence_id;
     ``requests``: request_id, scope, category, max_length (both nullable), seed;
     ``members``: scope, thinker_name, without repeats.
-    Requests with the same filters share one filter row, and filters meet the
-    counts per (thinker, category, length, slice) rather than the quotes.
+    Requests with the same filters share one filter row. Lengths count only as
+    the band between the requested limits, so filters meet one count per
+    (thinker, category, band, slice) rather than the quotes. ``digits`` sets the
+    slices: the last window ranks the rows of a filter in one of ``16 ** digits``.
+    Quotes without an occurrence_id are not eligible.
     Returns request_id, ``matches`` and the columns of the picked quote; requests
     without a match are absent. ``quotes`` is read twice.
     """
+    # Bounded: a number for each distinct limit of the requests, which are text lengths.
+    limits = sorted(r[0] for r in requests.select("max_length").distinct().collect() if r[0] is not None)
+
+    def band(length: Column) -> Column:
+        """Number of limits below a length: a quote fits the limits from its band on; null is beyond all of them."""
+        below = F.lit(0)
+        for limit in limits:
+            below = below + F.when(F.lit(limit) < length, 1).otherwise(0)
+        return F.when(length.isNull(), len(limits)).otherwise(below)
+
     filters = ["scope", "category", "max_length"]
-    sliced = quotes.withColumn("slice", slice_of(F.col("occurrence_id")))
-    cells = sliced.groupBy("thinker_name", "category", "character_count", "slice").agg(
-        F.count(F.lit(1)).alias("cell_rows")
-    )
-    wanted = requests.select(*filters).distinct().withColumn("filter_id", F.xxhash64(*_filled(filters)))
-    by_name = wanted.withColumnsRenamed({"category": "wanted_category", "max_length": "wanted_length"}).join(
-        members, "scope"
+    sliced = quotes.filter(F.col("occurrence_id").isNotNull()).withColumns(
+        {"slice": slice_of(F.col("occurrence_id"), digits), "band": band(F.col("character_count"))}
     )
+    cells = sliced.groupBy("thinker_name", "category", "band", "slice").agg(F.count(F.lit(1)).alias("cell_rows"))
+    distinct = requests.select(*filters).distinct().withColumn("filter_id", F.xxhash64(*_filled(filters)))
+    wanted = distinct.withColumn("max_length", band(F.col("max_length"))).withColumnRenamed("max_length", "wanted_band")
+    by_name = wanted.withColumnRenamed("category", "wanted_category").join(members, "scope")
 
     def matching(side: DataFrame) -> DataFrame:
         return side.filter(
             (F.col("wanted_category").isNull() | (F.col("wanted_category") == F.col("category")))
-            & (F.col("wanted_length").isNull() | (F.col("character_count") <= F.col("wanted_length")))
+            & (F.col("band") <= F.col("wanted_band"))
         )
 
-    per_slice = matching(cells.join(by_name, "thinker_name")).groupBy("filter_id", "slice").agg(
-        F.sum("cell_rows").alias("rows")
+    per_slice = reused(
+        matching(cells.join(by_name, "thinker_name")).groupBy("filter_id", "slice").agg(F.sum("cell_rows").alias("rows"))
     )
     totals = per_slice.groupBy("filter_id").agg(F.sum("rows").alias("matches"))
     positions = (
@@ -122,7 +155,7 @@ def pick_by_seed(quotes: DataFrame, requests: DataFrame, members: DataFrame) ->
         last.alias("last"),
         F.explode(F.sequence(_bin(F.col("before"), F.col("total")), _bin(last, F.col("total")))).alias("bin"),
     )
-    placed = (
+    placed = reused(
         positions.join(binned, ["filter_id", "bin"])
         .filter(F.col("position").between(F.col("before"), F.col("last")))
         .withColumn("place", F.col("position") - F.col("before") + 1)
@@ -131,7 +164,7 @@ def pick_by_seed(quotes: DataFrame, requests: DataFrame, members: DataFrame) ->
     needed = placed.select("filter_id", "slice").distinct().join(by_name, "filter_id")
     ranked = (
         matching(sliced.join(needed, ["thinker_name", "slice"]))
-        .drop("scope", "wanted_category", "wanted_length")
+        .drop("scope", "band", "wanted_category", "wanted_band")
         .withColumn(
             "place",
             F.row_number().over(Window.partitionBy("filter_id", "slice").orderBy("occurrence_id")).cast("long"),

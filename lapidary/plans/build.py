@@ -66,7 +66,7 @@ def ingest(
     summary.write.mode("errorifexists").parquet(f"{run_dir}/manifest_summary")
     result = spark.read.parquet(f"{run_dir}/manifest_summary").first()
     if result is None or result.status != "complete":
-        raise SourceFailed("one or more sources failed; bronze was not loaded")
+        raise SourceFailed(f"sources failed ({result.error if result else 'none given'}); bronze was not loaded")
     pages = snapshots.pages_of(records)
     tables.write_bronze(extraction.extract_quotes(pages, rules), run_dir, "quotes")
     tables.write_bronze(reviewed, run_dir, "supplemental_quotes")
@@ -86,7 +86,7 @@ def transform(
     daily: int = fixed.DAILY_QUOTES_PER_THINKER,
     validate_queue: bool = True,
     queue_expected: int = 2,
-    queue_exempt: tuple[str, ...] = ("Q7186",),
+    queue_exempt: tuple[str, ...] = fixed.QUEUE_EXEMPT,
 ) -> dict[str, DataFrame]:
     """Silver and gold tables from bronze, then the data tests on what was written.
 
@@ -124,7 +124,7 @@ def failed_checks(
     daily: int = fixed.DAILY_QUOTES_PER_THINKER,
     validate_queue: bool = True,
     queue_expected: int = 2,
-    queue_exempt: tuple[str, ...] = ("Q7186",),
+    queue_exempt: tuple[str, ...] = fixed.QUEUE_EXEMPT,
 ) -> DataFrame:
     """All data tests as (check, violations); only failing ones are listed."""
     stg, fct = relations["stg_quotes"], relations["fct_quotes"]

@@ -195,7 +195,7 @@ def queue_balance(
     queue: DataFrame,
     thinkers: DataFrame,
     expected: int = 2,
-    exempt: tuple[str, ...] = ("Q7186",),
+    exempt: tuple[str, ...] = fixed.QUEUE_EXEMPT,
     enabled: bool = True,
 ) -> DataFrame:
     """Thinkers without the expected number of queue entries; exempt thinkers must have none."""

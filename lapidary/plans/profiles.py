@@ -161,6 +161,20 @@ def thinker_profiles(
     ).drop("_available", "_sample")
 
 
+def influence_graph(entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row per entity with its direct influences in order, an empty list where it has none.
+
+    An entity's list is as long as its own claims.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("pos", "influence_qid", "nome", "url")))
+    found = edges.groupBy("qid").agg(listed.alias("_listed"))
+    listed = F.transform("_listed", lambda x: F.struct(x["influence_qid"].alias("qid"), x["nome"].alias("nome"), x["url"].alias("url")))
+    none = F.array().cast("array<struct<qid:string,nome:string,url:string>>")
+    return entities.select("qid", "name").join(found, "qid", "left").select(
+        "qid", "name", F.coalesce(listed, none).alias("influenciado_por")
+    )
+
+
 def influence_edges(claims: DataFrame, labels: DataFrame) -> DataFrame:
     """Direct influences of every entity: first mention kept, unlabelled ones dropped."""
     influences = labelled_references(claims.filter(F.col("pid") == fixed.INFLUENCED_BY), labels)

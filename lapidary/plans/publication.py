@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,46 +14,7 @@ from lapidary.functions.text import strip_whitespace
 from lapidary.operators import violations as v
 from lapidary.plans import checks, search
 
-SERVING_THINKERS = ["thinker_qid", "thinker_name", "wikiquote_title", "source_url", "source_revision", "fetched_at"]
-SERVING_QUOTES = [
-    "occurrence_id",
-    "quote_id",
-    "thinker_qid",
-    "quote_text",
-    "original_text",
-    "original_language",
-    "category",
-    "work",
-    "source_url",
-    "source_name",
-    "source_license",
-    "source_revision",
-    "translator_name",
-    "translation_license",
-    "translation_url",
-    "character_count",
-    "curation_status",
-    "quality_reason",
-    "quality_reasons",
-    "is_daily_eligible",
-]
-METADATA_TEXTS = [
-    "dataset_version",
-    "source_fetched_at",
-    "pipeline_version",
-    "parser_version",
-    "run_id",
-    "manifest_sha256",
-    "source_commit",
-]
-_NULLABLE = {
-    "original_text",
-    "original_language",
-    "work",
-    "translator_name",
-    "translation_license",
-    "translation_url",
-}
+SERVING_THINKERS, SERVING_QUOTES, METADATA_TEXTS = fixed.SERVING_THINKERS, fixed.SERVING_QUOTES, fixed.METADATA_TEXTS
 _HEX_16 = r"^[0-9a-f]{16}\z"
 _HEX_64 = r"^[0-9a-f]{64}\z"
 
@@ -66,7 +28,13 @@ class DatasetUnavailable(RuntimeError):
 
 
 def _time_text(column: str):
-    return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSSXXX")
+    """A time as text in UTC, whatever the session's time zone."""
+    micros = F.unix_micros(column)
+    days = F.floor(micros / 86_400_000_000)
+    rest = micros - days * 86_400_000_000
+    parts = [(rest / 3_600_000_000, 2, ":"), (rest / 60_000_000 % 60, 2, ":"), (rest / 1_000_000 % 60, 2, "."), (rest % 1_000_000, 6, "Z")]
+    clock = [x for value, width, after in parts for x in (F.lpad(F.floor(value).cast("string"), width, "0"), F.lit(after))]
+    return F.concat(F.date_add(F.lit("1970-01-01").cast("date"), days.cast("int")).cast("string"), F.lit(" "), *clock)
 
 
 def serving_thinkers(thinkers: DataFrame) -> DataFrame:
@@ -97,7 +65,7 @@ def dataset_version(thinkers: DataFrame, quotes: DataFrame) -> DataFrame:
 
 def serving_constraints(thinkers: DataFrame, quotes: DataFrame) -> DataFrame:
     """Violations of the serving tables' keys, references, required columns and value checks."""
-    required = [c for c in SERVING_QUOTES if c not in _NULLABLE]
+    required = [c for c in SERVING_QUOTES if c not in fixed.SERVING_NULLABLE]
 
     def counted(label: str, df: DataFrame) -> DataFrame:
         return df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(label).alias("constraint"), "violations")
@@ -175,6 +143,28 @@ def gate_violations(
     )
 
 
+def count_comparison(name: str, source: DataFrame, served: DataFrame) -> DataFrame:
+    """Rows of a table and of its serving form, as (relation, source_rows, served_rows)."""
+    rows = source.select(F.lit(0).alias("served")).unionByName(served.select(F.lit(1).alias("served")))
+    return rows.agg(
+        F.lit(name).alias("relation"),
+        F.count_if(F.col("served") == 0).alias("source_rows"),
+        F.count_if(F.col("served") == 1).alias("served_rows"),
+    )
+
+
+def provenance_rows(summary: DataFrame, source_commit: str = "local") -> DataFrame:
+    """Provenance of the complete runs of a manifest summary whose digest is a lower-case hexadecimal SHA-256."""
+    good = summary.filter((F.col("status") == "complete") & F.col("manifest_sha256").rlike(_HEX_64))
+    return good.select(
+        "run_id",
+        "manifest_sha256",
+        F.lit(fixed.PIPELINE_VERSION).alias("pipeline_version"),
+        F.lit(fixed.PARSER_VERSION).alias("parser_version"),
+        F.lit(source_commit.strip() or "local").alias("source_commit"),
+    )
+
+
 def provenance_row(spark: SparkSession, run_id: str, manifest_sha256: str, source_commit: str = "local") -> DataFrame:
     if len(manifest_sha256) != 64 or set(manifest_sha256) - set("0123456789abcdef"):
         raise ValueError("manifest_sha256 must be a lower-case hexadecimal SHA-256")
@@ -263,7 +253,9 @@ def publish(
 def current_folder(spark: SparkSession, target: str) -> str:
     try:
         newest = spark.read.parquet(f"{target}/pointer").orderBy(F.desc("published_at")).first()
-    except Exception as error:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise DatasetUnavailable("no published dataset") from error
     if newest is None:
         raise DatasetUnavailable("no published dataset")

@@ -55,6 +55,27 @@ def search_texts(
     )
 
 
+def search_index(queries: DataFrame, index: DataFrame, identity: str) -> DataFrame:
+    """As ``search_texts`` over the postings (token, identity) alone, with one look-up in the index.
+
+    A text that holds all of a query's distinct tokens has as many postings in common with it. The postings of the
+    query's own tokens are joined once; texts are not read again, and a posting is a token and an identity.
+    """
+    terms = queries.select("query_id", F.explode(token_list(F.col("query_text"))).alias("token"))
+    needed = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("_needed"))
+    shared = index.join(terms, "token").groupBy("query_id", identity).agg(F.count(F.lit(1)).alias("_shared"))
+    return shared.join(needed, "query_id").filter("_shared = _needed").select("query_id", identity)
+
+
+def search_figures(queries: DataFrame, names: DataFrame, limit: int = 5) -> DataFrame:
+    """Figures of the page of hits of every query, those without a hit included: hits, page_limit, has_more."""
+    pages = search_names(queries, names, limit).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    hits = F.coalesce("n", F.lit(0))
+    return queries.select("query_id").join(pages, "query_id", "left").select(
+        "query_id", hits.alias("hits"), F.lit(limit).alias("page_limit"), (hits == limit).alias("has_more")
+    )
+
+
 def search_names(queries: DataFrame, names: DataFrame, limit: int = 5) -> DataFrame:
     """First ``limit`` names with all tokens of each query, by title and identity.
 

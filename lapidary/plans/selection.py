@@ -7,24 +7,14 @@ import secrets
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lapidary import fixed
 from lapidary.functions import ids
 from lapidary.operators.picks import pick_by_seed
+from lapidary.session import reused
 
-_SHOWN = [
-    "occurrence_id",
-    "quote_text",
-    "original_text",
-    "original_language",
-    "thinker_name",
-    "category",
-    "work",
-    "source_name",
-    "source_license",
-    "source_url",
-    "translator_name",
-    "translation_license",
-    "translation_url",
-]
+#: Stands for every category; no category is empty.
+_ANY = ""
+_SHOWN = fixed.SELECTION_FIELDS
 
 
 def _by_thinker(name: Column) -> Column:
@@ -89,7 +79,7 @@ def daily_selection(
     """One eligible quote per request, uniform over the eligible occurrences that match.
 
     ``requests``: request_id, on_date (ISO text), thinker, collection, category,
-    max_length, the last four nullable; ``members``: slug, thinker_name.
+    max_length, the last four nullable; ``members``: slug, title, thinker_name.
     """
     eligible = (
         gold.filter("is_daily_eligible")
@@ -108,7 +98,14 @@ def daily_selection(
     seeded = checked.withColumn("seed", ids.seed(key)).withColumn(
         "scope", _scope(F.col("thinker"), F.col("collection"))
     )
-    return _answer(seeded, _pick(eligible, seeded.filter("problem is null"), _scopes(members)))
+    seeded = reused(seeded)
+    answers = _answer(seeded, _pick(eligible, seeded.filter("problem is null"), _scopes(members)))
+    titles = members.groupBy(F.col("slug").alias("collection")).agg(F.min("title").alias("collection_title"))
+    return answers.join(titles, "collection", "left").withColumns({
+        "mode": F.lit("daily"),
+        "dataset_version": F.lit(dataset_version),
+        "dataset_schema": F.lit(fixed.SERVING_SCHEMA_VERSION),
+    })
 
 
 def collection_samples(
@@ -132,8 +129,9 @@ def two_stage_selection(
 ) -> DataFrame:
     """Choose a thinker first, then one of its matching quotes, so thinkers weigh alike.
 
-    Candidates are ordered by a digest of seed and name; the first one with a
-    match supplies the quote. ``quotes`` need not be eligible, and a thinker
+    The first candidate with a match in a seeded random order is a uniform pick
+    among the candidates that match: the thinker at ``seed mod n`` of the ``n`` that
+    match the request's filter, by digest of the name. No request meets the names. ``quotes`` need not be eligible, and a thinker
     outside the catalogue is served if it has quotes. Random mode seeds each
     request from one number drawn per call; give ``random_seed`` to repeat a draw.
     """
@@ -149,28 +147,32 @@ def two_stage_selection(
     else:
         draw = secrets.randbits(63) if random_seed is None else random_seed
         key = ids.selection_key(F.lit(str(draw)), F.col("request_id").cast("string"))
-    checked = checked.withColumn("_key", key)
+    checked = reused(checked.withColumn("_key", key))
     candidates = _scopes(members).unionByName(
         checked.filter("thinker is not null")
         .select(_by_thinker(F.col("thinker")).alias("scope"), F.col("thinker").alias("thinker_name"))
         .distinct()
     )
     open_requests = checked.filter("problem is null").withColumn("scope", _scope(F.col("thinker"), F.col("collection")))
-    # The shortest quote per thinker and category decides whether a length limit leaves a match.
-    shortest = quotes.groupBy("thinker_name", "category").agg(F.min("character_count").alias("_shortest"))
-    first = (
-        open_requests.withColumnRenamed("category", "_wanted")
-        .join(candidates.distinct(), "scope")
-        .join(shortest, "thinker_name")
-        .filter(F.col("_wanted").isNull() | (F.col("_wanted") == F.col("category")))
-        .filter(F.col("max_length").isNull() | (F.col("_shortest") <= F.col("max_length")))
-        .groupBy("request_id")
-        .agg(
-            F.min_by(
-                "thinker_name", F.struct(F.sha2(F.concat_ws("|", "_key", "thinker_name"), 256), "thinker_name")
-            ).alias("_first")
-        )
+    # A thinker matches a filter if its shortest quote of the category, or of any, fits the limit. These rows stand
+    # in for the thinkers, in the order of a digest of the name, so the same pick serves both stages.
+    categories = F.explode(F.array(F.col("category"), F.lit(_ANY)))
+    shortest = (
+        quotes.filter("thinker_name is not null")
+        .select("thinker_name", categories.alias("category"), "character_count")
+        .groupBy("thinker_name", "category")
+        .agg(F.min("character_count").alias("character_count"))
+        .withColumn("occurrence_id", F.sha2("thinker_name", 256))
+    )
+    for_names = open_requests.select(
+        "request_id",
+        "scope",
+        F.coalesce("category", F.lit(_ANY)).alias("category"),
+        "max_length",
+        ids.seed(F.col("_key")).alias("seed"),
     )
+    picked = pick_by_seed(reused(shortest), for_names, candidates.distinct())
+    first = reused(picked.select("request_id", F.col("thinker_name").alias("_first")))
     second = (
         open_requests.join(first, "request_id")
         .withColumn("scope", _by_thinker(F.col("_first")))

@@ -2,38 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+#: Session setting: number of partitions over which rows of small inputs are dealt; unset leaves the scan's own.
+INPUT_PARTITIONS = "spark.lapidary.input.partitions"
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach, as the cluster names it; a local one only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    local = tempfile.mkdtemp(prefix="lapidary-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
+
+def shared_folder(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None)
 
 
 def reused(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder, for plans that read them more than once.
+    """Rows that a plan reads more than once.
 
-    The work behind them then runs once, and a lost executor costs a re-read.
+    Where the cluster names a shared folder (``spark.checkpoint.dir``) they are written to it, which also ends the plan
+    behind them; the schema is read from the files, so missing files are an error. Else the executors keep the rows and
+    what a lost one held is computed again. No folder is chosen here. Callers keep narrow rows only.
     """
-    path = f"{shared_dir(df.sparkSession)}/reused-{uuid.uuid4().hex}"
+    folder = shared_folder(df.sparkSession)
+    if not folder:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{folder.rstrip('/')}/reused-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread rows read from a handful of files over the cores.
+def spread(df: DataFrame, key: str, partitions: int | None) -> DataFrame:
+    """Deal rows over an explicit number of partitions; None leaves the table as the scan splits it."""
+    return df if partitions is None else df.repartition(partitions, key)
 
-    A table of many files is split by the scan already and passes unchanged;
-    only a table with fewer files than half the cores, whose rows would sit in
-    a few tasks, is shuffled.
-    """
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    return df if 2 * len(df.inputFiles()) >= parallelism else df.repartition(parallelism, key)
+
+def input_partitions(df: DataFrame) -> int | None:
+    wanted = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return int(wanted) if wanted else None

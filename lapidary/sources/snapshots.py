@@ -95,19 +95,25 @@ def manifest(records: DataFrame, run_id: str) -> DataFrame:
 
 
 def manifest_summary(rows: DataFrame) -> DataFrame:
-    """Per run: status, counts and an order-free digest of all manifest fields."""
-    fields = [F.col(c) for c in rows.columns]
+    """Per run: status, counts, the first failed source's error and an order-free digest of all manifest fields."""
+    # Times count as microseconds: their text would depend on the session's time zone.
+    fields = [F.unix_micros(c) if kind == "timestamp" else F.col(c) for c, kind in rows.dtypes]
     label = f"parser:{fixed.PARSER_VERSION}"
     sums = (
         rows.withColumn("_digest", ids.row_digest(label, fields))
         .groupBy("run_id")
-        .agg(F.count_if(F.col("status") != "success").alias("failed_sources"), *ids.digest_sums(F.col("_digest")))
+        .agg(
+            F.count_if(F.col("status") != "success").alias("failed_sources"),
+            F.min(F.when(F.col("status") != "success", F.struct("requested_name", "error"))).alias("_failure"),
+            *ids.digest_sums(F.col("_digest")),
+        )
     )
     return sums.select(
         "run_id",
         F.when(F.col("failed_sources") == 0, "complete").otherwise("failed").alias("status"),
         F.col("row_total").alias("sources"),
         "failed_sources",
+        F.col("_failure.error").alias("error"),
         ids.digest_of_sums(label).alias("manifest_sha256"),
     )
 

@@ -22,24 +22,32 @@ class InvalidSource(ValueError):
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All fields as text with ``source_file`` and ``line_number``; the header must match exactly.
+    """All fields as text with ``source_file`` and ``line_number``; the header of every file must match exactly.
 
-    ``path`` may hold many files. Record numbers start at 2 in every file, below
-    its header, and quoted fields may span lines.
+    ``path`` may hold many files; one whose header differs in any way refuses the source by its name. Record numbers
+    start at 2 in every file, below its header, and quoted fields may span lines.
     """
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    header = [raw.columns[0].lstrip("\ufeff"), *raw.columns[1:]]
-    if header != fixed.SUPPLEMENTAL_FIELDS:
-        raise InvalidSource("the header of the supplemental source does not match")
-    numbered = raw.toDF(*header).select(
-        "*", F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("_row")
-    )
+    fields = fixed.SUPPLEMENTAL_FIELDS
+    # One column more than the header may have, so that a longer header shows.
+    schema = ", ".join(f"`{name}` string" for name in [*fields, "_more"])
+    raw = spark.read.schema(schema).option("multiLine", True).option("escape", '"').csv(path)
+    numbered = raw.select("*", F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("_row"))
     # A quoted multi-line file is read by one task, so its row numbers have no gaps.
-    first = numbered.groupBy("source_file").agg(F.min("_row").alias("_first"))
+    first = numbered.groupBy("source_file").agg(
+        F.min("_row").alias("_first"), F.min_by(F.array(*fields, "_more"), "_row").alias("_header")
+    )
+    wanted = F.array(*[F.lit(name) for name in fields], F.lit(None).cast("string"))
+    shown = F.transform("_header", lambda value, place: F.when(place == 0, F.ltrim(value, F.lit("\ufeff"))).otherwise(value))
+    wrong = first.filter(~shown.eqNullSafe(wanted)).agg(F.min("source_file").alias("file"), F.count(F.lit(1)).alias("n")).first()
+    if wrong.n:
+        raise InvalidSource(f"the header of the supplemental source does not match: {wrong.file}")
+    if first.count() < len(raw.inputFiles()):
+        raise InvalidSource("the header of the supplemental source does not match: a file is empty")
     return (
-        numbered.join(first, "source_file")
-        .withColumn("line_number", F.col("_row") - F.col("_first") + 2)
-        .drop("_row", "_first")
+        numbered.join(first.drop("_header"), "source_file")
+        .filter("_row > _first")
+        .withColumn("line_number", F.col("_row") - F.col("_first") + 1)
+        .drop("_row", "_first", "_more")
     )
 
 
@@ -50,11 +58,9 @@ def _stripped(raw: DataFrame) -> DataFrame:
 
 
 def _errors(repeated: Column) -> Column:
-    """Names of all broken rules, in the order in which the rules are tested."""
+    """Names of all broken rules, in the order in which the rules are tested; the first names the missing fields."""
     col = F.col
-    missing = F.lit(False)
-    for name in fixed.SUPPLEMENTAL_REQUIRED:
-        missing = missing | (col(name) == "")
+    lacking = F.array_compact(F.array(*[F.when(col(name) == "", F.lit(name)) for name in fixed.SUPPLEMENTAL_REQUIRED]))
     revision = F.replace(col("source_revision"), F.lit("_"), F.lit("")).try_cast("long")
     number = col("source_revision").rlike(_INTEGER) & revision.isNotNull()
     iso = col("reviewed_at").rlike(_ISO_TIME) & F.try_to_timestamp("reviewed_at").isNotNull()
@@ -66,7 +72,6 @@ def _errors(repeated: Column) -> Column:
     original = col("original_text") != ""
     # Rule names in testing order.
     rules = [
-        ("missing_field", missing),
         ("unknown_thinker", ~col("_known")),
         ("invalid_category", ~col("category").isin(*fixed.CATEGORIES)),
         ("source_url_not_https", ~col("source_url").startswith("https://")),
@@ -79,7 +84,8 @@ def _errors(repeated: Column) -> Column:
         ("translation_url_not_https", (col("translation_url") != "") & ~col("translation_url").startswith("https://")),
         ("repeated_quote", repeated),
     ]
-    return F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules]))
+    missing = F.when(F.size(lacking) > 0, F.concat(F.lit("missing_field "), F.array_join(lacking, " ")))
+    return F.array_compact(F.array(missing, *[F.when(test, F.lit(name)) for name, test in rules]))
 
 
 def validate(raw: DataFrame, names: DataFrame) -> DataFrame:

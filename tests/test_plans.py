@@ -108,6 +108,8 @@ def test_collection_samples(spark, frames, quotes, catalogue):
     facts, thinkers, members = frames
     got = selection.collection_samples(members.select("slug").distinct(), "2026-07-13", facts, thinkers, members, "v")
     for row in got.collect():
+        assert (row.mode, row.dataset_version, row.dataset_schema) == ("daily", "v", 3)
+        assert row.collection_title == row.collection.upper()
         wanted = expected_daily((0, "2026-07-13", None, row.collection, None, None), quotes, catalogue, "v")
         assert (row.status, row.occurrence_id) == wanted
 
@@ -125,17 +127,14 @@ def test_two_stage_selection_equals_brute_force(spark, frames, quotes, catalogue
             wanted = ("not_in_collection", None)
         else:
             key = "|".join([on_date, thinker or "", slug or "", category or "", str(limit or "")])
-            candidates = [thinker] if thinker else catalogue[slug] if slug else names
+            candidates = {thinker} if thinker else set(catalogue[slug]) if slug else names
+            fits = lambda q: (category is None or q[7] == category) and (limit is None or q[15] <= limit)
+            able = sorted({q[3] for q in quotes if q[3] in candidates and fits(q)}, key=sha)
             wanted = ("no_match", None)
-            for name in sorted(candidates, key=lambda n: (sha(f"{key}|{n}"), n)):
-                rows = sorted(
-                    q[0]
-                    for q in quotes
-                    if q[3] == name and (category is None or q[7] == category) and (limit is None or q[15] <= limit)
-                )
-                if rows:
-                    wanted = ("ok", rows[seed(f"{key}|quote") % len(rows)])
-                    break
+            if able:
+                name = able[seed(key) % len(able)]
+                rows = sorted(q[0] for q in quotes if q[3] == name and fits(q))
+                wanted = ("ok", rows[seed(f"{key}|quote") % len(rows)])
         assert found[number] == wanted
 
 
@@ -167,6 +166,33 @@ def test_pages_equal_brute_force(frames, quotes, offset, limit):
         assert sorted(got.get(who, [])) == wanted
 
 
+def test_pages_with_null_identities_and_null_keys(spark):
+    rows = spark.createDataFrame([("a", None), ("a", "00f"), ("a", "fff"), (None, "1"), (None, None)], "k string, i string")
+    got = sorted(((r.k or "", r.position, r.i, r.total) for r in picks.page_of(rows, ["k"], "i", 0, 10).collect()))
+    assert got == [("", 0, "1", 2), ("", 1, None, 2), ("a", 0, "00f", 3), ("a", 1, "fff", 3), ("a", 2, None, 3)]
+    assert [(r.i, r.has_more) for r in picks.page_of(rows, ["k"], "i", 2, 1, digits=1).collect()] == [(None, False)]
+
+
+def test_figures_of_empty_pages(spark):
+    totals = spark.createDataFrame([("a", 0), ("b", 30), ("c", 36)], "k string, total long")
+    got = {r.k: (r.total, r.page_count, r.page_offset, r.page_limit, r.has_more) for r in picks.page_figures(totals, 25, 10).collect()}
+    assert got == {"a": (0, 0, 25, 10, False), "b": (30, 5, 25, 10, False), "c": (36, 10, 25, 10, True)}
+
+
+def test_reuse_needs_no_folder(spark, monkeypatch):
+    """A query that reads its rows more than once gives the same answer where no shared folder is named."""
+    from bindings import registry
+    from lapidary import session
+
+    def answer():
+        return registry.QUERIES["collection_audit"](spark, "/root/testdata/sf0.001").collect()
+
+    with_folder = answer()
+    monkeypatch.setattr(session, "shared_folder", lambda spark: None)
+    assert answer() == with_folder
+    assert session.reused(spark.range(3)).storageLevel.useDisk
+
+
 def test_latest_snapshot_wins_and_copies_are_dropped(spark):
     rows = [("Q1", "Ana", "Uma  frase", "obra", None, "https://u", "S", "L", 1, datetime(2026, 1, d % 9 + 1)) for d in range(900)]
     rows += [("Q1", "Ana", "Uma frase", "obra", "Livro", "https://u", "S", "L", 1, datetime(2026, 1, 1))]

@@ -131,7 +131,8 @@ def test_csv_with_header_only_and_with_wrong_header(spark, tmp_path, names):
 @pytest.mark.parametrize(
     ("change", "error"),
     [
-        ({"text": " "}, "missing_field"),
+        ({"text": " "}, "missing_field text"),
+        ({"text": " ", "thinker_qid": "", "source_name": ""}, "missing_field thinker_qid text source_name"),
         ({"thinker_name": "Outra"}, "unknown_thinker"),
         ({"category": "outra"}, "invalid_category"),
         ({"source_url": "http://example.test"}, "source_url_not_https"),
@@ -152,6 +153,25 @@ def test_first_invalid_row_is_reported_by_line(spark, tmp_path, names, change, e
         supplemental.load(spark, path, names)
 
 
+@pytest.mark.parametrize("change", ["reordered", "missing", "additional", "empty"])
+def test_every_file_of_a_source_must_have_the_header(spark, tmp_path, names, change):
+    folder = tmp_path / "source"
+    folder.mkdir()
+    fields = list(fixed.SUPPLEMENTAL_FIELDS)
+    write_csv(folder / "a.csv", [VALID], bom=True)
+    assert supplemental.load(spark, str(folder), names).count() == 1
+    if change == "reordered":
+        at, to = fields.index("category"), fields.index("work")
+        fields[at], fields[to] = fields[to], fields[at]
+    header = {"reordered": fields, "missing": fields[:-1], "additional": [*fields, "extra"]}.get(change)
+    if header:
+        write_csv(folder / "b.csv", [{**VALID, "text": "outra"}], header=header)
+    else:
+        (folder / "b.csv").write_text("")
+    with pytest.raises(supplemental.InvalidSource, match="b.csv" if header else "empty"):
+        supplemental.load(spark, str(folder), names)
+
+
 def test_repeated_quote_is_found_across_many_copies(spark, tmp_path, names):
     path = write_csv(tmp_path / "s.csv", [VALID] * 500 + [{**VALID, "text": "outra frase"}])
     rows = supplemental.validate(supplemental.read_csv(spark, path), names)

@@ -98,17 +98,17 @@ def test_roman(spark):
 @pytest.mark.parametrize(
     ("time", "precision", "kind", "shown", "value"),
     [
-        ("+1913-11-07T00:00:00Z", 11, "dia", "07/11/1913", "1913-11-07"),
-        ("+1913-11-00T00:00:00Z", 11, "ano", "1913", "1913-11-00"),
-        ("+1913-11-00T00:00:00Z", 10, "mes", "11/1913", "1913-11-00"),
-        ("+1844-00-00T00:00:00Z", 9, "ano", "1844", "1844-00-00"),
-        ("-0544-00-00T00:00:00Z", 7, "seculo", "século VI a.C.", "-0544-00-00"),
-        ("-0496-00-00T00:00:00Z", 9, "ano", "496 a.C.", "-0496-00-00"),
+        ("+1502-08-31T00:00:00Z", 11, "dia", "31/08/1502", "1502-08-31"),
+        ("+1502-08-00T00:00:00Z", 11, "ano", "1502", "1502-08-00"),
+        ("+1777-02-00T00:00:00Z", 10, "mes", "02/1777", "1777-02-00"),
+        ("+1215-00-00T00:00:00Z", 9, "ano", "1215", "1215-00-00"),
+        ("-1250-00-00T00:00:00Z", 7, "seculo", "século XIII a.C.", "-1250-00-00"),
+        ("-0063-00-00T00:00:00Z", 9, "ano", "63 a.C.", "-0063-00-00"),
         ("+1905-00-00T00:00:00Z", 8, "decada", "década de 1900", "1905-00-00"),
         ("+0007-00-00T00:00:00Z", 8, "decada", "década de 0", "0007-00-00"),
         ("+0100-00-00T00:00:00Z", 7, "seculo", "século I", "0100-00-00"),
         ("+13798000000-00-00T00:00:00Z", 6, "ano", "13798000000", "13798000000-00-00"),
-        ("not a date", 11, None, None, None),
+        ("spring of 1502", 9, None, None, None),
     ],
 )
 def test_partial_dates(spark, time, precision, kind, shown, value):

@@ -37,13 +37,15 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from tokenizers import Tokenizer
 
+from lapidary.llm.common import first_by
+
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK_DOCUMENTS, BLOCK_BYTES = 1024, 4 << 20
-DICTIONARY_BYTES, SAMPLES, PIECE, SEED = 64 << 10, 2000, 2048, 5
+DICTIONARY_BYTES, SAMPLES, PIECE, SEED, LEVEL = 64 << 10, 2000, 2048, 5, 3
 #: Pieces of text whose ids a worker remembers (about 250 bytes each).
 REMEMBERED = 1_000_000
 
@@ -106,7 +108,7 @@ def _encoder(name: str) -> Encoder:
 def train_dictionary(docs: DataFrame, tokenizer: str = TOKENIZER, samples: int = SAMPLES, piece: int = PIECE) -> bytes:
     """The shared dictionary; ``docs`` has ``doc_id, text``. At most ``samples`` pieces reach the driver."""
     order = F.xxhash64(F.lit(SEED), "doc_id", "text")
-    first = docs.select("text", order.alias("order")).orderBy("order").limit(samples)
+    first = first_by(docs.select("doc_id", "text"), order, samples).select("text", "order")
 
     def run(batches):
         width = piece * np.dtype(_encoder(tokenizer).type).itemsize
@@ -141,7 +143,9 @@ def _coded(batch: pa.RecordBatch, encoder: Encoder, step: int = 500):
 def _blocks(tokenizer: str, dictionary: bytes, digest: str, id_type: pa.DataType):
     def run(batches):
         encoder, shard = _encoder(tokenizer), TaskContext.get().partitionId()
-        press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary))
+        shared = zstandard.ZstdCompressionDict(dictionary)
+        shared.precompute_compress(level=LEVEL)  # else it is digested anew for each document
+        press = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
         width = np.dtype(encoder.type).itemsize
         before, block, ids, sizes, frames, held = 0, 0, [], [], [], 0
 
@@ -248,5 +252,5 @@ def read_documents(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
     index = blocks.select("shard", "block", F.posexplode("doc_ids").alias("place", "doc_id"))
     places = index.join(ids.select("doc_id").distinct(), "doc_id").select("shard", "block", "place")
     wanted = blocks.join(places, ["shard", "block"])
-    out = StructType([StructField("doc_id", blocks.schema["first_id"].dataType)]).add("ids", "array<int>")
-    return _frames(wanted, digest, dictionary, kind, out, lambda b, x, p: (b["doc_ids"][p], x.astype(np.int32).tolist()))
+    out = StructType([StructField("doc_id", blocks.schema["first_id"].dataType)]).add("ids", ArrayType(LongType()))
+    return _frames(wanted, digest, dictionary, kind, out, lambda b, x, p: (b["doc_ids"][p], x.tolist()))

@@ -7,9 +7,10 @@ as many corpus texts, both first by hash, as unknown ones. Proximal steps keep t
 calibrates the probabilities, of the unknown class too.
 
 On the corpus all work is native expressions. A paragraph can only leave "unknown" if it holds one of the anchor
-n-grams: they are chosen so that all other weights together cannot outweigh the unknown class (an exact bound, as
-each n-gram counts once). So paragraphs without an anchor's word need no scoring. The others are joined n-gram by n-gram
-with the weight table, whose size is bounded by the templates, and summed per paragraph.
+words: each n-gram is charged to its rarest word, and anchors are chosen so that all that is charged to the other words
+cannot outweigh the unknown class (an exact bound, as each n-gram counts once). So paragraphs without an anchor need
+no scoring. The others are joined n-gram by n-gram with the weight table, whose size is bounded by the templates, and
+summed per paragraph.
 
 Defined results: paragraphs are the lines of a text; null and empty texts have none. Words are runs of a-z, 0-9 with
 single marks . + - inside, in lower case. Rows that agree in id and text count once. Ties go to the first family by name.
@@ -19,6 +20,7 @@ Without corpus paragraphs the templates and variants alone are fitted.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -99,25 +101,37 @@ def _variants(template: str, filler: list[str], rng: np.random.Generator) -> lis
 
 
 class Model:
-    """Weights per n-gram and class, biases and temperature; class 0 is unknown."""
+    """Weights per n-gram and class, biases and temperature; class 0 is unknown. ``common`` counts words of plain text."""
 
-    def __init__(self, classes: list[str], weights: dict[str, list[float]], bias: list[float], temperature: float):
+    def __init__(self, classes: list[str], weights: dict[str, list[float]], bias: list[float], temperature: float, common: Mapping[str, int]):
         self.classes, self.weights, self.bias, self.temperature = classes, weights, bias, temperature
+        in_templates = Counter(w for g in weights for w in g.split(" "))
+        self.rank = {w: (common.get(w, 0), n, -len(w), w) for w, n in in_templates.items()}
 
     def margin(self, gram: str) -> np.ndarray:
         w = np.array(self.weights[gram])
         return w[1:] - w[0]
 
+    def charges(self) -> dict[str, np.ndarray]:
+        """The most that the n-grams charged to a word can add per family; each is charged to its rarest word."""
+        found = {w: np.zeros(len(self.classes) - 1) for w in self.rank}
+        for gram in self.weights:
+            found[min(gram.split(" "), key=self.rank.get)] += np.maximum(self.margin(gram), 0)
+        return found
+
     def anchors(self) -> list[str]:
-        """The n-grams without which no paragraph leaves the unknown class."""
-        ordered = sorted(self.weights, key=lambda g: (-self.margin(g).max(), g))
-        rest = np.array(self.bias[1:]) - self.bias[0] + sum(np.maximum(self.margin(g), 0) for g in ordered) if ordered else np.zeros(1)
-        found = []
-        for gram in ordered:
-            if (rest < 0).all():
-                break
-            found.append(gram)
-            rest = rest - np.maximum(self.margin(gram), 0)
+        """The words without which no paragraph leaves the unknown class.
+
+        From the commonest word on, words are left out as long as all that is charged to them cannot outweigh the
+        unknown class for any family.
+        """
+        charges, found = self.charges(), []
+        rest = np.array(self.bias[1:]) - self.bias[0]
+        for word in sorted(charges, key=self.rank.get, reverse=True):
+            if (rest + charges[word] < 0).all():
+                rest = rest + charges[word]
+            elif charges[word].any():
+                found.append(word)
         return found
 
 
@@ -159,7 +173,8 @@ def fit(templates: Mapping[str, Sequence[str]], others: list[str], rounds: int =
 
     temperature = min((float(t) for t in np.geomspace(0.2, 5, 40)), key=loss)
     used = {g: [round(float(w), 6) for w in weights[i]] for g, i in columns.items() if np.abs(weights[i]).max() > 0}
-    return Model(classes, used, [round(float(b), 6) for b in weights[-1]], round(temperature, 6))
+    common = Counter(w for t in [*others, *NEAR_MISSES] for w in set(words_of(t)))
+    return Model(classes, used, [round(float(b), 6) for b in weights[-1]], round(temperature, 6), common)
 
 
 def train(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, sample: int = SAMPLE, seed: int = SEED) -> Model:
@@ -190,9 +205,7 @@ def scan(docs: DataFrame, model: Model, templates: Mapping[str, Sequence[str]] =
     anchors = model.anchors()
     if not anchors:
         return spark.createDataFrame([], out.format(docs.schema["doc_id"].dataType.simpleString()))
-    # An n-gram is there only if its longest word is.
-    words = sorted({max(g.split(" "), key=lambda w: (len(w), w)) for g in anchors})
-    marks = "|".join(re.escape(w) for w in words)
+    marks = "(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in sorted(anchors)) + ")(?![a-z0-9])"
     some = docs.select("doc_id", "text").filter(F.lower("text").rlike(marks))
     lines = some.select("doc_id", F.xxhash64("text").alias("copy"), F.posexplode(F.split("text", "\n")).alias("paragraph", "text"))
     marked = lines.filter(F.lower("text").rlike(marks)).distinct()

@@ -1,4 +1,5 @@
-"""Licence scan: a trained paragraph classifier, confirmed by comparison with the templates of the family it names.
+"""Licence scan: a trained paragraph classifier, confirmed by comparison with the templates of the family it names and
+by the n-grams that name the family and its version.
 
 A sparse softmax regression over word n-grams (one to three words, presence only) scores each paragraph for each
 licence family and for "unknown". It is fitted on the driver on a bounded set: the given templates, seeded variants of
@@ -37,11 +38,23 @@ MIN_CONTAINMENT = 0.6
 
 #: Production templates: notices as the licences' stewards word them.
 TEMPLATES: dict[str, list[str]] = {
+    "agpl-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+    ],
+    "all-rights-reserved": [
+        "All rights reserved.",
+    ],
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
         "SPDX-License-Identifier: Apache-2.0",
     ],
+    "bsd-2-clause": [
+        "SPDX-License-Identifier: BSD-2-Clause",
+        "Released under the BSD 2-Clause License.",
+    ],
     "bsd-3-clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "SPDX-License-Identifier: BSD-3-Clause",
@@ -55,16 +68,92 @@ TEMPLATES: dict[str, list[str]] = {
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
+    "cc-by-nc-nd-4.0": [
+        "Licensed under CC BY-NC-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    ],
+    "cc-by-nc-sa-4.0": [
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    ],
+    "cc-by-nd-4.0": [
+        "Licensed under CC BY-ND 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    ],
+    "cc-by-sa-4.0": [
+        "Licensed under CC BY-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    ],
+    "cc0-1.0": [
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+        "This work is marked with CC0 1.0 Universal.",
+        "SPDX-License-Identifier: CC0-1.0",
+    ],
+    "gpl-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: GPL-2.0-only",
+    ],
     "gpl-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+        # Without a version any published one can be chosen.
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
         "SPDX-License-Identifier: GPL-3.0-only",
     ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Released under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+    ],
+    "lgpl-2.1": [
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-2.1-only",
+    ],
+    "lgpl-3.0": [
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: LGPL-3.0-only",
+    ],
     "mit": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "SPDX-License-Identifier: MIT",
     ],
+    "mpl-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "Licensed under the Mozilla Public License, version 2.0.",
+        "SPDX-License-Identifier: MPL-2.0",
+    ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Released under the Unlicense.",
+        "SPDX-License-Identifier: Unlicense",
+    ],
+}
+#: N-grams that name a family and its version. A paragraph is confirmed by a template only if it holds those that the template holds.
+MARKS: dict[str, list[str]] = {
+    "agpl-3.0": ["gnu affero general", "version 3", "agpl-3.0-only"],
+    "all-rights-reserved": ["all rights reserved"],
+    "apache-2.0": ["apache", "2.0", "apache-2.0"],
+    "bsd-2-clause": ["bsd 2-clause", "bsd-2-clause"],
+    "bsd-3-clause": ["bsd 3-clause", "bsd-3-clause"],
+    "cc-by-4.0": ["attribution 4.0", "cc by 4.0"],
+    "cc-by-nc-4.0": ["attribution-noncommercial 4.0", "cc by-nc 4.0"],
+    "cc-by-nc-nd-4.0": ["attribution-noncommercial-noderivatives 4.0", "cc by-nc-nd 4.0"],
+    "cc-by-nc-sa-4.0": ["attribution-noncommercial-sharealike 4.0", "cc by-nc-sa 4.0"],
+    "cc-by-nd-4.0": ["attribution-noderivatives 4.0", "cc by-nd 4.0"],
+    "cc-by-sa-4.0": ["attribution-sharealike 4.0", "cc by-sa 4.0"],
+    "cc0-1.0": ["waived all copyright", "cc0 1.0", "cc0-1.0"],
+    "gpl-2.0": ["gnu general public", "version 2", "gpl-2.0-only"],
+    "gpl-3.0": ["gnu general public", "version 3", "gpl-3.0-only"],
+    "isc": ["isc"],
+    "lgpl-2.1": ["gnu lesser general", "version 2.1", "lgpl-2.1-only"],
+    "lgpl-3.0": ["gnu lesser general", "version 3", "lgpl-3.0-only"],
+    "mit": ["mit"],
+    "mpl-2.0": ["mozilla", "2.0", "mpl-2.0"],
+    "unlicense": ["public domain", "unlicense"],
 }
 #: Sentences with the same vocabulary that name no licence.
 NEAR_MISSES = [
@@ -76,6 +165,11 @@ NEAR_MISSES = [
     "Attribution of the painting is a matter of dispute.",
     "Please renew your license before the end of the year.",
     "The permission is granted to any person on request.",
+    "The right to speak is reserved for members.",
+    "All seats are reserved and all rights of way are open.",
+    "The author has waived the fee to the extent possible.",
+    "The source of the work is in the public library.",
+    "The form is subject to the terms of the contract.",
 ]
 
 
@@ -87,12 +181,21 @@ def grams_of(words: Sequence[str]) -> set[str]:
     return {" ".join(words[i : i + n]) for n in WIDTHS for i in range(len(words) - n + 1)}
 
 
+def _naming(words: frozenset[str]) -> set[str]:
+    """The words of all marks that stand wholly in ``words``."""
+    return {w for marks in MARKS.values() for m in marks if words.issuperset(m.split(" ")) for w in m.split(" ")}
+
+
 def _variants(template: str, filler: list[str], rng: np.random.Generator) -> list[list[str]]:
-    """The template's words, whole and then with up to a fifth left out, cut at an end, or among other words."""
+    """The template's words, whole and then with up to a fifth left out, cut at an end, or among other words.
+
+    Words that name a family are not left out: without them a notice is an example of none.
+    """
     words = words_of(template)
+    naming = _naming(frozenset(words))
     found = [words]
     for i in range(VARIANTS - 1):
-        kept = [w for w in words if rng.random() > 0.2 * (i % 3) / 2]
+        kept = [w for w in words if rng.random() > 0.2 * (i % 3) / 2 or w in naming]
         if i % 4 == 3:
             kept = kept[: max(3, len(kept) * 3 // 4)]
         around = [filler[j] for j in rng.integers(0, len(filler), 2 * (i % 5))] if filler else []
@@ -181,7 +284,7 @@ def train(docs: DataFrame, templates: Mapping[str, Sequence[str]] = TEMPLATES, s
     """``docs`` has ``text``. Paragraphs with a word that marks licences in nearly any wording are no unknown examples."""
     some = first_by(docs.select("text"), F.xxhash64(F.lit(seed), "text"), sample)
     lines = some.select(F.explode_outer(F.split("text", "\n")).alias("line")).filter("length(line) between 1 and 1000")
-    plain = lines.filter(~F.lower("line").rlike("licen[sc]e|copyright|spdx|permission")).select("line")
+    plain = lines.filter(~F.lower("line").rlike("licen[sc]e|copyright|spdx|permission|rights reserved|redistribution and use|free software|public domain")).select("line")
     # Bounded: at most `sample` lines of at most 1000 characters.
     others = plain.select(F.xxhash64(F.lit(seed), "line").alias("order"), "line").distinct().orderBy("order", "line").limit(sample)
     return fit(templates, [r.line for r in others.collect()], seed=seed)
@@ -195,20 +298,35 @@ def _grams(words: Column) -> Column:
     return F.array_distinct(F.concat(*map(of_width, WIDTHS)))
 
 
-def scan(docs: DataFrame, model: Model, templates: Mapping[str, Sequence[str]] = TEMPLATES, min_containment: float = MIN_CONTAINMENT) -> DataFrame:
+def _known(templates: Mapping[str, Sequence[str]], marks: Mapping[str, Sequence[str]]) -> list[tuple]:
+    """Family, n-grams, marks needed, and for a template without a version the versions of its family, for each template."""
+    found = []
+    for family, texts in sorted(templates.items()):
+        for grams in (grams_of(words_of(t)) for t in texts):
+            versions = [m for m in marks.get(family, ()) if m.startswith("version ")]
+            found.append((family, sorted(grams), [m for m in marks.get(family, ()) if m in grams], [] if grams.intersection(versions) else versions))
+    return found
+
+
+def scan(
+    docs: DataFrame, model: Model, templates: Mapping[str, Sequence[str]] = TEMPLATES, min_containment: float = MIN_CONTAINMENT,
+    marks: Mapping[str, Sequence[str]] = MARKS,
+) -> DataFrame:
     """``doc_id, paragraph, text, family, probability, containment, confirmed`` of paragraphs that are not unknown.
 
-    ``docs`` has ``doc_id, text``; ``paragraph`` counts lines from 0.
+    ``docs`` has ``doc_id, text``; ``paragraph`` counts lines from 0. A paragraph is confirmed if it holds at least
+    ``min_containment`` of a template of its family and all ``marks`` of the family that the template holds; by a
+    template without a version only if it states none or the family's.
     """
     spark = docs.sparkSession
     out = "doc_id {}, paragraph int, text string, family string, probability double, containment double, confirmed boolean"
     anchors = model.anchors()
     if not anchors:
         return spark.createDataFrame([], out.format(docs.schema["doc_id"].dataType.simpleString()))
-    marks = "(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in sorted(anchors)) + ")(?![a-z0-9])"
-    some = docs.select("doc_id", "text").filter(F.lower("text").rlike(marks))
+    anchored = "(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in sorted(anchors)) + ")(?![a-z0-9])"
+    some = docs.select("doc_id", "text").filter(F.lower("text").rlike(anchored))
     lines = some.select("doc_id", F.xxhash64("text").alias("copy"), F.posexplode(F.split("text", "\n")).alias("paragraph", "text"))
-    marked = lines.filter(F.lower("text").rlike(marks)).distinct()
+    marked = lines.filter(F.lower("text").rlike(anchored)).distinct()
     listed = marked.withColumn("w", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
     marked = written(listed.withColumn("grams", _grams(F.col("w"))).drop("w"), "paragraphs")
 
@@ -228,12 +346,13 @@ def scan(docs: DataFrame, model: Model, templates: Mapping[str, Sequence[str]] =
     named = sums.select(*paragraph, "text", family.alias("family"), F.round(1 / total, 4).alias("probability")).filter(F.col("family") != UNKNOWN)
 
     # Bounded: the templates.
-    rows = [(f, sorted(grams_of(words_of(t)))) for f, ts in sorted(templates.items()) for t in ts]
-    known = F.broadcast(spark.createDataFrame(rows, "family string, template array<string>"))
+    known = F.broadcast(spark.createDataFrame(_known(templates, marks), "family string, template array<string>, needed array<string>, versions array<string>"))
     listed = named.withColumn("w", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
     compared = listed.withColumn("grams", _grams(F.col("w"))).join(known, "family")
-    share = F.size(F.array_intersect("template", "grams")) / F.size("template")
-    best = compared.groupBy(*paragraph, "text", "family", "probability").agg(F.round(F.max(share), 4).alias("containment"))
-    return best.select(
-        "doc_id", "paragraph", "text", "family", "probability", "containment", (F.col("containment") >= min_containment).alias("confirmed")
-    ).distinct()
+    share = F.round(F.size(F.array_intersect("template", "grams")) / F.size("template"), 4)
+    another = F.exists("grams", lambda g: g.rlike("^version [0-9]")) & ~F.arrays_overlap("versions", "grams")
+    marked_so = (F.size(F.array_except("needed", "grams")) == 0) & ((F.size("versions") == 0) | ~another)
+    best = compared.groupBy(*paragraph, "text", "family", "probability").agg(
+        F.max(share).alias("containment"), F.max((share >= min_containment) & marked_so).alias("confirmed")
+    )
+    return best.select("doc_id", "paragraph", "text", "family", "probability", "containment", "confirmed").distinct()

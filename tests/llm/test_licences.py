@@ -88,3 +88,43 @@ def test_held_out_probabilities_are_calibrated():
 def test_empty_table(spark, model):
     assert licences.scan(empty(spark), model).count() == 0
     assert licences.train(empty(spark)).classes[0] == licences.UNKNOWN
+
+
+SIBLINGS = [
+    ("lgpl-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("agpl-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("gpl-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("cc-by-nd-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("cc0-1.0", "This work is marked with CC0 1.0 Universal."),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("bsd-2-clause", "Released under the BSD 2-Clause License."),
+    ("isc", "Released under the ISC License."),
+    ("unlicense", "This is free and unencumbered software released into the public domain."),
+    ("all-rights-reserved", "Copyright 2020 Some Company. All rights reserved."),
+]
+#: Names or versions of no family; whatever family is named, it is not confirmed.
+OTHERS = [
+    "Licensed under the Sleepycat License, Version 2.0.",
+    "Licensed under the Apache License, Version 1.1.",
+    "Licensed under CC BY 3.0.",
+    "This work is licensed under a Creative Commons Attribution 3.0 International License.",
+    "This work is licensed under the GNU General Public License, version 1.",
+    licences.TEMPLATES["gpl-3.0"][1].replace("version 3", "version 1"),
+]
+
+
+def test_siblings_are_families_of_their_own_and_other_versions_unconfirmed(spark, model):
+    rows = list(enumerate(t for _, t in SIBLINGS)) + [(100 + i, t) for i, t in enumerate(OTHERS)]
+    got = {r.doc_id: r for r in licences.scan(documents(spark, rows), model).collect()}
+    for i, (family, text) in enumerate(SIBLINGS):
+        assert (got[i].family, got[i].confirmed) == (family, True), text
+    for i, text in enumerate(OTHERS):
+        assert 100 + i not in got or not got[100 + i].confirmed, text
+
+
+def test_every_mark_stands_in_a_template():
+    for family, marks in licences.MARKS.items():
+        grams = set().union(*(licences.grams_of(licences.words_of(t)) for t in licences.TEMPLATES[family]))
+        assert grams.issuperset(marks), family

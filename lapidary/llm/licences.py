@@ -326,16 +326,15 @@ def scan(
     anchored = "(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in sorted(anchors)) + ")(?![a-z0-9])"
     some = docs.select("doc_id", "text").filter(F.lower("text").rlike(anchored))
     lines = some.select("doc_id", F.xxhash64("text").alias("copy"), F.posexplode(F.split("text", "\n")).alias("paragraph", "text"))
-    marked = lines.filter(F.lower("text").rlike(anchored)).distinct()
-    listed = marked.withColumn("w", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
-    marked = written(listed.withColumn("grams", _grams(F.col("w"))).drop("w"), "paragraphs")
+    marked = written(lines.filter(F.lower("text").rlike(anchored)).distinct(), "paragraphs")
 
     k = len(model.classes)
     columns = [f"w{i}" for i in range(k)]
     table = spark.createDataFrame([(g, *w) for g, w in sorted(model.weights.items())], "gram string, " + ", ".join(f"{c} double" for c in columns))
     paragraph = ["doc_id", "copy", "paragraph"]
     # Bounded: the n-grams of the templates.
-    hits = marked.select(*paragraph, "text", F.explode_outer("grams").alias("gram")).join(F.broadcast(table), "gram")
+    listed = marked.withColumn("w", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
+    hits = listed.select(*paragraph, "text", F.explode(_grams(F.col("w"))).alias("gram")).join(F.broadcast(table), "gram")
     sums = hits.groupBy(*paragraph, "text").agg(*[F.sum(c).alias(c) for c in columns])
     logits = [(F.col(c) + b) / model.temperature for c, b in zip(columns, model.bias)]
     top = F.greatest(*logits)

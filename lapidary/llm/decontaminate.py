@@ -100,7 +100,7 @@ def contained(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFr
     held = pairs.select("doc_id", "item_id", words(F.col("text")).alias("w")).select(
         "doc_id", "item_id", shingles(F.col("w")).alias("doc")
     )
-    compared = held.join(item_shingles, F.col("item_id") == F.col("key")).select(
+    compared = held.join(item_shingles, F.col("item_id").eqNullSafe(F.col("key"))).select(
         "doc_id",
         "item_id",
         F.size("item").cast("long").alias("n_item"),

@@ -70,3 +70,12 @@ def test_sketch_cannot_miss(spark):
     items = spark.createDataFrame([(n, " ".join(f"v{i}" for i in range(n + 4))) for n in range(1, 70)], "item_id long, text string")
     sizes = {r.item_id: r["count"] for r in decontaminate.sketches(items).groupBy("item_id").count().collect()}
     assert all(sizes[n] > n - math.ceil(0.8 * n - 1e-9) for n in range(1, 70))
+
+
+def test_items_without_an_id_are_found(spark):
+    rows = [(None, "a passage of ten words that has no id at all"), (None, "another one of seven words here too"), (3, "an item of six words here")]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    texts = [(i, f"before it {t} and after it") for i, (_, t) in enumerate(rows)] + [(9, "a text that holds none of the items")]
+    docs = documents(spark, texts)
+    assert set(table(decontaminate.contained(docs, items))) == {(0, None), (1, None), (2, 3)}
+    assert [r.doc_id for r in decontaminate.without_items(docs, items).collect()] == [9]

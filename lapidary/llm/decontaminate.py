@@ -86,29 +86,34 @@ def candidates(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataF
     return low.join(sketch, "hash").filter("size >= least_size").select("doc_id", "copy", "item_id").distinct()
 
 
-def contained(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
-    """``doc_id, item_id, n_item, n_shared, containment`` of all items held to at least ``share``.
-
-    ``docs`` has ``doc_id, text``, ``items`` has ``item_id, text``.
-    """
+def _verified(docs: DataFrame, items: DataFrame, share: float) -> DataFrame:
+    """``doc_id, own, item_id, n_item, n_shared`` of all items held to at least ``share``; ``own`` is a hash of the text."""
     found = written(candidates(docs, items, share), "candidates").withColumnRenamed("doc_id", "found_id")
     texts = docs.select("doc_id", F.xxhash64("text").alias("own"), "text")
     # The written pairs have a known size, so the texts are shuffled only where the pairs are too many to send around.
     pairs = texts.join(found, F.col("doc_id").eqNullSafe(F.col("found_id")) & (F.col("own") == F.col("copy")))
     item_words = items.select(F.col("item_id").alias("key"), words(F.col("text")).alias("iw"))
     item_shingles = item_words.select("key", shingles(F.col("iw")).alias("item"))
-    held = pairs.select("doc_id", "item_id", words(F.col("text")).alias("w")).select(
-        "doc_id", "item_id", shingles(F.col("w")).alias("doc")
+    held = pairs.select("doc_id", "own", "item_id", words(F.col("text")).alias("w")).select(
+        "doc_id", "own", "item_id", shingles(F.col("w")).alias("doc")
     )
     compared = held.join(item_shingles, F.col("item_id").eqNullSafe(F.col("key"))).select(
         "doc_id",
+        "own",
         "item_id",
         F.size("item").cast("long").alias("n_item"),
         F.size(F.array_intersect("item", "doc")).cast("long").alias("n_shared"),
     )
-    enough = compared.filter(F.col("n_shared") >= F.ceil(F.col("n_item") * share - 1e-9))
+    return compared.filter(F.col("n_shared") >= F.ceil(F.col("n_item") * share - 1e-9))
+
+
+def contained(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
+    """``doc_id, item_id, n_item, n_shared, containment`` of all items held to at least ``share``.
+
+    ``docs`` has ``doc_id, text``, ``items`` has ``item_id, text``.
+    """
     return (
-        enough.groupBy("doc_id", "item_id")
+        _verified(docs, items, share).groupBy("doc_id", "item_id")
         .agg(F.max(F.struct(F.col("n_shared") / F.col("n_item"), "n_shared", "n_item")).alias("best"))
         .select(
             "doc_id", "item_id", "best.n_item", "best.n_shared",
@@ -118,7 +123,9 @@ def contained(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFr
 
 
 def without_items(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
-    """The rows of ``docs`` whose document holds no item, with all their columns."""
-    leaked = written(contained(docs, items, share).select(F.col("doc_id").alias("leaked_id")).distinct(), "leaked")
-    rows = row_and(docs, id=F.col("doc_id"))
-    return rows.join(leaked, F.col("id").eqNullSafe(F.col("leaked_id")), "left_anti").select("row.*")
+    """The rows of ``docs`` whose text holds no item, with all their columns; texts under one id are judged apart."""
+    found = _verified(docs, items, share).select(F.col("doc_id").alias("leaked_id"), F.col("own").alias("leaked_copy"))
+    leaked = written(found.distinct(), "leaked")
+    rows = row_and(docs, id=F.col("doc_id"), copy=F.xxhash64("text"))
+    same = F.col("id").eqNullSafe(F.col("leaked_id")) & (F.col("copy") == F.col("leaked_copy"))
+    return rows.join(leaked, same, "left_anti").select("row.*")

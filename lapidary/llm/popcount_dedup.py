@@ -46,8 +46,8 @@ def simhash(text: str | None, width: int = 3) -> int:
 
 
 def fingerprints(texts: DataFrame) -> DataFrame:
-    """``id, fingerprint`` (signed long) of a table ``id, text``."""
-    keyed = texts.select(F.struct("id").alias("key"), "text")
+    """``fingerprint`` (signed long) in the place of ``text``, beside ``id`` and any other columns."""
+    keyed = texts.select(F.struct(*[c for c in texts.columns if c != "text"]).alias("key"), "text")
 
     def run(batches):
         for batch in batches:
@@ -55,7 +55,7 @@ def fingerprints(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("key"), prints], ["key", "fingerprint"])
 
     key_type = keyed.schema["key"].dataType.simpleString()
-    return keyed.mapInArrow(run, f"key {key_type}, fingerprint long").select("key.id", "fingerprint")
+    return keyed.mapInArrow(run, f"key {key_type}, fingerprint long").select("key.*", "fingerprint")
 
 
 def _counts(half: Column) -> Column:
@@ -100,8 +100,8 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(texts: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``id, fingerprint, component_id`` of a table ``id, text``, a row for each row."""
+def _grouped(texts: DataFrame, max_bits: int) -> DataFrame:
+    """``fingerprint, component_id, least`` beside the columns but ``text``; ``least`` is the component's least fingerprint."""
     prints = written(fingerprints(texts), "fingerprints")
     nodes = written(prints.groupBy("fingerprint").agg(F.min("id").alias("first")), "nodes")
     stars = components(links(nodes, max_bits))
@@ -110,18 +110,26 @@ def near_duplicates(texts: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     )
     several = stars.select("least").distinct()
     of_component = tied.join(several, "least", "left_semi").groupBy("least").agg(F.min("first").alias("component_id"))
-    named = tied.join(of_component, "least", "left").select("fingerprint", F.coalesce("component_id", "first").alias("component_id"))
-    return prints.join(named, "fingerprint").select("id", "fingerprint", "component_id")
+    named = tied.join(of_component, "least", "left").select("fingerprint", F.coalesce("component_id", "first").alias("component_id"), "least")
+    return prints.join(named, "fingerprint")
+
+
+def near_duplicates(texts: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """``id, fingerprint, component_id`` of a table ``id, text``, a row for each row."""
+    return _grouped(texts.select("id", "text"), max_bits).select("id", "fingerprint", "component_id")
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of each component's least id, once each; rows without an id are kept, as no group can name them.
 
-    Of repeated rows with one id one by the text's hash stays.
+    Texts under one id are told apart by their hash: each stands in its own component, and of those of one component
+    and of repeated rows one stays.
     """
-    found = near_duplicates(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")))
-    kept = written(found.filter("id = component_id").select(F.col("id").alias("kept_id")).distinct(), "kept")
-    rows = row_and(docs, id=F.col(id_column), text=F.col(text_column))
-    named = rows.filter("id is not null").join(kept, F.col("id") == F.col("kept_id"), "left_semi")
-    ties = named.groupBy("id").agg(F.min_by("row", F.xxhash64("text")).alias("row"))
+    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).withColumn("copy", F.xxhash64("text"))
+    least = _grouped(texts, MAX_BITS).filter("id = component_id").groupBy("id", "least").agg(F.min("copy").alias("kept_copy"))
+    kept = written(least.select(F.col("id").alias("kept_id"), "kept_copy").distinct(), "kept")
+    rows = row_and(docs, id=F.col(id_column), copy=F.xxhash64(F.col(text_column)))
+    same = (F.col("id") == F.col("kept_id")) & (F.col("copy") == F.col("kept_copy"))
+    named = rows.filter("id is not null").join(kept, same, "left_semi")
+    ties = named.groupBy("id", "copy").agg(F.first("row").alias("row"))
     return ties.select("row.*").unionByName(rows.filter("id is null").select("row.*"))

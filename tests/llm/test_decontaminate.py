@@ -79,3 +79,10 @@ def test_items_without_an_id_are_found(spark):
     docs = documents(spark, texts)
     assert set(table(decontaminate.contained(docs, items))) == {(0, None), (1, None), (2, 3)}
     assert [r.doc_id for r in decontaminate.without_items(docs, items).collect()] == [9]
+
+
+def test_clean_texts_that_share_an_id_with_a_leaked_one_stay(spark):
+    items = spark.createDataFrame([(1, TEXTS[0][1])], "item_id long, text string")
+    clean = "a clean text under the same id stays where it is"
+    docs = documents(spark, [(1, TEXTS[0][1]), (1, clean), (None, TEXTS[0][1]), (None, clean)])
+    assert sorted((str(r.doc_id), r.text) for r in decontaminate.without_items(docs, items).collect()) == [("1", clean), ("None", clean)]

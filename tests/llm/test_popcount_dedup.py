@@ -108,3 +108,11 @@ def test_one_of_each(spark):
     assert 3 in named and 4 not in named  # texts without words are one group
     assert p.one_of_each(empty(spark)).count() == 0
     assert p.near_duplicates(empty(spark).selectExpr("doc_id as id", "text")).count() == 0
+
+
+def test_one_of_each_keeps_different_texts_under_one_id(spark):
+    alone, shared, other = "a text that stands alone here and has no copy", "a text of which another document holds a copy", "yet another text of many different words under the id"
+    rows = [(7, alone), (7, shared), (3, shared), (7, alone), (7, other), (8, other)]
+    assert len({slow_simhash(t) for t in (alone, shared, other)}) == 3
+    got = sorted((r.doc_id, r.text) for r in p.one_of_each(documents(spark, rows)).collect())
+    assert got == sorted([(3, shared), (7, alone), (7, other)])

@@ -70,30 +70,39 @@ def _text_of(piece: str) -> str:
 
 
 class Encoder:
-    """Texts to id bytes. The tokenizers library encodes each distinct piece once while it is remembered."""
+    """Texts to id bytes. The tokenizers library encodes each distinct piece once while it is remembered.
 
-    def __init__(self, name: str = TOKENIZER):
+    With ``special`` the strings of added tokens get those tokens' ids, as the library does by default; such texts are
+    encoded whole. Without it they are ordinary text.
+    """
+
+    def __init__(self, name: str = TOKENIZER, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.type = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
         self.end = np.array([END_ID], self.type).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """All ids of each text and the end id."""
-        cut = [pieces_of(t) if t else [] for t in texts]
+        whole = {t for t in texts if t and any(x in t for x in self.added)}
+        cut = [pieces_of(t) if t and t not in whole else [] for t in texts]
         new = list(set(chain.from_iterable(cut)).difference(self.known))
         if len(self.known) + len(new) > REMEMBERED:
             self.known = {}
             new = list(set(chain.from_iterable(cut)))
-        if new:
-            coded = self.tokenizer.encode_batch_fast([_text_of(x) for x in new], add_special_tokens=False)
-            # typecodes H and I are 2 and 4 bytes
-            code = "H" if self.type == "<u2" else "I"
-            self.known.update((x, array(code, e.ids).tobytes()) for x, e in zip(new, coded))
-        known = self.known.__getitem__
-        return [b"".join(map(known, pieces)) + self.end for pieces in cut]
+        self.known.update(zip(new, self._coded([_text_of(x) for x in new])))
+        known, apart = self.known.__getitem__, dict(zip(whole, self._coded(list(whole))))
+        return [apart.get(t, b"") + b"".join(map(known, pieces)) + self.end for t, pieces in zip(texts, cut)]
+
+    def _coded(self, texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
+        # typecodes H and I are 2 and 4 bytes
+        code = "H" if self.type == "<u2" else "I"
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -101,7 +110,7 @@ _encoders: dict[str, Encoder] = {}
 
 def _encoder(name: str) -> Encoder:
     if name not in _encoders:
-        _encoders[name] = Encoder(name)
+        _encoders[name] = Encoder(name, special=True)
     return _encoders[name]
 
 

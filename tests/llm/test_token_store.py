@@ -71,3 +71,18 @@ def test_empty_table(spark):
     path = new_path(spark, "tokens")
     token_store.write(empty(spark), path)
     assert token_store.read_summary(spark, path).count() == 0
+
+
+def test_added_tokens_in_a_text_have_the_librarys_ids(spark):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng, mark = random.Random(8), "<|endoftext|>"
+    marks = [mark, mark, "ab", "'s", " ", "  ", "\n", "\t", "é", ". "]
+    texts = [mark, f"in{mark}side a word", f"a {mark} b", f"two  {mark}\n{mark}", "none <|end", mark * 2]
+    texts += ["".join(rng.choice(marks) for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    path = new_path(spark, "tokens")
+    token_store.write(documents(spark, list(enumerate(texts))), path)
+    ids = spark.createDataFrame([(i,) for i in range(len(texts))], "doc_id long")
+    got = {r.doc_id: r.ids for r in token_store.read_documents(spark, path, ids).collect()}
+    assert 50256 in got[0]
+    for i, text in enumerate(texts):
+        assert got[i] == ids_of(library, text), repr(text)

@@ -16,7 +16,8 @@ tree, node, text hash) are shuffled, never pages; a host's wrapper is as large a
 third of all pages is summed in every task first.
 
 Defined results: null and empty pages have an empty text and no blocks. Repeated rows are extracted one by one. A null
-url belongs to the host ''. Elements nested deeper than ``DEPTH`` count as children of the last level, with all text.
+url belongs to the host ''. Elements nested deeper than ``DEPTH`` count as children of the last level, with all text;
+the text of those that are template by their kind stays with them.
 """
 
 from __future__ import annotations
@@ -99,10 +100,27 @@ def parse(page: str | None) -> _Node:
     page = page or ""
     root = _Node("#", "#", False)
     stack, at, size = [root], 0, len(page)
+    # Open elements below DEPTH: name and the element that takes the text if it is out by kind; places by name.
+    below: list[tuple[str, _Node | None]] = []
+    places: dict[str, list[int]] = {}
+
+    def top() -> _Node:
+        return below and below[-1][1] or stack[-1]
 
     def text(piece: str) -> None:
         if piece:
-            stack[-1].parts.append(piece)
+            top().parts.append(piece)
+
+    def last(tags, other: bool = False) -> int:
+        """Place of the last open element below DEPTH with one of the names, or with another one; -1 without."""
+        return max((p[-1] for t, p in places.items() if p and (t in tags) != other), default=-1)
+
+    def shut(place: int, level: int | None = None) -> None:
+        """Ends the elements below DEPTH from a place on, and those of the stack from a level on."""
+        while len(below) > place:
+            places[below.pop()[0]].pop()
+        if level is not None:
+            del stack[level:]
 
     while at < size:
         found = _TAG.search(page, at)
@@ -116,9 +134,12 @@ def parse(page: str | None) -> _Node:
             continue
         tag = name.lower()
         if closing:
+            if places.get(tag):
+                shut(places[tag][-1])
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    shut(0, i)
                     break
             continue
         if tag not in BLOCKS and tag not in RAW:
@@ -126,23 +147,29 @@ def parse(page: str | None) -> _Node:
                 text(" " if tag != "wbr" else "")
             continue
         if tag in CLOSES_P or tag == "p":
-            for i in range(len(stack) - 1, 0, -1):
+            open_p, between = (last("p"), last(("p", "label", "center"), other=True)) if below else (-1, -1)
+            if open_p > between:
+                shut(open_p)
+            for i in range(len(stack) - 1, 0, -1) if max(open_p, between) < 0 else ():
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    shut(0, i)
                     break
                 if stack[i].tag not in ("label", "center"):
                     break
         if tag in ITEMS:
             like, until = ITEMS[tag]
-            for i in range(len(stack) - 1, 0, -1):
+            item, holder = (last(like), last(until)) if below else (-1, -1)
+            if item > holder:
+                shut(item)
+            for i in range(len(stack) - 1, 0, -1) if max(item, holder) < 0 else ():
                 if stack[i].tag in until:
                     break
                 if stack[i].tag in like:
-                    del stack[i:]
+                    shut(0, i)
                     break
-        node = _node(tag, attributes, any(n.tag in ("article", "main") for n in stack))
-        stack[-1].parts.append(node)
-        stack[-1].children.append(node)
+        node = _node(tag, attributes, any(n.tag in ("article", "main") for n in stack) or bool(below) and last(("article", "main")) >= 0)
+        top().parts.append(node)
+        top().children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             if tag == "textarea" or tag == "title":
@@ -151,6 +178,9 @@ def parse(page: str | None) -> _Node:
         elif tag not in VOID and not attributes.rstrip().endswith("/") or tag in ("p", "div"):
             if len(stack) < DEPTH:
                 stack.append(node)
+            else:
+                places.setdefault(tag, []).append(len(below))
+                below.append((tag, below and below[-1][1] or (node if node.out else None)))
     return root
 
 

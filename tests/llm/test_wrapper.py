@@ -95,3 +95,14 @@ def test_article_of_near_copies_keeps_its_text(spark):
 def test_tree_is_as_small_as_the_layout():
     page = wrapper.Page("<article>" + "<p>x</p>" * 5000 + "</article>")
     assert json.loads(page.tree) == ["#", [["article", [["p", []]]]]]
+
+
+def test_elements_below_the_depth_limit_are_closed_themselves():
+    blocks = lambda x: wrapper.Page(x).blocks(set())
+    deep = "<div>" * 150
+    assert blocks(f"<div><article>{deep}deep{'</div>' * 150}<p>still inside</p></article></div><p>out</p>") == ["deep", "still inside"]
+    assert blocks(f"<article>{deep}<nav><ul><li>menu<li>more</ul><p>x</nav>text<form>f<p>g</form><p>one<p>two{'</div>' * 150}end</article>") == [
+        "text", "one", "two", "end",
+    ]
+    assert blocks(f"<article>{deep}<ul><li>a<li>b</ul>{deep}</article>rest") == ["a", "b"]
+    assert blocks(f"<article>{deep}<section>a</article>rest") == ["a"]

@@ -4,12 +4,13 @@ A page becomes a tree of its block elements; runs of neighbouring siblings with
 the tree of a page is as small as its layout. Per host the most frequent tree is the reference, and simple tree
 matching aligns the tree of every page with it. The texts at each reference node over all pages of the host then tell
 template from content: a node whose texts recur from page to page (a constant is the extreme case) is template, a node
-whose texts vary is content. Pages with equal texts at all nodes count once, so copies of a page are no evidence.
+whose texts vary is content. Pages with equal texts at all nodes that can be content count once, so copies of a page are no
+evidence, whatever their menus, adverts or footers are.
 
 Some things are template by their kind on any page, with or without same-host pages: page headers and footers, menus,
 sidebars, notices, adverts, forms, scripts, styles, hidden parts and reader comments, known by element, role or class
-name. Where a page marks its article (``article``, else ``main``), content is taken from there alone; inside, a node is
-template only if it is constant on nearly all of many pages.
+name. Where a page marks its article (``article``, else ``main``; ``main`` too where the articles have less than ``SMALL`` of its
+text), content is taken from there alone; inside, a node is template only if it is constant on nearly all of many pages.
 
 Parsing is a small tokenizer in the tasks; trees, texts and counts are aggregated by Spark. Only numbers per (host,
 tree, node, text hash) are shuffled, never pages; a host's wrapper is as large as its reference tree. A host with a
@@ -37,6 +38,8 @@ from lapidary.llm.url_filter import host
 
 MIN_PAGES, RECURRING = 8, 0.5
 MIN_PAGES_INSIDE, CONSTANT_INSIDE = 20, 0.95
+#: Articles that have less than this share of the text of the main parts are cards, not the text.
+SMALL = 0.5
 DEPTH = 100
 ALIGNED = 5000  # alignments a worker remembers
 
@@ -168,8 +171,10 @@ def parse(page: str | None) -> _Node:
                     shut(0, i)
                     break
         node = _node(tag, attributes, any(n.tag in ("article", "main") for n in stack) or bool(below) and last(("article", "main")) >= 0)
-        top().parts.append(node)
-        top().children.append(node)
+        over = top()
+        node.out = node.out or over.out
+        over.parts.append(node)
+        over.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             if tag == "textarea" or tag == "title":
@@ -224,25 +229,31 @@ class Page:
         return found
 
     def hashes(self) -> list[int]:
-        """A hash of the texts of each node; 0 without text."""
+        """A hash of the texts of each node; 0 without text or where all of it is template by its kind."""
         found = []
         for nodes in self.nodes:
-            texts = [t for n in nodes if n.tag not in ("script", "style") for t in _runs(n)]
+            texts = [t for n in nodes if not n.out for t in _runs(n)]
             found.append(xxhash.xxh64_intdigest("\n".join(texts)) - (1 << 63) if texts else 0)
         return found
 
+    def content(self) -> int:
+        """A hash of all text that is not template by its kind, however elements that are cut it."""
+        return xxhash.xxh64_intdigest(" ".join(self._taken(self.root, set()))) - (1 << 63)
+
     def blocks(self, template: set[int]) -> list[str]:
         """Texts of content blocks in page order, given the places of template nodes."""
         template_nodes = {id(n) for place in template for n in self.nodes[place]}
         containers = {tag: [] for tag in ("article", "main")}
         self._find(self.root, containers)
-        for tops in (containers["article"], containers["main"], [self.root]):
-            found: list[str] = []
-            for top in tops:
-                self._take(top, template_nodes, found)
-            if found:
-                return found
-        return []
+        article, main = ([t for top in containers[tag] for t in self._taken(top, template_nodes)] for tag in ("article", "main"))
+        if sum(map(len, article)) < SMALL * sum(map(len, main)):
+            article = []
+        return article or main or self._taken(self.root, template_nodes)
+
+    def _taken(self, top: _Node, template: set[int]) -> list[str]:
+        found: list[str] = []
+        self._take(top, template, found)
+        return found
 
     def _find(self, node: _Node, containers: dict[str, list[_Node]]) -> None:
         for child in node.children:
@@ -348,13 +359,16 @@ def induce(pages: DataFrame) -> DataFrame:
     def read(batches):
         for batch in batches:
             seen = [Page(x) for x in batch.column("html").to_pylist()]
-            columns = [pa.array([p.tree for p in seen], pa.string()), pa.array([p.hashes() for p in seen], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("host"), *columns], ["host", "tree", "hashes"])
-
-    parsed = pages.select("host", "html").mapInArrow(read, "host string, tree string, hashes array<long>")
-    distinct = written(
-        parsed.select("host", "tree", F.xxhash64("tree").alias("shape"), "hashes").dropDuplicates(["host", "shape", "hashes"]), "trees"
-    )
+            columns = [
+                pa.array([p.tree for p in seen], pa.string()), pa.array([p.hashes() for p in seen], pa.list_(pa.int64())),
+                pa.array([p.content() for p in seen], pa.int64()),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("host"), *columns], ["host", "tree", "hashes", "content"])
+
+    parsed = pages.select("host", "html").mapInArrow(read, "host string, tree string, hashes array<long>, content long")
+    # Of pages with one content the one of the least shape counts.
+    shaped = parsed.select("host", "content", F.struct(F.xxhash64("tree").alias("shape"), "tree", "hashes").alias("page"))
+    distinct = written(shaped.groupBy("host", "content").agg(F.min("page").alias("page")).select("host", "page.*"), "trees")
     shapes = distinct.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.min("tree").alias("tree"))
     references = shapes.groupBy("host").agg(F.max_by("tree", F.struct("n", "tree")).alias("reference"))
 

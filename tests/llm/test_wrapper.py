@@ -106,3 +106,21 @@ def test_elements_below_the_depth_limit_are_closed_themselves():
     ]
     assert blocks(f"<article>{deep}<ul><li>a<li>b</ul>{deep}</article>rest") == ["a", "b"]
     assert blocks(f"<article>{deep}<section>a</article>rest") == ["a"]
+
+
+def test_copies_that_differ_in_menu_or_footer_are_no_evidence(spark):
+    """The menu has the page's own text and every other page an advert more; the article is one and the same."""
+    advert = "<div class=advert><p>buy {}</p></div>"
+    pages = [(i, "http://c.net/", f"<nav>menu {i}</nav>{advert.format(i) if i % 2 else ''}<article><h1>Head</h1><p>The</p>{advert.format(i) if i % 3 else ''}<p>text</p></article><footer>f {i}</footer>") for i in range(40)]
+    pages += [(100 + i, "http://d.net/", f"<nav>menu {i}</nav><div><p>The text</p></div><footer>f {i}</footer>") for i in range(20)]
+    made = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.row.page_id: r.blocks for r in wrapper.extract(made).collect()}
+    assert all(blocks == (["Head", "The", "text"] if i < 100 else ["The text"]) for i, blocks in got.items())
+
+
+def test_a_small_article_in_a_main_part_is_not_the_text():
+    blocks = lambda x: wrapper.Page(x).blocks(set())
+    long = "the main text of the page " * 5
+    assert blocks(f"<main><p>{long}</p><article>a card</article></main>") == [long.strip(), "a card"]
+    assert blocks(f"<main><p>see also</p><article>{long}</article></main>") == [long.strip()]
+    assert blocks(f"<main><article>{long}</article><article>{long}</article></main>") == [long.strip()] * 2

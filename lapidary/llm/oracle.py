@@ -157,4 +157,88 @@ with docs as (
 select doc_id, domain, lang, source, n_tokens::bigint as n_tokens, unnest(range(1, times::bigint + 1))::integer as epoch from counted
 """
 
-SQL = {"op5_benchmark_decontamination": CONTAINED, "op6_url_filter": URL_FILTER, "op7_revisit_resolution": REVISITS, "op8_source_mixing": MIXED}
+DIVERGENCE = """
+with docs as (
+    select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as terms,
+        row_number() over () as row
+    from documents
+), occurrences as (
+    select lang, source, row, unnest(terms) as term from docs
+), vocabulary as (
+    select lang, term from occurrences group by lang, term having count(distinct row) >= 30
+), counts as (
+    select lang, source, term, count(*)::hugeint as n from occurrences semi join vocabulary using (lang, term) group by all
+), groups as (
+    select g.lang, g.source, coalesce(n, 0) as total, coalesce(v, 0) as v
+    from (select distinct lang, source from docs) g
+    left join (select lang, source, sum(n) as n from counts group by all) using (lang, source)
+    left join (select lang, count(*) as v from vocabulary group by all) using (lang)
+), shares as (
+    select g.lang, g.source, v.term, coalesce(n, 0) as n, 1 + (1000000000::hugeint * (coalesce(n, 0) + 5)) // (total + 5 * g.v) as p
+    from groups g join vocabulary v on g.lang = v.lang left join counts c on c.lang = g.lang and c.source = g.source and c.term = v.term
+), whole as (
+    select lang, term, 1 + (1000000000::hugeint * (sum(n) + 5)) // (any_value(total) + 5 * any_value(v)) as q
+    from counts join (select lang, sum(total) as total, any_value(v) as v from groups group by lang) using (lang) group by lang, term
+), pairs as (
+    select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+    from groups a join groups b on a.lang = b.lang and a.source <> b.source
+    left join (
+        select x.lang, x.source, y.source as item, sum(abs(x.p - y.p)) as value
+        from shares x join shares y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all
+    ) s on s.lang = a.lang and s.source = a.source and s.item = b.source
+), tops as (
+    select lang, source, 'term' as part, term as item, (p - q)::bigint as value from shares join whole using (lang, term) where n > 0 and p > q
+)
+select lang, source, part, item, value, rank::integer as rank from (
+    select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank
+    from (select * from pairs union all select * from tops)
+) where part = 'pair' or rank <= 50
+"""
+
+COLLOCATIONS = """
+with pieces as (
+    select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece
+    from documents
+), words as (
+    select lang, regexp_extract_all(piece, '[^\\x20\\x09]+') as w from pieces
+), totals as (
+    select lang, sum(len(w)) as n from words group by lang
+), grams as (
+    select lang, 1 as size, unnest(w) as phrase from words
+    union all select lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from words
+    union all select lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from words
+    union all select lang, 4, unnest(list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3])) from words
+), counted as (
+    select lang, size, phrase, count(*) as f from grams group by all having count(*) >= 30
+), candidates as (
+    select lang, size, phrase, f as a, string_split(phrase, ' ') as w from counted where size > 1
+), halves as (
+    select lang, phrase, a, k, array_to_string(w[1:k], ' ') as first, array_to_string(w[k + 1:], ' ') as rest
+    from candidates join (values (1), (2), (3)) as t(k) on k < size
+), cuts as (
+    select h.*, x.f as l, y.f as r, (2000000::hugeint * a // (x.f + y.f))::bigint as score
+    from halves h join counted x on x.lang = h.lang and x.phrase = h.first join counted y on y.lang = h.lang and y.phrase = h.rest
+), scored as (
+    select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1
+), parts as (
+    select lang, a, array_to_string(w[i:i + n - 1], ' ') as phrase
+    from candidates join (values (1, 2), (2, 2), (3, 2), (1, 3), (2, 3)) as t(i, n) on n < size and i + n - 1 <= size
+), inside as (
+    select distinct s.lang, s.phrase from candidates s join parts l on l.lang = s.lang and l.phrase = s.phrase and 100 * l.a >= 80 * s.a
+), ranked as (
+    select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank
+    from scored anti join inside using (lang, phrase)
+)
+select lang, rank, phrase, a, l, r, n::bigint as n, score from ranked join totals using (lang) where rank <= 2000
+"""
+
+SQL = {
+    "op5_benchmark_decontamination": CONTAINED,
+    "op6_url_filter": URL_FILTER,
+    "op7_revisit_resolution": REVISITS,
+    "op8_source_mixing": MIXED,
+    "op11_source_divergence": DIVERGENCE,
+    "op12_phrase_collocations": COLLOCATIONS,
+}

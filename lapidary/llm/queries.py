@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lapidary.llm import decontaminate, importance, licences, line_crf, mixing, popcount_dedup, revisits, token_store, url_filter, wrapper
+from lapidary.llm import (
+    collocations, decontaminate, divergence, importance, licences, line_crf, mixing, popcount_dedup, revisits, token_store, url_filter, wrapper,
+)
 from lapidary.llm.common import new_path
 
 #: Names in a host that put its pages on the list of op6.
@@ -104,4 +106,12 @@ def op10_popcount_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op")}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindings import adapters as given
+from lapidary import fixed
 from lapidary.functions import ids, text
 from lapidary.functions.dates import partial_date
 from lapidary.operators import picks
@@ -100,7 +101,7 @@ def collection_coverage(spark, sf_dir):
 
 @query
 def collection_audit(spark, sf_dir):
-    gold = reused(_gold(spark, sf_dir))
+    gold = reused(reports.audit_rows(_gold(spark, sf_dir)))
     return reports.collection_audit(gold, _dim(spark, sf_dir), given.members(spark, sf_dir))
 
 
@@ -371,11 +372,15 @@ def quote_samples(spark, sf_dir):
     return profiles.quote_samples(rows, "thinker_qid", ["source_revision", "occurrence_id"], n=10)
 
 
+def _eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reused(_gold(spark, sf_dir).filter("is_daily_eligible").select(selection.READ_COLUMNS))
+
+
 @query
 def daily_selection(spark, sf_dir):
     return selection.daily_selection(
         given.requests(spark, sf_dir),
-        reused(_gold(spark, sf_dir).filter("is_daily_eligible")),
+        _eligible(spark, sf_dir),
         _dim(spark, sf_dir),
         reused(given.members(spark, sf_dir)),
         given.DATASET_VERSION,
@@ -389,7 +394,7 @@ def collection_samples(spark, sf_dir):
     return selection.collection_samples(
         slugs,
         "2026-07-13",
-        reused(_gold(spark, sf_dir).filter("is_daily_eligible")),
+        _eligible(spark, sf_dir),
         _dim(spark, sf_dir),
         members,
         given.DATASET_VERSION,
@@ -398,9 +403,11 @@ def collection_samples(spark, sf_dir):
 
 @query
 def two_stage_selection(spark, sf_dir):
+    shown = [c for c in fixed.SELECTION_FIELDS if c not in ("quote_text", "original_text")]
+    quotes = reused(_silver(spark, sf_dir).select("character_count", *shown))
     return selection.two_stage_selection(
-        given.requests(spark, sf_dir), reused(_silver(spark, sf_dir)), reused(given.members(spark, sf_dir))
-    ).drop("quote_text", "original_text")
+        given.requests(spark, sf_dir), quotes, reused(given.members(spark, sf_dir)), shown=shown
+    )
 
 
 @query

@@ -2,7 +2,8 @@
 
 Occurrence identities are hex digests, so their leading digits cut any set into
 even slices whose order is known. Counting rows per slice tells which slice holds
-a wanted position; only the rows of that slice are ranked.
+a wanted position; only the rows of that slice are ranked. Where the set differs
+from request to request, slices are refined level by level, only where wanted.
 """
 
 from __future__ import annotations
@@ -91,93 +92,111 @@ def page_in_order(rows: DataFrame, page: list[str], order: str, offset: int, lim
     return _with_figures(on_page, offset, limit)
 
 
-def pick_by_seed(
-    quotes: DataFrame, requests: DataFrame, members: DataFrame, digits: int = SLICE_DIGITS
+#: Digits that one level of the count tree adds, and rows of a node that need no further level.
+LEVEL_DIGITS, LEAF_ROWS = 2, 256
+#: Length of quotes without a length and limit of requests without a limit: such a quote fits only such a request.
+_NO_LIMIT = (1 << 63) - 1
+_FILTER = ["scope", "kind", "max_length"]
+
+
+def _kind(category: Column) -> Column:
+    """A category as a key; the empty key stands for every category."""
+    return F.concat(F.lit("="), category)
+
+
+def _children(
+    cells: DataFrame, points: DataFrame, members: DataFrame, depth: int
 ) -> DataFrame:
+    """Rows that fit each limit of ``points`` (scope, kind, node, max_length) in each child of its node.
+
+    ``cells``: thinker_name, category, character_count, occurrence_id; one column of digits, ``depth`` of which name a
+    child. Limits meet the lengths in one running count over both, so a child's window has a row for each distinct
+    length and limit, never one for each quote, and no limit is compared with each quote or each other limit.
+    """
+    child = F.substring("occurrence_id", 1, depth)
+    node = F.substring("occurrence_id", 1, depth - LEVEL_DIGITS)
+    length = F.coalesce(F.col("character_count").cast("long"), F.lit(_NO_LIMIT))
+    counted = cells.groupBy(
+        "thinker_name", "category", node.alias("node"), child.alias("child"), length.alias("length")
+    ).agg(F.count(F.lit(1)).alias("rows"))
+    kinds = F.explode(F.array_compact(F.array(F.lit(""), _kind(F.col("category"))))).alias("kind")
+    spread = counted.join(members, "thinker_name").select("scope", kinds, "node", "child", "length", "rows")
+    nodes = points.select("scope", "kind", "node").distinct()
+    place = ["scope", "kind", "node", "child"]
+    held = spread.join(nodes, ["scope", "kind", "node"], "left_semi").groupBy(*place, "length").agg(F.sum("rows").alias("rows"))
+    held = reused(held)
+    asked = held.select(*place).distinct().join(points, ["scope", "kind", "node"])
+    both = held.withColumn("asked", F.lit(False)).unionByName(
+        asked.select(*place, F.col("max_length").alias("length"), F.lit(0).cast("long").alias("rows"), F.lit(True).alias("asked"))
+    )
+    # A limit stands after the lengths equal to it.
+    running = Window.partitionBy(*place).orderBy("length", "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fitting = both.withColumn("rows", F.sum("rows").over(running)).filter("asked").withColumnRenamed("length", "max_length")
+    # At most as many rows as a node has children.
+    in_order = Window.partitionBy("scope", "kind", "node", "max_length").orderBy("child")
+    before = F.sum("rows").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("rows")
+    return fitting.withColumn("before", before).filter("rows > 0").drop("asked")
+
+
+def pick_by_seed(quotes: DataFrame, requests: DataFrame, members: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """For each request, the quote at ``seed mod n`` among the ``n`` matching quotes by occurrence order.
 
-    ``quotes``: thinker_name, category, character_count, occurrence_id;
+    ``quotes``: thinker_name, category, character_count, occurrence_id and any others;
     ``requests``: request_id, scope, category, max_length (both nullable), seed;
     ``members``: scope, thinker_name, without repeats.
-    Requests with the same filters share one filter row. Lengths count only as
-    the band between the requested limits, so filters meet one count per
-    (thinker, category, band, slice) rather than the quotes. ``digits`` sets the
-    slices: the last window ranks the rows of a filter in one of ``16 ** digits``.
+    Identities are digests, so their leading digits make a tree of even nodes in known order. Each level counts the
+    rows that fit in the children of the nodes that requests stand in, and a request goes down to the child that holds
+    its position. The number of levels follows from the number of quotes: the last nodes have about ``leaf_rows``
+    rows, and only these are ranked, once for each distinct filter that ends there.
     Quotes without an occurrence_id are not eligible.
-    Returns request_id, ``matches`` and the columns of the picked quote; requests
-    without a match are absent. ``quotes`` is read twice.
+    Returns request_id, ``matches`` and the columns of the picked quote; requests without a match are absent.
     """
-    # Bounded: a number for each distinct limit of the requests, which are text lengths.
-    limits = sorted(r[0] for r in requests.select("max_length").distinct().collect() if r[0] is not None)
-
-    def band(length: Column) -> Column:
-        """Number of limits below a length: a quote fits the limits from its band on; null is beyond all of them."""
-        below = F.lit(0)
-        for limit in limits:
-            below = below + F.when(F.lit(limit) < length, 1).otherwise(0)
-        return F.when(length.isNull(), len(limits)).otherwise(below)
-
-    filters = ["scope", "category", "max_length"]
-    sliced = quotes.filter(F.col("occurrence_id").isNotNull()).withColumns(
-        {"slice": slice_of(F.col("occurrence_id"), digits), "band": band(F.col("character_count"))}
-    )
-    cells = sliced.groupBy("thinker_name", "category", "band", "slice").agg(F.count(F.lit(1)).alias("cell_rows"))
-    distinct = requests.select(*filters).distinct().withColumn("filter_id", F.xxhash64(*_filled(filters)))
-    wanted = distinct.withColumn("max_length", band(F.col("max_length"))).withColumnRenamed("max_length", "wanted_band")
-    by_name = wanted.withColumnRenamed("category", "wanted_category").join(members, "scope")
-
-    def matching(side: DataFrame) -> DataFrame:
-        return side.filter(
-            (F.col("wanted_category").isNull() | (F.col("wanted_category") == F.col("category")))
-            & (F.col("band") <= F.col("wanted_band"))
+    eligible = quotes.filter(F.col("occurrence_id").isNotNull())
+    cells = reused(eligible.select("thinker_name", "category", "character_count", "occurrence_id"))
+    wanted = reused(
+        requests.select(
+            "request_id",
+            "scope",
+            F.coalesce(_kind(F.col("category")), F.lit("")).alias("kind"),
+            F.coalesce(F.col("max_length").cast("long"), F.lit(_NO_LIMIT)).alias("max_length"),
+            "seed",
+            F.lit("").alias("node"),
         )
-
-    per_slice = reused(
-        matching(cells.join(by_name, "thinker_name")).groupBy("filter_id", "slice").agg(F.sum("cell_rows").alias("rows"))
-    )
-    totals = per_slice.groupBy("filter_id").agg(F.sum("rows").alias("matches"))
-    positions = (
-        requests.withColumn("filter_id", F.xxhash64(*_filled(filters)))
-        .select("request_id", "filter_id", "seed")
-        .join(totals, "filter_id")
-        .withColumn("position", ids.seeded_index(F.col("seed"), F.col("matches")))
-        .withColumn("bin", _bin(F.col("position"), F.col("matches")))
-        .drop("seed")
-    )
-    # Slices are laid out over equal bins of positions, so a request meets the
-    # few slices around its position and not every slice of its filter.
-    bounds = slice_bounds(per_slice, ["filter_id"])
-    last = F.col("before") + F.col("rows") - 1
-    binned = bounds.select(
-        "filter_id",
-        "slice",
-        "before",
-        last.alias("last"),
-        F.explode(F.sequence(_bin(F.col("before"), F.col("total")), _bin(last, F.col("total")))).alias("bin"),
     )
-    placed = reused(
-        positions.join(binned, ["filter_id", "bin"])
-        .filter(F.col("position").between(F.col("before"), F.col("last")))
-        .withColumn("place", F.col("position") - F.col("before") + 1)
-        .select("request_id", "filter_id", "slice", "place", "matches")
-    )
-    needed = placed.select("filter_id", "slice").distinct().join(by_name, "filter_id")
-    ranked = (
-        matching(sliced.join(needed, ["thinker_name", "slice"]))
-        .drop("scope", "band", "wanted_category", "wanted_band")
-        .withColumn(
-            "place",
-            F.row_number().over(Window.partitionBy("filter_id", "slice").orderBy("occurrence_id")).cast("long"),
+    named = members.join(wanted.select("scope").distinct(), "scope", "left_semi")
+    total, levels = cells.count(), 1
+    while total > leaf_rows * 16 ** (LEVEL_DIGITS * levels):
+        levels += 1
+    standing = wanted
+    for level in range(1, levels + 1):
+        points = standing.select(*_FILTER, "node").distinct()
+        children = reused(_children(cells, points, named, LEVEL_DIGITS * level))
+        if level == 1:
+            totals = children.groupBy(*_FILTER).agg(F.sum("rows").alias("matches"))
+            standing = standing.join(totals, _FILTER).withColumn("position", ids.seeded_index(F.col("seed"), F.col("matches")))
+        inside = (F.col("position") >= F.col("before")) & (F.col("position") < F.col("before") + F.col("rows"))
+        down = standing.join(children, [*_FILTER, "node"]).filter(inside)
+        standing = reused(
+            down.select("request_id", *_FILTER, F.col("child").alias("node"), "matches", (F.col("position") - F.col("before")).alias("position"))
         )
+    points = standing.select(*_FILTER, "node").distinct()
+    leaves = cells.withColumn("node", F.substring("occurrence_id", 1, LEVEL_DIGITS * levels)).join(named, "thinker_name")
+    fits = F.coalesce(F.col("character_count").cast("long"), F.lit(_NO_LIMIT)) <= F.col("max_length")
+    of_kind = (F.col("kind") == "") | (F.col("kind") == _kind(F.col("category")))
+    ranked = (
+        leaves.join(points, ["scope", "node"])
+        .filter(fits & of_kind)
+        .withColumn("position", F.row_number().over(Window.partitionBy(*_FILTER, "node").orderBy("occurrence_id")).cast("long") - 1)
+        .join(standing, [*_FILTER, "node", "position"])
+        .select("request_id", "matches", "thinker_name", "category", "occurrence_id")
     )
-    return placed.join(ranked, ["filter_id", "slice", "place"]).drop("filter_id", "slice", "place")
-
-
-def _bin(position: Column, total: Column) -> Column:
-    """One of 256 equal bins of the positions below ``total``."""
-    return F.floor(position * 256 / total)
-
-
-def _filled(names: list[str]) -> list[Column]:
-    """Filter columns with a marker for null, which ``xxhash64`` would skip over."""
-    return [F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("")) for name in names]
+    key = ["thinker_name", "category", "occurrence_id"]
+    # One row of repeated identities; every other column comes with the picked rows alone.
+    rest = [c for c in quotes.columns if c not in key]
+    picked = ranked.withColumnsRenamed({c: f"picked_{c}" for c in key})
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"picked_{c}"))
+    found = picked.join(eligible, same)
+    once = found.groupBy("request_id", "matches", *key).agg(F.min(F.struct(*rest)).alias("rest"))
+    return once.select("request_id", "matches", *key, "rest.*")

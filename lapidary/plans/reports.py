@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapidary import fixed
@@ -35,6 +35,10 @@ def top_suspects(gold: DataFrame, n: int = 20) -> DataFrame:
     )
 
 
+def filled(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit("")) != ""
+
+
 def eligible_by_name(gold: DataFrame, thinkers: DataFrame) -> DataFrame:
     """Figures of the daily cut per thinker name.
 
@@ -42,9 +46,6 @@ def eligible_by_name(gold: DataFrame, thinkers: DataFrame) -> DataFrame:
     with most of the quotes reaches the join as one row.
     """
 
-    def filled(name: str):
-        return F.coalesce(F.col(name), F.lit("")) != ""
-
     per_qid = (
         gold.filter("is_daily_eligible")
         .groupBy("thinker_qid")
@@ -90,10 +91,22 @@ def collection_coverage(gold: DataFrame, thinkers: DataFrame, members: DataFrame
     )
 
 
+def text_key() -> Column:
+    return F.sha2(text.comparison_key(F.col("quote_text")), 256)
+
+
+def audit_rows(gold: DataFrame) -> DataFrame:
+    """What ``collection_audit`` reads of gold, so that no text need be kept between its passes."""
+    sources = ["source_name", "source_license", "source_url", "work"]
+    given = [F.when(filled(c), "x").alias(c) for c in sources]
+    key = F.when(F.col("is_daily_eligible"), text_key()).alias("text_key")
+    return gold.select("thinker_qid", "is_daily_eligible", "character_count", *given, key)
+
+
 def duplicate_texts(eligible: DataFrame) -> DataFrame:
     """Rows beyond the first of each case-folded, blank-normalised text."""
     # Digests keep the shuffled keys short; equal texts meet map-side first.
-    key = F.sha2(text.comparison_key(F.col("quote_text")), 256)
+    key = F.col("text_key") if "text_key" in eligible.columns else text_key()
     per_text = eligible.select(key.alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
     return per_text.agg(F.coalesce(F.sum(F.col("rows") - 1), F.lit(0)).alias("duplicate_texts"))
 

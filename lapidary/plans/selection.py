@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import secrets
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from lapidary.session import reused
 #: Stands for every category; no category is empty.
 _ANY = ""
 _SHOWN = fixed.SELECTION_FIELDS
+#: Columns of gold that a selection reads.
+READ_COLUMNS = [*(c for c in _SHOWN if c != "thinker_name"), "thinker_qid", "character_count", "is_daily_eligible"]
 
 
 def _by_thinker(name: Column) -> Column:
@@ -45,17 +48,19 @@ def _blank_to_null(requests: DataFrame) -> DataFrame:
 
 def _checked(requests: DataFrame, members: DataFrame, check_thinker: bool) -> DataFrame:
     """Add ``problem``: the first of unknown collection, unknown thinker, thinker outside the collection."""
-    # A collection is one catalogue record, so its member list is as long as that record holds.
-    collections = members.groupBy(F.col("slug").alias("collection")).agg(F.collect_set("thinker_name").alias("_members"))
-    joined = requests.join(collections, "collection", "left")
-    thinker, collection = F.col("thinker"), F.col("collection")
-    problem = F.when(collection.isNotNull() & F.col("_members").isNull(), "unknown_collection")
+    collection, thinker = F.col("collection"), F.col("thinker")
+    slugs = members.select(F.col("slug").alias("collection")).distinct().withColumn("_slug", F.lit(True))
+    pairs = members.select(F.col("slug").alias("collection"), F.col("thinker_name").alias("thinker")).distinct()
+    joined = requests.join(slugs, "collection", "left").join(
+        pairs.withColumn("_member", F.lit(True)), ["collection", "thinker"], "left"
+    )
+    problem = F.when(collection.isNotNull() & F.col("_slug").isNull(), "unknown_collection")
     if check_thinker:
         names = members.select(F.col("thinker_name").alias("thinker")).distinct().withColumn("_name", F.lit(True))
         joined = joined.join(names, "thinker", "left")
         problem = problem.when(thinker.isNotNull() & F.col("_name").isNull(), "unknown_thinker")
-    problem = problem.when(~F.array_contains("_members", thinker), "not_in_collection")
-    return joined.withColumn("problem", problem).drop("_members", "_name")
+    problem = problem.when(collection.isNotNull() & thinker.isNotNull() & F.col("_member").isNull(), "not_in_collection")
+    return joined.withColumn("problem", problem).drop("_slug", "_member", "_name")
 
 
 def _length_key(max_length: Column) -> Column:
@@ -63,8 +68,8 @@ def _length_key(max_length: Column) -> Column:
     return F.nullif(max_length.cast("long"), F.lit(0).cast("long")).cast("string")
 
 
-def _pick(quotes: DataFrame, requests: DataFrame, members: DataFrame) -> DataFrame:
-    return pick_by_seed(quotes.select("character_count", *_SHOWN), requests, members).drop("character_count")
+def _pick(quotes: DataFrame, requests: DataFrame, members: DataFrame, shown: Sequence[str] = _SHOWN) -> DataFrame:
+    return pick_by_seed(quotes.select("character_count", *shown), requests, members).drop("character_count")
 
 
 def _answer(requests: DataFrame, picks: DataFrame) -> DataFrame:
@@ -82,8 +87,8 @@ def daily_selection(
     max_length, the last four nullable; ``members``: slug, title, thinker_name.
     """
     eligible = (
-        gold.filter("is_daily_eligible")
-        .drop("thinker_name")
+        gold.select(READ_COLUMNS)
+        .filter("is_daily_eligible")
         .join(thinkers.select("thinker_qid", "thinker_name"), "thinker_qid")
     )
     checked = _checked(_blank_to_null(requests), members, check_thinker=True)
@@ -125,7 +130,12 @@ def collection_samples(
 
 
 def two_stage_selection(
-    requests: DataFrame, quotes: DataFrame, members: DataFrame, mode: str = "daily", random_seed: int | None = None
+    requests: DataFrame,
+    quotes: DataFrame,
+    members: DataFrame,
+    mode: str = "daily",
+    random_seed: int | None = None,
+    shown: Sequence[str] = _SHOWN,
 ) -> DataFrame:
     """Choose a thinker first, then one of its matching quotes, so thinkers weigh alike.
 
@@ -134,6 +144,7 @@ def two_stage_selection(
     match the request's filter, by digest of the name. No request meets the names. ``quotes`` need not be eligible, and a thinker
     outside the catalogue is served if it has quotes. Random mode seeds each
     request from one number drawn per call; give ``random_seed`` to repeat a draw.
+    ``shown`` are the columns of the picked quote: occurrence_id, thinker_name, category and any others.
     """
     checked = _checked(_blank_to_null(requests), members, check_thinker=False)
     if mode == "daily":
@@ -180,4 +191,4 @@ def two_stage_selection(
         .select("request_id", "scope", "category", "max_length", "seed")
     )
     names = quotes.select(_by_thinker(F.col("thinker_name")).alias("scope"), "thinker_name").distinct()
-    return _answer(checked.drop("_key"), _pick(quotes, second, names))
+    return _answer(checked.drop("_key"), _pick(quotes, second, names, shown))

@@ -9,6 +9,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from lapidary.functions import ids
 from lapidary.operators import picks
 from lapidary.operators import violations as v
 from lapidary.plans import checks, gold, profiles, reports, search, selection, silver
@@ -372,3 +373,27 @@ def test_profiles_and_influences(spark):
     assert [f.fonte for f in full["Q2"].fontes] == ["Wikidata"]
     none = profiles.thinker_profiles(rows, pages, quotes, ["item_no"], sample=0).filter("qid = 'Q1'").first()
     assert none.frases == [] and none.aviso is None and len(none.fontes) == 1
+
+
+def test_many_distinct_limits(spark):
+    generator = random.Random(3)
+    quotes = [
+        (f"N{generator.randrange(4)}", generator.choice(["a", "b", None]), generator.choice([None, *range(1, 9000)]), sha(str(i)))
+        for i in range(6000)
+    ]
+    asked = [(i, "all" if i % 3 else "t:N1", generator.choice([None, "a", "b"]), i + 1 if i % 11 else None, sha(f"s{i}")) for i in range(5200)]
+    requests = spark.createDataFrame(asked, "request_id long, scope string, category string, max_length long, key string")
+    requests = requests.withColumn("seed", ids.seed(F.col("key"))).drop("key")
+    members = spark.createDataFrame([("all", f"N{i}") for i in range(3)] + [("t:N1", "N1")], "scope string, thinker_name string")
+    rows = spark.createDataFrame(quotes, "thinker_name string, category string, character_count long, occurrence_id string")
+    for leaf_rows in (256, 1):
+        found = {r.request_id: (r.matches, r.occurrence_id) for r in picks.pick_by_seed(rows, requests, members, leaf_rows).collect()}
+        ordered = sorted(quotes, key=lambda q: q[3])
+        for number, scope, category, limit, key in asked[::40]:
+            names = {"N1"} if scope == "t:N1" else {"N0", "N1", "N2"}
+            fits = [
+                q[3]
+                for q in ordered
+                if q[0] in names and (category is None or q[1] == category) and (limit is None or q[2] is not None and q[2] <= limit)
+            ]
+            assert found.get(number) == ((len(fits), fits[seed(key) % len(fits)]) if fits else None)

@@ -389,6 +389,21 @@ def name_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select(F.col("query_text").alias("query_id"), "query_text")
 
 
+def partial_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beginnings of the words of names, words with a letter left out, doubled or changed, and two of these together."""
+    words = table(spark, sf_dir, "part").select(F.split("p_name", " ").alias("w"))
+    first, last = F.element_at("w", 1), F.element_at("w", -1)
+    texts = [
+        F.substring(first, 1, 3),
+        F.concat(F.substring(first, 1, 2), F.expr("substring(element_at(w, 1), 4)")),
+        F.concat(F.substring(last, 1, 4), F.expr("substring(element_at(w, -1), 4)")),
+        F.concat(F.substring(last, 1, 2), F.lit("q"), F.expr("substring(element_at(w, -1), 4)")),
+        F.concat(F.substring(last, 1, 2), F.lit(" "), F.expr("substring(element_at(w, 1), 2)")),
+    ]
+    asked = words.select(F.explode(F.array(*texts)).alias("query_text")).distinct()
+    return asked.select(F.col("query_text").alias("query_id"), "query_text")
+
+
 def section_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as pages and lines as blocks; short lines are headings."""
     line = F.col("line")

@@ -499,8 +499,8 @@ def quote_search(spark, sf_dir):
     wanted = given.table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query_text")
     )
-    index = search.token_index(_texts(spark, sf_dir), "occurrence_id", "quote_text")
-    return search.search_index(wanted, index, "occurrence_id")
+    blocks = search.posting_blocks(_texts(spark, sf_dir), "occurrence_id", "quote_text", only=search.query_terms(wanted))
+    return search.search_index(wanted, blocks, "occurrence_id")
 
 
 @query
@@ -515,6 +515,12 @@ def name_search_figures(spark, sf_dir):
     return search.search_figures(given.name_queries(spark, sf_dir), names, limit=5)
 
 
+@query
+def name_search_partial(spark, sf_dir):
+    names = given.names(spark, sf_dir).drop("entity_qid")
+    return search.search_names_partial(given.partial_queries(spark, sf_dir), names, limit=5)
+
+
 @query
 def name_resolution(spark, sf_dir):
     names = given.names(spark, sf_dir)

@@ -220,7 +220,7 @@ def publish(
         .write.option("compression", "zstd")
         .parquet(f"{folder}/quote_index")
     )
-    search.write_index(search.token_index(served_quotes, "occurrence_id", "quote_text"), f"{folder}/tokens")
+    search.write_index(search.posting_blocks(served_quotes, "occurrence_id", "quote_text"), f"{folder}/tokens")
 
     written_thinkers = spark.read.parquet(f"{folder}/thinkers")
     written_quotes = spark.read.parquet(f"{folder}/quotes")

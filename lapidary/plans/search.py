@@ -1,12 +1,18 @@
-"""Token index, text search, name search and name resolution."""
+"""Token index, posting blocks, text search, name search with beginnings and typos, name resolution."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapidary.functions.tokens import token_list
 from lapidary.operators.latest import first_per_key
+from lapidary.session import reused
+
+#: Identities of a posting block, about.
+BLOCK = 256
+#: Tokens beyond this length are compared without typos.
+LONGEST_TYPO = 24
 
 
 def token_index(rows: DataFrame, identity: str, column: str) -> DataFrame:
@@ -14,10 +20,39 @@ def token_index(rows: DataFrame, identity: str, column: str) -> DataFrame:
     return rows.select(F.explode(token_list(F.col(column))).alias("token"), identity)
 
 
-def write_index(index: DataFrame, path: str) -> None:
-    """Sort by token, so that a lookup prunes row groups; a frequent token spans many files."""
-    columns = index.columns
-    index.repartitionByRange(*columns).sortWithinPartitions(*columns).write.option("compression", "zstd").parquet(path)
+def posting_blocks(
+    rows: DataFrame, identity: str, column: str, only: DataFrame | None = None, block: int = BLOCK
+) -> DataFrame:
+    """Posting lists in blocks: token, slice, n, first, last, identities (in order).
+
+    Identities are digests, so their first digits cut the list of a token into even slices. A token has as many digits
+    as make its blocks about ``block`` identities long; a token in few texts has one block, with the empty slice. The
+    block that would hold an identity is thus known by name, so a look-up is an equal join and skips all others.
+    ``only``: a column ``token``; no other tokens are indexed. Each text is taken apart once.
+    """
+    tokens = reused(rows.select(identity, token_list(F.col(column)).alias("tokens")))
+    postings = tokens.select(F.explode("tokens").alias("token"), F.col(identity).alias("identity"))
+    if only is not None:
+        postings = postings.join(only.select("token").distinct(), "token", "left_semi")
+    sizes = postings.groupBy("token").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") > block)
+    digits = sizes.select("token", F.ceil(F.log(16.0, F.col("texts") / block)).cast("int").alias("digits"))
+    name = F.substring("identity", F.lit(1), F.coalesce("digits", F.lit(0)))
+    placed = postings.join(digits, "token", "left").select("token", name.alias("slice"), "identity")
+    blocks = placed.groupBy("token", "slice").agg(F.sort_array(F.collect_list("identity")).alias("identities"))
+    return blocks.select(
+        "token",
+        "slice",
+        F.size("identities").cast("long").alias("n"),
+        F.element_at("identities", 1).alias("first"),
+        F.element_at("identities", -1).alias("last"),
+        "identities",
+    )
+
+
+def write_index(blocks: DataFrame, path: str) -> None:
+    """Sort by token and slice, so that a look-up prunes files and row groups; a frequent token spans many files."""
+    columns = ["token", "slice"]
+    blocks.repartitionByRange(*columns).sortWithinPartitions(*columns).write.option("compression", "zstd").parquet(path)
 
 
 def token_frequencies(index: DataFrame) -> DataFrame:
@@ -55,16 +90,54 @@ def search_texts(
     )
 
 
-def search_index(queries: DataFrame, index: DataFrame, identity: str) -> DataFrame:
-    """As ``search_texts`` over the postings (token, identity) alone, with one look-up in the index.
+def query_terms(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(token_list(F.col("query_text"))).alias("token"))
+
+
+def ranked_terms(terms: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Terms with texts, digits and ``place``, 1 for the rarest of the query; a term that stands nowhere comes first."""
+    sizes = blocks.groupBy("token").agg(F.sum("n").alias("texts"), F.max(F.length("slice")).alias("digits"))
+    order = Window.partitionBy("query_id").orderBy(F.asc_nulls_first("texts"), "token")
+    return terms.join(sizes, "token", "left").withColumn("place", F.row_number().over(order))
+
+
+def rarest_postings(ranked: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(query_id, identity) of the texts that hold the rarest term of a query; none if a term stands nowhere."""
+    rarest = ranked.filter("place = 1 and texts is not null").select("query_id", "token")
+    return blocks.join(rarest, "token").select("query_id", F.explode("identities").alias("identity"))
+
+
+def holding(candidates: DataFrame, terms: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(query_id, identity, held): how many of the query's ``terms`` a candidate holds.
+
+    Only blocks that bear the slice of a candidate, and whose first and last identity enclose one, are opened.
+    """
+    asked = candidates.join(terms.select("query_id", "token", "digits"), "query_id").select(
+        "query_id", "identity", "token", F.substring("identity", F.lit(1), F.col("digits")).alias("slice")
+    )
+    spans = asked.groupBy("token", "slice").agg(F.min("identity").alias("low"), F.max("identity").alias("high"))
+    open_blocks = blocks.join(spans, ["token", "slice"]).filter("first <= high and last >= low")
+    entries = open_blocks.select("token", F.explode("identities").alias("identity"))
+    found = asked.select("query_id", "identity", "token").join(entries, ["token", "identity"])
+    return found.groupBy("query_id", "identity").agg(F.count(F.lit(1)).alias("held"))
+
+
+def search_index(queries: DataFrame, blocks: DataFrame, identity: str) -> DataFrame:
+    """Texts that hold all tokens of a query, over posting blocks alone (see ``posting_blocks``), rarest token first.
 
-    A text that holds all of a query's distinct tokens has as many postings in common with it. The postings of the
-    query's own tokens are joined once; texts are not read again, and a posting is a token and an identity.
+    The postings of each query's rarest token are its candidates; the next rarest token thins them out, and the others
+    are looked up for what is left. No step has more rows than candidates times the terms of a query.
     """
-    terms = queries.select("query_id", F.explode(token_list(F.col("query_text"))).alias("token"))
-    needed = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("_needed"))
-    shared = index.join(terms, "token").groupBy("query_id", identity).agg(F.count(F.lit(1)).alias("_shared"))
-    return shared.join(needed, "query_id").filter("_shared = _needed").select("query_id", identity)
+    terms = query_terms(queries)
+    used = reused(blocks.join(terms.select("token").distinct(), "token", "left_semi"))
+    ranked = reused(ranked_terms(terms, used))
+    sizes = ranked.groupBy("query_id").agg(F.max("place").alias("terms"))
+    candidates = reused(rarest_postings(ranked, used).join(sizes, "query_id"))
+    thinned = holding(candidates, ranked.filter("place = 2"), used).join(sizes, "query_id").drop("held")
+    thinned = reused(thinned.unionByName(candidates.filter("terms = 1").select(thinned.columns)))
+    rest = holding(thinned.filter("terms > 2"), ranked.filter("place > 2"), used).join(sizes, "query_id")
+    whole = rest.filter("held = terms - 2").unionByName(thinned.filter("terms <= 2").withColumn("held", F.lit(0).cast("long")))
+    return whole.select("query_id", F.col("identity").alias(identity))
 
 
 def search_figures(queries: DataFrame, names: DataFrame, limit: int = 5) -> DataFrame:
@@ -108,3 +181,69 @@ def resolve_names(queries: DataFrame, names: DataFrame, entities: DataFrame) ->
     return known.select(
         "query_id", "query_text", status.alias("status"), F.col("wikiquote_title").alias("title"), "entity_qid"
     )
+
+
+def _deletions(text: str, n: int) -> str:
+    """SQL: the distinct texts that are left when up to ``n`` characters of ``text`` go."""
+    each = "transform(sequence(1, length({0})), i{1} -> concat(substring({0}, 1, i{1} - 1), substring({0}, i{1} + 1)))"
+    made, level = f"array({text})", f"array({text})"
+    for k in range(n):
+        level = f"flatten(transform({level}, x{k} -> {each.format(f'x{k}', k)}))"
+        made = f"concat({made}, {level})"
+    return f"array_distinct({made})"
+
+
+def _typos(token: str) -> str:
+    """SQL: edits that a searched token may be away from a term."""
+    return f"case when length({token}) between 4 and 7 then 1 when length({token}) between 8 and {LONGEST_TYPO} then 2 else 0 end"
+
+
+def matching_terms(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(token, term, penalty): terms that a searched token stands for.
+
+    0 for the term itself, 1 for a term that begins with the token, 1 + d for one that is d edits away, where d is at
+    most 1 for tokens of 4 to 7 characters and 2 for 8 to ``LONGEST_TYPO``. Beginnings come from a dictionary of all
+    beginnings of the terms, edits from the texts that remain when characters are left out on both sides, both by
+    equal joins; the distance is then measured on the pairs that met.
+    """
+    starts = vocabulary.select("term", F.expr("explode(transform(sequence(1, length(term)), i -> substring(term, 1, i)))").alias("token"))
+    begun = tokens.join(starts, "token").select("token", "term", F.when(F.col("token") == F.col("term"), 0).otherwise(1).alias("penalty"))
+
+    def left_out(df: DataFrame, column: str, one: str, two: str) -> DataFrame:
+        rest = f"case when {two} then {_deletions(column, 2)} when {one} then {_deletions(column, 1)} else array() end"
+        return df.select(column, F.expr(f"explode({rest})").alias("rest"))
+
+    asked = left_out(tokens, "token", f"{_typos('token')} = 1", f"{_typos('token')} = 2")
+    # A token of n characters with d typos can stand for terms of n - d to n + d characters.
+    terms = left_out(vocabulary, "term", "length(term) between 3 and 5", f"length(term) between 6 and {LONGEST_TYPO + 2}")
+    met = asked.join(terms, "rest").select("token", "term").distinct().withColumn("d", F.levenshtein("token", "term"))
+    near = met.filter(F.col("d") <= F.expr(_typos("token"))).select("token", "term", F.when(F.col("d") == 0, 0).otherwise(F.col("d") + 1).alias("penalty"))
+    return begun.unionByName(near).groupBy("token", "term").agg(F.min("penalty").cast("int").alias("penalty"))
+
+
+def search_names_partial(queries: DataFrame, names: DataFrame, limit: int = 5) -> DataFrame:
+    """First ``limit`` names for which each token of a query stands for some term, by penalty, title and identity.
+
+    The best term counts for each token. Names are found by the token that stands for the fewest; the other tokens are
+    only compared with the terms of these names. Returns the hits with ``hit_rank`` and ``penalty``.
+    """
+    terms = reused(names.select("thinker_qid", F.explode(token_list(F.col("thinker_name"))).alias("term")))
+    asked = reused(query_terms(queries))
+    known = terms.groupBy("term").agg(F.count(F.lit(1)).alias("names"))
+    matches = reused(matching_terms(asked.select("token").distinct(), known.select("term")))
+    sizes = matches.join(known, "term").groupBy("token").agg(F.sum("names").alias("names"))
+    order = Window.partitionBy("query_id").orderBy(F.asc_nulls_first("names"), "token")
+    ranked = asked.join(sizes, "token", "left").withColumn("place", F.row_number().over(order))
+    rarest = ranked.filter("place = 1 and names is not null").select("query_id", "token")
+    candidates = rarest.join(matches.select("token", "term"), "token").join(terms, "term").select("query_id", "thinker_qid").distinct()
+    wanted = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"))
+    pairs = candidates.join(terms, "thinker_qid").join(asked, "query_id").join(matches, ["token", "term"])
+    best = pairs.groupBy("query_id", "thinker_qid", "token").agg(F.min("penalty").alias("penalty"))
+    hits = best.groupBy("query_id", "thinker_qid").agg(F.count(F.lit(1)).alias("held"), F.sum("penalty").alias("penalty"))
+    whole = hits.join(wanted, "query_id").filter("held = wanted").join(names, "thinker_qid")
+    rank = Window.partitionBy("query_id").orderBy("penalty", F.asc_nulls_last("wikiquote_title"), "thinker_qid")
+    return (
+        whole.withColumn("hit_rank", F.row_number().over(rank))
+        .filter(F.col("hit_rank") <= limit)
+        .select("query_id", "hit_rank", "wikiquote_title", "thinker_qid", "thinker_name", "penalty")
+    )

@@ -397,3 +397,99 @@ def test_many_distinct_limits(spark):
                 if q[0] in names and (category is None or q[1] == category) and (limit is None or q[2] is not None and q[2] <= limit)
             ]
             assert found.get(number) == ((len(fits), fits[seed(key) % len(fits)]) if fits else None)
+
+
+def search_rows(n=3000):
+    generator = random.Random(12)
+    rare = [f"raro{i}" for i in range(60)]
+    return [(sha(str(i)), " ".join(["comum", *generator.choices(["rio", "mar", "sol"], k=2), generator.choice(rare)])) for i in range(n)]
+
+
+def test_posting_blocks_are_even_and_whole(spark):
+    texts = search_rows()
+    rows = spark.createDataFrame(texts, "id string, text string")
+    blocks = search.posting_blocks(rows, "id", "text", block=16).collect()
+    lists = {}
+    for b in blocks:
+        assert b.identities == sorted(b.identities) and (b.first, b.last, b.n) == (b.identities[0], b.identities[-1], len(b.identities))
+        assert all(i.startswith(b.slice) for i in b.identities) and b.n <= 16 * 4
+        lists.setdefault(b.token, []).extend(b.identities)
+    assert sorted(lists["comum"]) == sorted(i for i, _ in texts)
+    assert {t: sorted(x) for t, x in lists.items()} == {t: sorted(i for i, text in texts if t in text.split()) for t in lists}
+
+
+def test_index_search_starts_from_the_rarest_postings(spark):
+    texts = search_rows()
+    rows = spark.createDataFrame(texts, "id string, text string")
+    queries = [("q1", "comum rio raro7"), ("q2", "raro3"), ("q3", "comum nada"), ("q4", "Rio mar comum raro9"), ("q5", "?"), ("q6", "raro1 raro2"), ("q7", "sol rio")]
+    asked = spark.createDataFrame(queries, "query_id string, query_text string")
+    blocks = search.posting_blocks(rows, "id", "text", block=16)
+    got = [r[:] for r in search.search_index(asked, blocks, "id").collect()]
+    words = {i: set(text.split()) for i, text in texts}
+    wanted = {(q, i) for q, text in queries for i in words if text != "?" and set(text.lower().split()) <= words[i]}
+    assert set(got) == wanted and len(got) == len(wanted) and any(q == "q7" for q, _ in wanted)
+    # The rows of the first join are the postings of the rarest terms; the look-ups have one row for each of a query's other terms.
+    terms = search.query_terms(asked)
+    ranked = search.ranked_terms(terms, blocks.join(terms.select("token").distinct(), "token", "left_semi"))
+    candidates = search.rarest_postings(ranked, blocks)
+    frequency = {t: sum(t in w for w in words.values()) for t in ("raro7", "raro3", "raro9", "raro1", "raro2", "sol", "rio")}
+    bound = frequency["raro7"] + frequency["raro3"] + frequency["raro9"] + min(frequency["raro1"], frequency["raro2"]) + min(frequency["sol"], frequency["rio"])
+    assert candidates.count() == bound < len(texts)
+    held = search.holding(candidates, ranked.filter("place = 2"), blocks)
+    assert held.count() <= bound
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_partial_names_equal_brute_force(spark):
+    generator = random.Random(8)
+
+    def word():
+        return "".join(generator.choices("abcdé", k=generator.randrange(1, 13)))
+
+    vocabulary = [word() for _ in range(120)]
+    names = [(f"Q{i}", " ".join(generator.choices(vocabulary, k=generator.randrange(1, 4))), generator.choice([None, f"T{i % 7}"])) for i in range(150)]
+
+    def spoilt(text):
+        at = generator.randrange(len(text))
+        return generator.choice([text[:3], text[:at] + text[at + 1 :], text[:at] + "x" + text[at:], text[:at] + "x" + text[at + 1 :], text])
+
+    asked = {" ".join(spoilt(w) for w in generator.choices(vocabulary, k=generator.randrange(1, 3))) for _ in range(150)}
+    queries = [(q, q) for q in asked]
+    got = search.search_names_partial(
+        spark.createDataFrame(queries, "query_id string, query_text string"),
+        spark.createDataFrame(names, "thinker_qid string, thinker_name string, wikiquote_title string"),
+        limit=3,
+    )
+
+    def tokens(text):
+        return set(text.replace("é", "e").split())
+
+    def penalty(token, term):
+        allowed = 1 if 4 <= len(token) <= 7 else 2 if 8 <= len(token) <= 24 else 0
+        distance = edits(token, term)
+        return 0 if token == term else 1 if term.startswith(token) else distance + 1 if distance <= allowed else None
+
+    wanted = set()
+    for query in asked:
+        hits = []
+        for qid, name, title in names:
+            best = [min((p for term in tokens(name) if (p := penalty(t, term)) is not None), default=None) for t in tokens(query)]
+            if best and None not in best:
+                hits.append((sum(best), title is None, title or "", qid, name))
+        wanted |= {(query, n, h[4], h[3], h[0]) for n, h in enumerate(sorted(hits)[:3], 1)}
+    assert {(r.query_id, r.hit_rank, r.thinker_name, r.thinker_qid, r.penalty) for r in got.collect()} == wanted and len(wanted) > 150
+
+
+def test_partial_names_without_terms(spark):
+    queries = spark.createDataFrame([("1", ""), ("2", "?"), ("3", "zzz"), ("4", None)], "query_id string, query_text string")
+    names = spark.createDataFrame([("Q1", "Ana", "Ana"), ("Q2", None, None)], "thinker_qid string, thinker_name string, wikiquote_title string")
+    assert search.search_names_partial(queries, names).count() == 0
+    assert search.search_names_partial(queries, names.limit(0)).count() == 0

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapidary.llm import (
-    collocations, decontaminate, divergence, importance, licences, line_crf, mixing, popcount_dedup, revisits, token_store, url_filter, wrapper,
+    collocations, decontaminate, divergence, importance, licences, line_crf, mixing, popcount_dedup, revisits, token_store, toxicity, url_filter, wrapper,
 )
 from lapidary.llm.common import new_path
 
@@ -114,4 +114,10 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return scored.select("row.doc_id", toxicity.held_out(F.col("row.doc_id")).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("op")}

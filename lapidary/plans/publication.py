@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+import uuid
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lapidary import fixed
@@ -13,8 +12,11 @@ from lapidary.functions import ids
 from lapidary.functions.text import strip_whitespace
 from lapidary.operators import violations as v
 from lapidary.plans import checks, search
+from lapidary.sources import access, commits
 
 SERVING_THINKERS, SERVING_QUOTES, METADATA_TEXTS = fixed.SERVING_THINKERS, fixed.SERVING_QUOTES, fixed.METADATA_TEXTS
+#: Most rows of a published file, which bounds its filter.
+FILE_ROWS = 1_000_000
 _HEX_16 = r"^[0-9a-f]{16}\z"
 _HEX_64 = r"^[0-9a-f]{64}\z"
 
@@ -63,9 +65,30 @@ def dataset_version(thinkers: DataFrame, quotes: DataFrame) -> DataFrame:
     )
 
 
+REQUIRED = [c for c in SERVING_QUOTES if c not in fixed.SERVING_NULLABLE]
+
+
+def row_metrics(columns: list[str], flag: bool = False) -> list[Column]:
+    """Figures that one pass over the rows gives: rows, nulls of each column, daily flags that are neither 0 nor 1."""
+    counted = [F.count(F.lit(1)).alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"not null: {c}") for c in columns]]
+    return [*counted, F.count_if(~F.col("is_daily_eligible").isin(0, 1)).alias("daily flag")] if flag else counted
+
+
+def key_constraints(thinkers: DataFrame, quotes: DataFrame) -> DataFrame:
+    """Violations of keys and references; only key columns are read."""
+
+    def counted(label: str, df: DataFrame) -> DataFrame:
+        return df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(label).alias("constraint"), "violations")
+
+    return (
+        counted("thinkers primary key", v.repeated_keys(thinkers, ["thinker_qid"]))
+        .unionByName(counted("quotes primary key", v.repeated_keys(quotes, ["occurrence_id"])))
+        .unionByName(counted("quotes reference thinkers", v.orphans(quotes, "thinker_qid", thinkers, "thinker_qid")))
+    )
+
+
 def serving_constraints(thinkers: DataFrame, quotes: DataFrame) -> DataFrame:
     """Violations of the serving tables' keys, references, required columns and value checks."""
-    required = [c for c in SERVING_QUOTES if c not in fixed.SERVING_NULLABLE]
 
     def counted(label: str, df: DataFrame) -> DataFrame:
         return df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(label).alias("constraint"), "violations")
@@ -74,12 +97,10 @@ def serving_constraints(thinkers: DataFrame, quotes: DataFrame) -> DataFrame:
         v.null_counts(thinkers, SERVING_THINKERS).select(
             F.concat(F.lit("thinkers not null: "), "column_name").alias("constraint"), "violations"
         ),
-        v.null_counts(quotes, required).select(
+        v.null_counts(quotes, REQUIRED).select(
             F.concat(F.lit("quotes not null: "), "column_name").alias("constraint"), "violations"
         ),
-        counted("thinkers primary key", v.repeated_keys(thinkers, ["thinker_qid"])),
-        counted("quotes primary key", v.repeated_keys(quotes, ["occurrence_id"])),
-        counted("quotes reference thinkers", v.orphans(quotes, "thinker_qid", thinkers, "thinker_qid")),
+        key_constraints(thinkers, quotes),
         counted("quotes daily flag", quotes.filter(~F.col("is_daily_eligible").isin(0, 1))),
     ]
     stacked = frames[0]
@@ -185,14 +206,18 @@ def publish(
     expected: DataFrame,
     target: str,
     daily: int = fixed.DAILY_QUOTES_PER_THINKER,
+    after: int | None = None,
 ) -> str:
     """Write a validated version under ``target`` and point readers to it; returns the version.
 
-    The version goes to a folder of its own. Readers follow the newest row of
-    the pointer table, and that row is appended after all gates have passed,
-    so a failure at any earlier step leaves the published data as it was.
+    The version goes to a folder of its own. Readers follow the newest commit of the log, which is made after all
+    gates have passed, so a failure at any earlier step leaves the published data as it was. The commit follows number
+    ``after``, the newest one when the call began; if another publisher has made the next one meanwhile, this call
+    raises ``CommitConflict``. Rows, nulls and flags are observed while the tables are written; only the keys of what
+    was written are read again.
     """
     spark = gold.sparkSession
+    after = commits.newest(spark, f"{target}/commits") if after is None else after
     gates = gate_violations(gold, thinkers, expected, provenance, daily)
     shown = gates.groupBy("gate").agg(F.count(F.lit(1)).alias("n"), F.min("detail").alias("example")).collect()
     if shown:
@@ -202,14 +227,22 @@ def publish(
     served_thinkers, served_quotes = serving_thinkers(thinkers), serving_quotes(gold)
     version = dataset_version(served_thinkers, served_quotes).first().dataset_version
     built = provenance.first()
-    folder = f"{target}/versions/{version}/{built.run_id}-{datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}"
+    folder = f"{target}/versions/{version}/{built.run_id}-{uuid.uuid4().hex}"
 
-    served_thinkers.orderBy("thinker_name").write.option("compression", "zstd").parquet(f"{folder}/thinkers")
+    of_thinkers, of_quotes = Observation(), Observation()
+    (
+        served_thinkers.orderBy("thinker_name")
+        .observe(of_thinkers, *row_metrics(SERVING_THINKERS))
+        .write.option("compression", "zstd")
+        .parquet(f"{folder}/thinkers")
+    )
     # A range over both columns splits the rows of a thinker who has most of them.
     (
         served_quotes.repartitionByRange("thinker_qid", "occurrence_id")
         .sortWithinPartitions("is_daily_eligible", "thinker_qid", "occurrence_id")
+        .observe(of_quotes, *row_metrics(REQUIRED, flag=True))
         .write.partitionBy("is_daily_eligible")
+        .option("maxRecordsPerFile", FILE_ROWS)
         .option("compression", "zstd")
         .parquet(f"{folder}/quotes")
     )
@@ -224,11 +257,16 @@ def publish(
 
     written_thinkers = spark.read.parquet(f"{folder}/thinkers")
     written_quotes = spark.read.parquet(f"{folder}/quotes")
-    if written_quotes.count() != gold.count():
+    # The count of the parts comes from file footers.
+    if not written_quotes.count() == of_quotes.get["rows"] == gold.count():
         raise PublicationBlocked("publication blocked: row counts differ")
-    broken = serving_constraints(written_thinkers, written_quotes).filter("violations > 0").collect()
+    seen = {f"thinkers {k}": n for k, n in of_thinkers.get.items()} | {f"quotes {k}": n for k, n in of_quotes.get.items()}
+    broken = [(name, n) for name, n in seen.items() if n and not name.endswith(" rows")]
+    broken += [(row.constraint, row.violations) for row in key_constraints(written_thinkers, written_quotes).filter("violations > 0").collect()]
     if broken:
-        raise PublicationBlocked(f"publication blocked: {[(row.constraint, row.violations) for row in broken]}")
+        raise PublicationBlocked(f"publication blocked: {broken}")
+    statistics = access.file_statistics(written_quotes, "quote_id")
+    statistics.withColumn("file", F.regexp_extract("file", "/(is_daily_eligible=[^/]*/[^/]*)$", 1)).write.parquet(f"{folder}/quote_files")
 
     newest = thinkers.agg(F.max("fetched_at").alias("fetched_at"))
     metadata = newest.select(
@@ -241,25 +279,24 @@ def publish(
         ],
     )
     metadata.write.parquet(f"{folder}/build_metadata")
-    pointer = spark.range(1).select(
-        F.lit(datetime.now(timezone.utc).isoformat()).alias("published_at"),
-        F.lit(version).alias("dataset_version"),
-        F.lit(folder).alias("folder"),
-    )
-    pointer.write.mode("append").parquet(f"{target}/pointer")
+    commits.commit(spark, f"{target}/commits", after + 1, {"dataset_version": version, "folder": folder})
     return version
 
 
 def current_folder(spark: SparkSession, target: str) -> str:
-    try:
-        newest = spark.read.parquet(f"{target}/pointer").orderBy(F.desc("published_at")).first()
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        raise DatasetUnavailable("no published dataset") from error
-    if newest is None:
+    newest = commits.newest(spark, f"{target}/commits")
+    if not newest:
         raise DatasetUnavailable("no published dataset")
-    return newest.folder
+    return commits.read(spark, f"{target}/commits", newest)["folder"]
+
+
+def quotes_of(spark: SparkSession, target: str, quote_id: str) -> DataFrame:
+    """Published rows of one quote; only files that may hold it are opened."""
+    folder = current_folder(spark, target)
+    quotes = spark.read.parquet(f"{folder}/quotes")
+    statistics = spark.read.parquet(f"{folder}/quote_files")
+    whole = statistics.withColumn("file", F.concat(F.lit(f"{folder}/quotes/"), "file"))
+    return access.look_up(quotes, whole, "quote_id", quote_id, f"{folder}/quotes")
 
 
 def read_current(spark: SparkSession, target: str) -> dict[str, DataFrame]:

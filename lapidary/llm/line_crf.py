@@ -10,7 +10,9 @@ line labelled as its document; then the whole chain, where lines of bad document
 content with over 90 % are content. Judging covers every text whole; features are numpy operations on its bytes.
 
 Defined results: null, empty and blank texts have no words and fail the plain rules; lines without a word take no part.
-Repeated rows are judged alike, one by one. Without labels of both qualities every line is content. Line numbers of
+Very long texts are judged whole; words are compared as such, however long. Repeated rows are judged alike, one by one;
+ties of the decoding go to content. An empty table gives an empty result. The row stands in a struct, so names of other
+columns cannot clash. Without labels of both qualities every line is content. Line numbers of
 boilerplate are kept in ``boilerplate`` as the real output.
 """
 
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructType
 
 from lapidary.llm.common import first_by
-from lapidary.llm.wordhash import IS_BLANK, window_hashes, word_hashes, word_starts
+from lapidary.llm.wordhash import IS_BLANK, word_starts
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
 MIN_CONTENT = 0.5
@@ -44,6 +46,33 @@ _KIND[IS_BLANK] = BLANK
 FEATURES = 12
 
 
+class _Numbers(dict):
+    """A number for each distinct word."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        return number
+
+
+def in_repeated_windows(ids: np.ndarray, width: int) -> np.ndarray:
+    """Which of some words stand in a run of ``width`` words that is found twice or more; words are numbers, compared as such.
+
+    Runs of 2, 4, 8 ... words are numbered by the pair of runs they consist of, so equal numbers are equal words.
+    """
+    runs, size = ids, 1
+    while size < width and len(ids) >= width:
+        step = min(size, width - size)
+        pairs = runs[: len(runs) - step] * (int(runs.max()) + 1) + runs[step:]
+        _, runs, times = np.unique(pairs, return_inverse=True, return_counts=True)
+        size += step
+    inside = np.zeros(len(ids) + 1, np.int64)
+    if size == width and len(ids) >= width:
+        first = np.flatnonzero(times[runs] > 1)
+        np.add.at(inside, first, 1)
+        np.add.at(inside, first + width, -1)
+    return np.cumsum(inside[:-1]) > 0
+
+
 def measure(text: str | None) -> tuple[tuple[int, int, int, int, int], np.ndarray, np.ndarray, np.ndarray]:
     """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words); per line with a word: number, words, features."""
     text = text or ""
@@ -64,13 +93,11 @@ def measure(text: str | None) -> tuple[tuple[int, int, int, int, int], np.ndarra
             again[i] = line in seen
             seen.add(line)
 
-    hashes = word_hashes(data, starts)
-    _, which, times = np.unique(window_hashes(hashes, WINDOW), return_inverse=True, return_counts=True)
-    repeated = np.zeros(len(starts), bool)
-    for first in np.flatnonzero(times[which] > 1) if len(which) else ():
-        repeated[first : first + WINDOW] = True
+    numbers = _Numbers()
+    ids = np.fromiter(map(numbers.__getitem__, data.tobytes().split()), np.int64, len(starts))
+    repeated = in_repeated_windows(ids, WINDOW)
     twins = np.zeros(len(starts))
-    twins[1:] = (hashes[1:] == hashes[:-1]) & (word_line[1:] == word_line[:-1])
+    twins[1:] = (ids[1:] == ids[:-1]) & (word_line[1:] == word_line[:-1])
 
     visible = kinds[:, 1:8].sum(axis=1)
     rows = np.flatnonzero(words)

@@ -98,3 +98,21 @@ def test_defined_cases(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert line_crf.train(docs, none) is None
     assert line_crf.train(empty(spark), spark.createDataFrame([(1, 1, 0), (2, 0, 0)], none.schema)) is None
+
+
+def test_words_that_swap_bytes_256_apart_are_different():
+    first = "b" + "a" * 255 + "c" + "a" * 256
+    second = "c" + "a" * 255 + "b" + "a" * 256
+    text = " ".join(["x"] * 7 + [first] + ["x"] * 7 + [second])
+    assert line_crf.measure(text)[0][4] == 0
+    assert line_crf.measure(text + " " + text)[0][4] == 32
+
+
+def test_repeats_of_long_random_words_equal_brute_force():
+    draw = random.Random(9)
+    for _ in range(60):
+        pool = ["".join(draw.choices("ab", k=draw.choice([1, 2, 300, 700]))) for _ in range(3)]
+        words = draw.choices(pool, k=draw.randrange(170))
+        windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+        inside = {i + j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(8)}
+        assert line_crf.measure(" ".join(words))[0][4] == len(inside)

@@ -5,13 +5,15 @@ vectors never exceeds the Hamming distance of the fingerprints. At most three di
 half of the vector (16 segments) at Manhattan distance one or less, so a grid range-join of the halves finds all
 links: a fingerprint stands in the cell of each half, and looks into that cell and the cells one step up in one
 segment; the pairs one step down are found from the other side. Pairs are then cut by the distance of the whole
-vectors and verified by their bits.
+vectors, which is one bit count of the counts written in steps, and those left are verified by their bits.
 
 Equal fingerprints are one node, so exact copies, of whatever number, make no pairs; cells are join keys that the
 runtime splits when they are hot. Links and components stay distributed tables.
 
 Defined results: texts without a word (null, empty, blank) have fingerprint zero and are linked like any other; a
-repeated row has the same component. A component's id is the least non-null id in it; null ids are kept.
+repeated row has the same component. A component's id is the least non-null id in it; null ids are kept. A bit set in
+just half of the hashes is zero. Very long texts are read whole. An empty table gives an empty result. Other columns
+stand in a struct or are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from lapidary.llm.components import components
 MAX_BITS = 3
 HALF_SEGMENTS = 16
 PAIRS = 0x55555555
+#: The lower bit of each two-bit segment.
+LOW_BITS = 0x5555555555555555
 
 _digest = partial(xxhash.xxh64_digest, seed=42)
 
@@ -67,13 +71,21 @@ def _halves(fingerprint: Column) -> list[Column]:
     return [fingerprint.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(fingerprint, 32)]
 
 
-def _manhattan(a: Column, b: Column) -> Column:
-    distance = F.lit(0).cast("long")
-    for x, y in zip(map(_counts, _halves(a)), map(_counts, _halves(b))):
-        for i in range(HALF_SEGMENTS):
-            field = [F.shiftrightunsigned(z, 2 * i).bitwiseAND(3) for z in (x, y)]
-            distance = distance + F.abs(field[0] - field[1])
-    return distance
+def _steps(fingerprint: Column) -> Column:
+    """The bit counts of all 32 segments in steps: 0, 1 and 2 as 00, 01 and 11."""
+    other = F.shiftrightunsigned(fingerprint, 1)
+    low = fingerprint.bitwiseOR(other).bitwiseAND(LOW_BITS)
+    return low.bitwiseOR(F.shiftleft(fingerprint.bitwiseAND(other).bitwiseAND(LOW_BITS), 1))
+
+
+def manhattan(a: Column, b: Column) -> Column:
+    """Manhattan distance of the bit counts of two fingerprints: the bits in which their steps differ."""
+    return F.bit_count(_steps(a).bitwiseXOR(_steps(b)))
+
+
+def within(pairs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """Pairs of the grid whose whole vectors are near enough; what is left is compared by bits."""
+    return pairs.filter(manhattan(F.col("a"), F.col("b")) <= max_bits)
 
 
 def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -91,12 +103,8 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
             looks.append(F.when(room, F.struct(name, (value + (1 << 2 * i)).alias("cell"), F.lit(1).alias("step"))))
     standing = nodes.select(f.alias("b"), F.explode(F.array(*cells)).alias("at")).select("b", "at.half", "at.cell")
     looking = nodes.select(f.alias("a"), F.explode(F.array_compact(F.array(*looks))).alias("at")).select("a", "at.*")
-    near = (
-        looking.join(standing, ["half", "cell"])
-        .filter("step = 1 or a < b")
-        .filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-        .filter(_manhattan(F.col("a"), F.col("b")) <= max_bits)
-    )
+    met = looking.join(standing, ["half", "cell"]).filter("step = 1 or a < b")
+    near = within(met, max_bits).filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from lapidary.llm import popcount_dedup as p
 from lapidary.llm.components import components
@@ -116,3 +117,24 @@ def test_one_of_each_keeps_different_texts_under_one_id(spark):
     assert len({slow_simhash(t) for t in (alone, shared, other)}) == 3
     got = sorted((r.doc_id, r.text) for r in p.one_of_each(documents(spark, rows)).collect())
     assert got == sorted([(3, shared), (7, alone), (7, other)])
+
+
+def test_bound_on_counts_removes_pairs_and_never_a_link(spark):
+    draw = random.Random(6)
+    pairs = []
+    for _ in range(400):
+        a = draw.getrandbits(64)
+        b = a
+        for bit in draw.sample(range(64), draw.randrange(8)):
+            b ^= 1 << bit
+        pairs.append((a - (a >> 63 << 64), b - (b >> 63 << 64)))
+    df = spark.createDataFrame(pairs, "a long, b long").distinct()
+
+    def counts(x):
+        return [(x >> 2 * i & 3).bit_count() for i in range(32)]
+
+    got = {(r.a, r.b): r.d for r in df.withColumn("d", p.manhattan(F.col("a"), F.col("b"))).collect()}
+    assert all(d == sum(abs(x - y) for x, y in zip(counts(a), counts(b))) <= ((a ^ b) % 2**64).bit_count() for (a, b), d in got.items())
+    left = {(r.a, r.b) for r in p.within(df).collect()}
+    linked = {p for p in got if ((p[0] ^ p[1]) % 2**64).bit_count() <= 3}
+    assert linked < left < set(got)

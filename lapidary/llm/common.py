@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,9 +14,19 @@ BLANK = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a folder of the warehouse where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset, a folder of the warehouse: one machine, or a warehouse on a shared store. On a cluster with
+    a warehouse on a local disk no folder is shared, which is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    return configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    if configured:
+        return configured
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    on_disk = "://" not in warehouse or warehouse.startswith("file:")
+    if on_disk and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir: without it intermediate tables would go to a local disk of each machine")
+    return f"{warehouse}/checkpoints"
 
 
 def new_path(spark: SparkSession, name: str) -> str:

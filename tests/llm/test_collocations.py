@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lapidary.llm import collocations, queries
-from tests.llm import cases
+import cases
 
 LOWER = {ord(c): ord(c.lower()) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lapidary.llm import divergence, queries
-from tests.llm import cases
+import cases
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = {ord(c): ord(c.lower()) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lapidary.llm import queries, toxicity
-from tests.llm import cases
+import cases
 
 SF_DIR = "/root/testdata/sf0.01"
 

@@ -12,12 +12,15 @@ sidebars, notices, adverts, forms, scripts, styles, hidden parts and reader comm
 name. Where a page marks its article (``article``, else ``main``; ``main`` too where the articles have less than ``SMALL`` of its
 text), content is taken from there alone; inside, a node is template only if it is constant on nearly all of many pages.
 
-Parsing is a small tokenizer in the tasks; trees, texts and counts are aggregated by Spark. Only numbers per (host,
-tree, node, text hash) are shuffled, never pages; a host's wrapper is as large as its reference tree. A host with a
-third of all pages is summed in every task first.
+Parsing is a small tokenizer in the tasks; trees, texts and counts are aggregated by Spark. For induction trees and
+numbers per (host, tree, node, text hash) are shuffled; a host's wrapper is as large as its reference tree, and pages meet
+their host's wrapper by a join, which moves them only where the wrappers are too many to be sent to all. A host with a
+third of all pages is summed in every task first. Alignment walks equal subtrees once and keeps no table beyond
+``TABLE`` entries, so a page of tens of thousands of blocks takes seconds and bounded memory.
 
 Defined results: null and empty pages have an empty text and no blocks. Repeated rows are extracted one by one. A null
-url belongs to the host ''. Elements nested deeper than ``DEPTH`` count as children of the last level, with all text;
+url belongs to the host ''. Very long pages are read whole. Trees of one count go by their text. An empty table gives an
+empty result. The row stands in a struct, so names of other columns cannot clash. Elements nested deeper than ``DEPTH`` count as children of the last level, with all text;
 the text of those that are template by their kind stays with them.
 """
 
@@ -26,7 +29,9 @@ from __future__ import annotations
 import html
 import json
 import re
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -42,6 +47,7 @@ MIN_PAGES_INSIDE, CONSTANT_INSIDE = 20, 0.95
 SMALL = 0.5
 DEPTH = 100
 ALIGNED = 5000  # alignments a worker remembers
+TABLE = 1 << 24  # entries of an alignment table that is kept
 
 BLOCKS = set(
     "html head body title nav header footer aside main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption "
@@ -277,58 +283,100 @@ class Page:
                 self._take(part, template, found)
 
 
-def align(tree: list, reference: list) -> dict[int, int]:
-    """Simple tree matching: places of ``tree`` (in its own order) to places of ``reference``."""
-    sizes: dict[int, int] = {}
-
-    def size(node: list) -> int:
-        if id(node) not in sizes:
-            sizes[id(node)] = 1 + sum(map(size, node[1]))
-        return sizes[id(node)]
+def _best_pairs(left: np.ndarray, right: np.ndarray, worth: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs in order, of most worth together, between two lists of classes; ``worth`` of two classes, 0 for no match.
+
+    Rows of the usual table are arrays. A table beyond ``TABLE`` entries is not kept: the left list is halved and the
+    cut of the right one is where the sums of both halves are most.
+    """
+
+    def sums(rows: np.ndarray, columns: np.ndarray, keep: bool) -> np.ndarray:
+        row, kept = np.zeros(len(columns) + 1, np.int64), []
+        for kind in rows:
+            paired = row.copy()
+            np.maximum(paired[1:], row[:-1] + worth[kind, columns], out=paired[1:])
+            row = np.maximum.accumulate(paired)
+            kept += [row] if keep else []
+        return np.array([np.zeros_like(row), *kept]) if keep else row
+
+    if not len(left) or not len(right):
+        return []
+    if len(left) * len(right) > TABLE and len(left) > 1:
+        half = len(left) // 2
+        cut = int((sums(left[:half], right, False) + sums(left[half:][::-1], right[::-1], False)[::-1]).argmax())
+        later = _best_pairs(left[half:], right[cut:], worth)
+        return _best_pairs(left[:half], right[:cut], worth) + [(i + half, j + cut) for i, j in later]
+    table, pairs, i, j = sums(left, right, True), [], len(left), len(right)
+    while i and j:
+        gain = worth[left[i - 1], right[j - 1]]
+        if gain and table[i, j] == table[i - 1, j - 1] + gain:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+        elif table[i, j] == table[i - 1, j]:
+            i -= 1
+        else:
+            j -= 1
+    return pairs[::-1]
 
-    scores: dict[tuple[int, int], tuple[int, list]] = {}
 
-    def match(a: list, b: list) -> tuple[int, list]:
-        """Matched nodes below and at a and b, and the matched children."""
-        if a[0] != b[0]:
+def align(tree: list, reference: list) -> dict[int, int]:
+    """Simple tree matching: places of ``tree`` (in its own order) to places of ``reference``.
+
+    Equal subtrees are one class and match whole, so a tree is walked once for itself; equal children at both ends of
+    two nodes are paired at once, which never loses a match; what is left between them is compared by class.
+    """
+    classes: dict[tuple, int] = {}
+    sizes: list[int] = []
+    members: list[tuple] = []
+
+    def class_of(node: list) -> int:
+        key = (node[0], tuple(map(class_of, node[1])))
+        if key not in classes:
+            classes[key] = len(sizes)
+            sizes.append(1 + sum(sizes[c] for c in key[1]))
+            members.append(key)
+        return classes[key]
+
+    matched: dict[tuple[int, int], tuple[int, list]] = {}
+
+    def match(a: int, b: int) -> tuple[int, list]:
+        """Matched nodes below and at two classes, and the matched children."""
+        if a == b:
+            return sizes[a], []
+        if members[a][0] != members[b][0]:
             return 0, []
-        key = (id(a), id(b))
-        if key not in scores:
-            left, right = a[1], b[1]
-            table = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-            own = [[match(x, y)[0] for y in right] for x in left]
-            for i in range(1, len(left) + 1):
-                for j in range(1, len(right) + 1):
-                    table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + own[i - 1][j - 1])
-            pairs, i, j = [], len(left), len(right)
-            while i and j:
-                if own[i - 1][j - 1] and table[i][j] == table[i - 1][j - 1] + own[i - 1][j - 1]:
-                    i, j = i - 1, j - 1
-                    pairs.append((i, j))
-                elif table[i][j] == table[i - 1][j]:
-                    i -= 1
-                else:
-                    j -= 1
-            scores[key] = 1 + table[len(left)][len(right)], pairs[::-1]
-        return scores[key]
+        if (a, b) not in matched:
+            left, right = members[a][1], members[b][1]
+            head = next((i for i, (x, y) in enumerate(zip(left, right)) if x != y), min(len(left), len(right)))
+            rest = min(len(left), len(right)) - head
+            tail = next((i for i, (x, y) in enumerate(zip(left[::-1], right[::-1])) if x != y), rest)
+            tail = min(tail, rest)
+            between = (left[head : len(left) - tail], right[head : len(right) - tail])
+            pairs = [(i, i) for i in range(head)]
+            if all(between):
+                names = [list(dict.fromkeys(x)) for x in between]
+                worth = np.array([[match(x, y)[0] for y in names[1]] for x in names[0]], np.int64)
+                kinds = [np.array(list(map({c: i for i, c in enumerate(n)}.get, x))) for n, x in zip(names, between)]
+                pairs += [(i + head, j + head) for i, j in _best_pairs(*kinds, worth)]
+            pairs += [(len(left) - tail + i, len(right) - tail + i) for i in range(tail)]
+            matched[a, b] = 1 + sum(match(left[i], right[j])[0] for i, j in pairs), pairs
+        return matched[a, b]
 
     found: dict[int, int] = {}
 
-    def walk(a: list, b: list, at: int, to: int) -> None:
+    def walk(a: int, b: int, at: int, to: int) -> None:
+        if a == b:
+            found.update(zip(range(at, at + sizes[a]), range(to, to + sizes[a])))
+            return
         score, pairs = match(a, b)
         if not score:
             return
         found[at] = to
-        starts = [at + 1]
-        for child in a[1]:
-            starts.append(starts[-1] + size(child))
-        targets = [to + 1]
-        for child in b[1]:
-            targets.append(targets[-1] + size(child))
+        starts, targets = ([first + 1, *(first + 1 + n for n in accumulate(sizes[c] for c in members[x][1]))] for x, first in ((a, at), (b, to)))
         for i, j in pairs:
-            walk(a[1][i], b[1][j], starts[i], targets[j])
+            walk(members[a][1][i], members[b][1][j], starts[i], targets[j])
 
-    walk(tree, reference, 0, 0)
+    walk(class_of(tree), class_of(reference), 0, 0)
     return found
 
 

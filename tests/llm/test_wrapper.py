@@ -2,6 +2,10 @@ from __future__ import annotations
 
 import json
 import random
+import time
+
+import numpy as np
+import pytest
 
 from lapidary.llm import wrapper
 from cases import LONG
@@ -124,3 +128,31 @@ def test_a_small_article_in_a_main_part_is_not_the_text():
     assert blocks(f"<main><p>{long}</p><article>a card</article></main>") == [long.strip(), "a card"]
     assert blocks(f"<main><p>see also</p><article>{long}</article></main>") == [long.strip()]
     assert blocks(f"<main><article>{long}</article><article>{long}</article></main>") == [long.strip()] * 2
+
+
+def test_long_pages_of_alternating_blocks():
+    made = lambda n, first="", last="": json.loads(wrapper.Page(f"<body><article>{first}{'<h2>a</h2><p>b</p>' * n}{last}</article></body>").tree)
+    began = time.monotonic()
+    tree = made(25_000)
+    same = wrapper.align(tree, tree)
+    assert same == {i: i for i in range(len(same))} and len(same) > 50_000
+    assert len(wrapper.align(tree, made(24_000, last="<div><p>y</p></div>"))) > 48_000
+    # Where both ends differ the middle is compared row by row.
+    assert len(wrapper.align(made(1500), made(1400, "<ul><li>x</li></ul>", "<div><p>y</p></div>"))) > 2800
+    assert time.monotonic() - began < 5
+
+
+@pytest.mark.parametrize("table", [1, 6, 1 << 24])
+def test_halved_tables_find_the_same_worth(monkeypatch, table):
+    monkeypatch.setattr(wrapper, "TABLE", table)
+    draw = np.random.default_rng(3)
+    for _ in range(40):
+        worth = draw.integers(0, 4, (4, 4))
+        left, right = draw.integers(0, 4, draw.integers(1, 14)), draw.integers(0, 4, draw.integers(1, 14))
+        pairs = wrapper._best_pairs(left, right, worth)
+        best = np.zeros((len(left) + 1, len(right) + 1), int)
+        for i, x in enumerate(left, 1):
+            for j, y in enumerate(right, 1):
+                best[i, j] = max(best[i - 1, j], best[i, j - 1], best[i - 1, j - 1] + worth[x, y])
+        assert pairs == sorted(set(pairs)) and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(pairs, pairs[1:]))
+        assert sum(worth[left[i], right[j]] for i, j in pairs) == best[-1, -1]

@@ -26,6 +26,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ from lapidary.llm.common import written
 
 SUPPORT, LENGTH, TOP, INSIDE_PERCENT = 30, 4, 2000, 80
 OVERLAP, TRIGGER, LONGEST = LENGTH - 1, 16, 256
-ENTRIES, WORDS, MARK_BITS = 300_000, 1_000_000, 26
+ENTRIES, WORDS, BYTES_OF_WORD, MARK_BITS = 300_000, 1_000_000, 6, 26
 
 #: Bytes of a text: A-Z as a-z, the characters between pieces as a point. A word holds neither point nor "!".
 _PIECE_BYTES = bytes(b + 32 if 65 <= b <= 90 else 46 if b in b".,;:!?\n\x0b\x0c\r" else b for b in range(256))
@@ -124,28 +125,41 @@ def dictionary(docs: DataFrame) -> DataFrame:
 
 
 def _portions(batches):
-    """(lang, chunks, times) of about ``WORDS`` words, each of one language."""
-    held: dict[str, tuple[list, list]] = {}
+    """(lang, texts of chunks as an Arrow array, times) of about ``WORDS`` words, each of one language."""
+    held: dict[str, list[tuple[pa.Array, np.ndarray]]] = {}
     size = 0
+
+    def portions():
+        for lang, parts in held.items():
+            yield lang, pa.concat_arrays([x[0] for x in parts]), np.concatenate([x[1] for x in parts])
+
     for batch in batches:
-        for lang, chunk, times in zip(*[batch.column(c).to_pylist() for c in ("lang", "chunk", "times")]):
-            chunks, numbers = held.setdefault(lang, ([], []))
-            chunks.append(chunk)
-            numbers.append(times)
-            size += len(chunk) // 6 + 1
-            if size > WORDS:
-                yield from ((lang, *x) for lang, x in held.items())
-                held, size = {}, 0
-    yield from ((lang, *x) for lang, x in held.items())
+        langs, chunks, times = (batch.column(c) for c in ("lang", "chunk", "times"))
+        for lang in pc.unique(langs).to_pylist():
+            mine = pc.equal(langs, lang)
+            part = chunks.filter(mine)
+            held.setdefault(lang, []).append((part, times.filter(mine).to_numpy()))
+            size += int(pc.sum(pc.binary_length(part)).as_py())
+        if size > WORDS * BYTES_OF_WORD:
+            yield from portions()
+            held, size = {}, 0
+    yield from portions()
+
+
+class _Numbers(dict):
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = len(self)
+        return value
 
 
 class _Words:
     """The words of some chunks as numbers: which may begin an n-gram, of which chunk, and hashes of pairs."""
 
-    def __init__(self, lang: str, chunks: list[str], times: list[int]):
-        data = " ! ".join(chunks).encode().split(b" ")
-        numbers: dict[bytes, int] = {b"!": 0, b".": 1}
-        self.ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in data), np.int64, len(data))
+    def __init__(self, lang: str, chunks: pa.Array, times: np.ndarray):
+        whole = pc.binary_join(pa.LargeListArray.from_arrays([0, len(chunks)], chunks.cast(pa.large_binary())), pa.scalar(b" ! ", pa.large_binary()))
+        data = whole[0].as_py().split(b" ")
+        numbers = _Numbers({b"!": 0, b".": 1})
+        self.ids = np.fromiter(map(numbers.__getitem__, data), np.int64, len(data))
         self.names = list(numbers)
         word = self.ids > 1
         goes_on = self.ids == 1
@@ -153,7 +167,7 @@ class _Words:
         for i in range(1, OVERLAP + 1):
             begin[:-i] &= ~goes_on[i:]
         self.begin = begin
-        self.weight = np.asarray(times, np.int64)[np.cumsum(self.ids == 0)]
+        self.weight = times[np.cumsum(self.ids == 0)]
         self.pair = word[:-1] & word[1:]
         salt = np.uint64(xxhash.xxh3_64_intdigest(lang.encode()))
         h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in self.names), np.uint64, len(self.names))[self.ids]
@@ -164,7 +178,7 @@ class _Words:
 
 def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, the place of one of each, and the sums of their weights."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     ordered = keys[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else np.zeros(0, int)
     return ordered[first], order[first], np.add.reduceat(weights[order], first) if len(keys) else np.zeros(0, np.int64)
@@ -206,19 +220,18 @@ def _phrases(marked: np.ndarray):
             ids, size, base = words.ids, len(words.ids), len(words.names)
             good = np.zeros(size, bool)
             good[:-1][words.pair] = known(words.keys[words.pair])
-            spots, codes = np.flatnonzero(words.begin), ids
-            ok = good.copy()
+            ok, codes, spots = good, ids, np.flatnonzero(words.begin)
             for n in range(1, LENGTH + 1):
-                if n > 1:
+                if n > 2:
                     # ok: the pairs from here on, one less than the words, are all frequent.
-                    if n > 2:
-                        ok[:-1] &= ok[1:]
-                        ok[-1] = False
-                        ok &= good
-                    _, ranks = np.unique(codes[:size - n + 2], return_inverse=True)
-                    codes = ranks[: size - n + 1].astype(np.int64) * base + ids[n - 1 :]
-                    spots = np.flatnonzero(ok[: size - n + 1] & words.begin[: size - n + 1])
-                _, places, sums = _summed(codes[spots], words.weight[spots])
+                    ok = ok[:-1] & good[n - 2 :]
+                if n > 1:
+                    spots = np.flatnonzero(ok & words.begin[: len(ok)])
+                    codes = ids[spots] * base + ids[spots + 1]
+                    for i in range(2, n):
+                        _, codes = np.unique(codes, return_inverse=True)
+                        codes = codes * base + ids[spots + i]
+                _, places, sums = _summed(codes if n > 1 else ids[spots], words.weight[spots])
                 places = spots[places]
                 parts = [map(words.names.__getitem__, ids[places + i].tolist()) for i in range(n)]
                 texts = [b" ".join(p) for p in zip(*parts)]

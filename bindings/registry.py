@@ -14,11 +14,11 @@ from lapidary.functions.dates import partial_date
 from lapidary.operators import picks
 from lapidary.operators import violations as v
 from lapidary.operators.latest import first_mentions
-from lapidary.plans import build, checks, extraction, profiles, publication, reports, search, selection, silver
+from lapidary.plans import build, checks, extraction, profiles, publication, reports, search, selection, silver, versions
 from lapidary.plans import gold as gold_plan
-from lapidary.sources import entities, snapshots, supplemental
+from lapidary.sources import entities, merge, snapshots, supplemental
 from lapidary.sources import pages as page_source
-from lapidary.session import reused
+from lapidary.session import new_folder, reused
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -335,6 +335,28 @@ def dataset_version(spark, sf_dir):
     )
 
 
+@query
+def version_difference(spark, sf_dir):
+    """Silver against a later version in which some rows are gone, some have another category and some are new."""
+    fields = ["occurrence_id", "quote_id", "category", "character_count"]
+    old = reused(_silver(spark, sf_dir).select(fields).filter("occurrence_id is not null"))
+    mark = F.substring("occurrence_id", 1, 2)
+    category = F.when(mark == "b2", F.upper("category")).otherwise(F.col("category"))
+    kept = old.filter(mark != "a1").withColumn("category", category)
+    new = kept.unionByName(old.filter(mark == "c3").withColumn("occurrence_id", F.sha2("occurrence_id", 256)))
+    return versions.version_difference(old, reused(new), "occurrence_id", fields)
+
+
+@query
+def merged_silver(spark, sf_dir):
+    """Silver merged from two snapshots: the scraped rows, then the reviewed ones; equal to a build of both."""
+    target = new_folder(spark, "merged")
+    quotes, reviewed = given.bronze_quotes(spark, sf_dir), given.bronze_supplemental(spark, sf_dir)
+    for sources in ((quotes, reviewed.limit(0)), (quotes.limit(0), reviewed)):
+        silver.merge_quotes(*sources, target)
+    return _flat(merge.read_merged(spark, target))
+
+
 @query
 def metadata_problems(spark, sf_dir):
     return publication.metadata_problems(given.metadata_candidates(spark, sf_dir), "dataset")

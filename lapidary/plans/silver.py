@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lapidary.functions import ids, text
 from lapidary.operators.latest import latest_per_key
+from lapidary.sources import merge
 
 SILVER_COLUMNS = [
     "occurrence_id",
@@ -29,6 +30,8 @@ SILVER_COLUMNS = [
     "source_kind",
     "character_count",
 ]
+#: Columns that settle equal fetch times.
+TIES = [name for name in SILVER_COLUMNS if name not in ("occurrence_id", "fetched_at")]
 _ONLY_SUPPLEMENTAL = [
     "original_text",
     "original_language",
@@ -65,9 +68,12 @@ def identify(rows: DataFrame) -> DataFrame:
 
 def normalise_quotes(quotes: DataFrame, supplemental: DataFrame) -> DataFrame:
     """Silver table: identified occurrences, each at its latest snapshot."""
-    identified = identify(union_sources(quotes, supplemental))
-    ties = [name for name in SILVER_COLUMNS if name not in ("occurrence_id", "fetched_at")]
-    return latest_per_key(identified, ["occurrence_id"], "fetched_at", ties)
+    return latest_per_key(identify(union_sources(quotes, supplemental)), ["occurrence_id"], "fetched_at", TIES)
+
+
+def merge_quotes(quotes: DataFrame, supplemental: DataFrame, target: str) -> list[str]:
+    """Merge the rows of a new snapshot into the silver table in ``target``; only the buckets they touch are read."""
+    return merge.merge_latest(identify(union_sources(quotes, supplemental)), target, "occurrence_id", "fetched_at", TIES)
 
 
 def dim_thinkers(thinkers: DataFrame) -> DataFrame:

@@ -15,6 +15,14 @@ def shared_folder(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one; on one machine without a shared folder, in the warehouse."""
+    folder = shared_folder(spark)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return f"{(folder or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def reused(df: DataFrame) -> DataFrame:
     """Rows that a plan reads more than once.
 

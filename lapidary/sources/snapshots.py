@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lapidary import fixed
@@ -128,3 +128,35 @@ def pages_of(records: DataFrame) -> DataFrame:
         "fetched_at",
         F.coalesce(F.get_json_object("wikiquote_json", "$.parse.text"), F.lit("")).alias("html"),
     )
+
+
+def store_documents(records: DataFrame, store: str, digits: int = 2) -> int:
+    """Add the documents of successful records to the store, a table named by content; returns how many were new.
+
+    The store holds sha256, kind, qid and document in folders by the digest's first digits. Digests that it holds are
+    left out by an exact anti join on digests alone, so a second run over the same pages writes nothing.
+    """
+    spark = records.sparkSession
+    kinds = [F.struct(F.lit(k).alias("kind"), F.col(f"{k}_sha256").alias("sha256"), F.col(f"{k}_json").alias("document")) for k in ("wikiquote", "wikidata")]
+    documents = records.filter("status = 'success'").select("qid", F.explode(F.array(*kinds)).alias("d")).select("qid", "d.*")
+    once = documents.groupBy("sha256").agg(*[F.min(F.struct("kind", "qid", "document")).alias("d")]).select("sha256", "d.*")
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        once = once.join(read_store(spark, store).select("sha256"), "sha256", "left_anti")
+    seen = Observation()
+    (
+        once.withColumn("prefix", F.substring("sha256", 1, digits))
+        .repartitionByRange("prefix", "sha256")
+        .sortWithinPartitions("prefix", "qid")
+        .observe(seen, F.count(F.lit(1)).alias("documents"))
+        .write.partitionBy("prefix")
+        .mode("append")
+        .option("compression", "zstd")
+        .parquet(store)
+    )
+    return seen.get["documents"]
+
+
+def read_store(spark: SparkSession, store: str) -> DataFrame:
+    """Stored documents; filters on sha256, prefix and qid reach the scan."""
+    return spark.read.schema("sha256 string, kind string, qid string, document string, prefix string").parquet(store)

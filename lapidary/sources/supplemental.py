@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lapidary import fixed
 from lapidary.functions.text import strip_whitespace
+from lapidary.session import reused
 
 _OPTIONAL = [f for f in fixed.SUPPLEMENTAL_FIELDS if f not in fixed.SUPPLEMENTAL_REQUIRED]
 _INTEGER = r"^[+-]?[0-9]+\z"
@@ -21,6 +22,45 @@ class InvalidSource(ValueError):
     """The CSV header or a row breaks the source's contract."""
 
 
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, line_number, record): the records of CSV files, each file read by as many tasks as it has splits.
+
+    A line break ends a record where the quotes before it are even in number. Quotes are counted per line, per split
+    and over the splits of a file, and record starts likewise, so no task reads more than a split; only the lines of
+    one record meet. Records are numbered from 1 in every file; blank lines between records are none. Quotes stand
+    around fields and are doubled within, as in RFC 4180.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("source_file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("place"),
+        "value",
+        (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))).alias("quotes"),
+    )
+    lines = reused(lines)
+    split = ["source_file", "split"]
+    in_split = Window.partitionBy(*split).orderBy("place")
+    # A row for each split of a file.
+    over_splits = Window.partitionBy("source_file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+
+    def before(df: DataFrame, column: str) -> DataFrame:
+        sums = df.groupBy(*split).agg(F.sum(column).alias("sum"))
+        return sums.select(*split, F.coalesce(F.sum("sum").over(over_splits), F.lit(0)).alias(f"{column}_before"))
+
+    earlier = F.coalesce(F.sum("quotes").over(in_split.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    even = lines.withColumn("earlier", earlier).join(before(lines, "quotes"), split).withColumn(
+        "even", (F.col("earlier") + F.col("quotes_before")) % 2 == 0
+    )
+    full = even.filter(~(F.col("even") & F.rtrim("value", F.lit("\r")).isin("", "\ufeff"))).withColumn("starts", F.col("even").cast("int"))
+    full = reused(full.select(*split, "place", "value", "starts"))
+    running = F.sum("starts").over(in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = full.withColumn("running", running).join(before(full, "starts"), split)
+    parts = F.array_sort(F.collect_list(F.struct("split", "place", "value")))
+    records = numbered.groupBy("source_file", (F.col("running") + F.col("starts_before")).alias("line_number")).agg(parts.alias("parts"))
+    text = F.array_join(F.transform("parts", lambda p: p["value"]), "\n")
+    return records.select("source_file", "line_number", F.regexp_replace(text, r"\r\z", "").alias("record"))
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All fields as text with ``source_file`` and ``line_number``; the header of every file must match exactly.
 
@@ -30,25 +70,18 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     fields = fixed.SUPPLEMENTAL_FIELDS
     # One column more than the header may have, so that a longer header shows.
     schema = ", ".join(f"`{name}` string" for name in [*fields, "_more"])
-    raw = spark.read.schema(schema).option("multiLine", True).option("escape", '"').csv(path)
-    numbered = raw.select("*", F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("_row"))
-    # A quoted multi-line file is read by one task, so its row numbers have no gaps.
-    first = numbered.groupBy("source_file").agg(
-        F.min("_row").alias("_first"), F.min_by(F.array(*fields, "_more"), "_row").alias("_header")
-    )
+    records = csv_records(spark, path)
+    parsed = records.withColumn("fields", F.from_csv("record", F.lit(schema), {"escape": '"', "mode": "PERMISSIVE"}))
+    rows = reused(parsed.select("source_file", "line_number", "fields.*"))
     wanted = F.array(*[F.lit(name) for name in fields], F.lit(None).cast("string"))
-    shown = F.transform("_header", lambda value, place: F.when(place == 0, F.ltrim(value, F.lit("\ufeff"))).otherwise(value))
-    wrong = first.filter(~shown.eqNullSafe(wanted)).agg(F.min("source_file").alias("file"), F.count(F.lit(1)).alias("n")).first()
+    shown = F.transform(F.array(*fields, "_more"), lambda value, place: F.when(place == 0, F.ltrim(value, F.lit("\ufeff"))).otherwise(value))
+    headers = rows.filter("line_number = 1")
+    wrong = headers.filter(~shown.eqNullSafe(wanted)).agg(F.min("source_file").alias("file"), F.count(F.lit(1)).alias("n")).first()
     if wrong.n:
         raise InvalidSource(f"the header of the supplemental source does not match: {wrong.file}")
-    if first.count() < len(raw.inputFiles()):
+    if headers.count() < len(spark.read.text(path).inputFiles()):
         raise InvalidSource("the header of the supplemental source does not match: a file is empty")
-    return (
-        numbered.join(first.drop("_header"), "source_file")
-        .filter("_row > _first")
-        .withColumn("line_number", F.col("_row") - F.col("_first") + 1)
-        .drop("_row", "_first", "_more")
-    )
+    return rows.filter("line_number > 1").drop("_more")
 
 
 def _stripped(raw: DataFrame) -> DataFrame:

@@ -210,3 +210,34 @@ def test_entity_documents(spark):
         ("P18", 0, "normal", "string", None, None, None),
     }
     assert {r[:] for r in entities.read_texts(df, "labels").collect()} == {("Q1", "pt", "filósofo"), ("Q1", "en", "philosopher")}
+
+
+def test_one_quoted_file_over_many_splits(spark, tmp_path):
+    """Records with breaks, doubled quotes, commas and blank lines, read by many tasks, equal a plain reader's."""
+    import csv
+    import io
+    import random
+
+    draw = random.Random(2)
+    pieces = ["a", "ção", '"', '""', ",", "\n", "\n\n", "\r\n", " ", "x" * 40]
+    for number, end in enumerate(("\n", "\r\n")):
+        out = io.StringIO()
+        writer = csv.writer(out, lineterminator=end)
+        writer.writerow(fixed.SUPPLEMENTAL_FIELDS)
+        rows = [["".join(draw.choices(pieces, k=draw.randrange(6))) + "." for _ in fixed.SUPPLEMENTAL_FIELDS] for _ in range(300)]
+        for row in rows:
+            writer.writerow(row)
+            if draw.random() < 0.1:
+                out.write(end)
+        path = tmp_path / f"many{number}.csv"
+        path.write_bytes(out.getvalue().encode())
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            splits = spark.read.option("lineSep", "\n").text(str(path)).rdd.getNumPartitions()
+            got = supplemental.read_csv(spark, str(path)).collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert splits > 20
+        assert {r.line_number: [r[f] for f in fixed.SUPPLEMENTAL_FIELDS] for r in got} == {n: row for n, row in enumerate(rows, 2)}

@@ -11,7 +11,10 @@ Candidates are then verified by the shingles themselves, as text. All work is na
 
 Defined results: words are runs of letters and digits in lower case; a text of one to four words is one shingle, a
 text without words (null, empty) has none and neither contains nor is contained. Repeated rows give one result row
-per document id and item; several texts under one id are searched apart. Null ids are found like others.
+per document id and item; several texts under one id are searched apart. Null ids are found like others. Very long texts
+are searched whole. Items of equal text under several ids are found under each. An empty table on either side gives an
+empty result. Only ids and texts are read, and rows that are kept stand in a struct, so names of other columns cannot
+clash.
 """
 
 from __future__ import annotations

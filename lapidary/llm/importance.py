@@ -12,7 +12,8 @@ Tasks hash and count in numpy and send one row per bucket.
 
 Defined results: null, empty and blank texts have no n-grams and a log ratio of 0. Ties are settled by a hash of
 the text; rows that tie in it as well (repeated rows) are kept or dropped together, so k can be exceeded by them. Without labels nothing can be
-judged and every row is kept. An empty table gives an empty result.
+judged and every row is kept. Very long texts are counted whole. An empty table gives an empty result. The row stands in
+a struct, so names of other columns cannot clash.
 """
 
 from __future__ import annotations

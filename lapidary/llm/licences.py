@@ -15,7 +15,8 @@ summed per paragraph.
 
 Defined results: paragraphs are the lines of a text; null and empty texts have none. Words are runs of a-z, 0-9 with
 single marks . + - inside, in lower case. Rows that agree in id and text count once. Ties go to the first family by name.
-Without corpus paragraphs the templates and variants alone are fitted.
+Without corpus paragraphs the templates and variants alone are fitted. Very long texts are scanned whole, line by line.
+An empty table gives an empty result. Only id and text are read, so names of other columns cannot clash.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ are never shuffled. All work is native expressions.
 
 Defined results: null paths are leaves of their own; weights that are not given are 1, weights of 0 give nothing.
 Texts without a word (null, empty) have no tokens and are never taken. Rows that agree in id and text share one order
-value and are taken or left together. An empty table gives an empty result.
+value and are taken or left together. Very long texts are counted whole. An empty table gives an empty result. The row
+stands in a struct, so names of other columns cannot clash.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ with lower-case names.
 Defined results: "earlier" is strictly earlier; of responses of one second the greatest capture_id counts. Captures
 without a time or with a url that has no canonical form are matched with nothing; revisits among them are
 ``no_response``. Repeated rows are resolved one by one. Revisits without validators are ``unchecked`` and merged.
-Null headers are empty.
+Null headers are empty. Very long urls are compared whole. An empty table gives an empty result. Only the named columns
+of captures are read and returned, so names of other columns cannot clash.
 """
 
 from __future__ import annotations

@@ -18,7 +18,9 @@ The dictionary is trained on at most ``samples`` pieces of ``piece`` ids, taken
 hash order; too small a corpus for training gives a raw dictionary of the pieces themselves.
 
 Defined results: null texts are empty, empty texts hold the end id alone. Null doc_ids come first; rows that tie in
-doc_id are ordered by a hash of the text and all written. An empty table gives a store without blocks.
+doc_id are ordered by a hash of the text and all written. Very long texts are encoded whole, in pieces cut where the
+tokenizer cuts. An empty table gives a store without blocks. Only id and text are read, so names of other columns
+cannot clash.
 """
 
 from __future__ import annotations

@@ -5,7 +5,9 @@ one aggregation and kept as a table of at most ``max_blocks`` rows, the only tab
 it go to an exact join with the list, so the filter's false positives never show. All work is native expressions.
 
 Defined results: null URLs and URLs without ``://`` have empty host and path, no rule and no canonical form, and
-are allowed. Repeated list entries count once; repeated pages are judged one by one. An empty list blocks nothing.
+are allowed. Repeated list entries count once; repeated pages are judged one by one. Very long URLs are compared whole;
+of rules that fit the longest wins. An empty list blocks nothing, an empty table gives an empty result. The row stands
+in a struct, so names of other columns cannot clash.
 """
 
 from __future__ import annotations

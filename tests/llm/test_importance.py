@@ -71,3 +71,34 @@ def test_defined_cases(spark):
     rows = importance.resample(documents(spark), labels(spark, [(1, 1, 0), (6, 0, 0), (7, None, 0)]), share=1.0).collect()
     assert len(rows) == len(TEXTS) and all(r.kept for r in rows)
     assert {r.log_ratio for r in rows if not (r.row.text or "").strip()} == {0.0}
+
+
+def test_whole_resampling_by_brute_force(spark):
+    """Models, sums, noise and the kept set of the whole operator; only the random hash is taken from Spark."""
+    from pyspark.sql import functions as F
+
+    rows = corpus() + TEXTS
+    docs = documents(spark, rows)
+    known = [(i, 1, 0) for i in range(0, 300, 2)] + [(1000 + i, 0, 0) for i in range(0, 60, 2)]
+    got = importance.resample(docs, labels(spark, known), share=0.6).collect()
+    draws = docs.select(
+        "doc_id", "text", F.xxhash64("text").alias("tie"), F.xxhash64(F.xxhash64("text")).alias("order"),
+        F.xxhash64(F.lit(importance.SEED + 1), "doc_id", F.xxhash64("text")).alias("draw"),
+    ).collect()
+    good = {i for i, quality, _ in known if quality}
+    raw, target = np.ones(importance.BUCKETS), np.ones(importance.BUCKETS)
+    for i, text in rows:
+        for bucket in importance.ngram_buckets(text):
+            raw[bucket] += 1
+            target[bucket] += i in good
+    model = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    ranked = []
+    for r in draws:
+        ratio = model[importance.ngram_buckets(r.text)].sum()
+        noise = -math.log(-math.log((r.draw % (1 << 52) + 0.5) / (1 << 52)))
+        ranked.append((-(ratio + noise), r.order, r.doc_id, r.text, ratio))
+    ranked.sort(key=lambda x: x[:2])
+    kept = {(x[2], x[3]) for x in ranked[: math.ceil(0.6 * len(rows))]}
+    assert {(r.row.doc_id, r.row.text) for r in got if r.kept} == kept
+    ratios = {(x[2], x[3]): x[4] for x in ranked}
+    assert all(abs(r.log_ratio - ratios[r.row.doc_id, r.row.text]) < 0.05 for r in got)

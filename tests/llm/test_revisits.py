@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from cases import EXTRA, documents
 from lapidary.llm import revisits
 
 SCHEMA = "capture_id long, url string, seconds long, kind string, digest string, headers map<string,string>, key string, slice long, found string"
@@ -58,3 +59,20 @@ def test_empty_table(spark):
 def test_header_text(spark):
     row = spark.range(1).select(revisits.header_text(F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit("1: x"))).alias("t")).first()
     assert row.t == "a: 1: x\nb: 2"
+
+
+def test_rows_of_all_cases(spark):
+    """Extra columns named like the operator's own, very long urls, empty and null fields, repeated rows."""
+    rows = documents(spark).select(
+        F.monotonically_increasing_id().alias("capture_id"),
+        F.when(F.col("doc_id") == 6, F.concat(F.lit("http://x.net/"), F.repeat(F.lit("a"), 100_000))).otherwise(F.col("text")).alias("url"),
+        F.col("doc_id").alias("seconds"),
+        F.lit("revisit").alias("kind"),
+        F.lit("d").alias("digest"),
+        F.create_map().cast("map<string,string>").alias("headers"),
+        *[name for name in EXTRA if name != "digest"],
+    )
+    first = rows.filter("seconds = 6").withColumns({"capture_id": F.lit(-1).cast("long"), "seconds": F.lit(1).cast("long"), "kind": F.lit("response")})
+    found = revisits.resolve(rows.unionByName(first)).collect()
+    assert len(found) == rows.count()
+    assert [(r.status, r.response_id) for r in found if r.status != "no_response"] == [("unchecked", -1)]

@@ -4,6 +4,9 @@ import re
 
 import pytest
 
+from cases import documents, empty
+from pyspark.sql import functions as F
+
 from lapidary.llm import url_filter
 
 URLS = [
@@ -56,3 +59,13 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "http://x.net/")], "page_id long, url string")
     assert url_filter.judge(none, some).count() == 0
     assert [r.verdict for r in url_filter.judge(some, none).collect()] == ["allow"]
+
+
+def test_rows_of_all_cases(spark):
+    """Null, empty and very long urls, repeated rows, and extra columns named like the operator's own."""
+    rows = documents(spark).withColumn("url", F.when(F.col("doc_id") == 6, F.concat(F.lit("http://x.net/"), F.repeat(F.lit("a"), 100_000))).otherwise(F.col("text")))
+    found = url_filter.judge(rows, rows.filter("doc_id = 6")).collect()
+    assert len(found) == rows.count() and set(found[0].row.asDict()) == set(rows.columns)
+    assert {r.row.doc_id: r.verdict for r in found if r.listed} == {6: "block"}
+    assert all((r.host, r.path, r.rule) == ("", "", None) for r in found if "://" not in (r.row.url or ""))
+    assert url_filter.judge(empty(spark).withColumn("url", F.col("text")), rows).count() == 0

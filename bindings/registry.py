@@ -99,6 +99,12 @@ def collection_coverage(spark, sf_dir):
     return rows.withColumn("uncovered", F.array_join("uncovered", ","))
 
 
+@query
+def collection_texts(spark, sf_dir):
+    gold = _gold(spark, sf_dir).select("thinker_qid", "is_daily_eligible", "quote_text")
+    return reports.collection_texts(gold, _dim(spark, sf_dir), given.members(spark, sf_dir))
+
+
 @query
 def collection_audit(spark, sf_dir):
     gold = reused(reports.audit_rows(_gold(spark, sf_dir)))

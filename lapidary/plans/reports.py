@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapidary import fixed
 from lapidary.functions import text
+from lapidary.operators.picks import SLICE_DIGITS, slice_bounds
+from lapidary.session import reused
 
 
 def audit_metrics(gold: DataFrame) -> DataFrame:
@@ -140,3 +142,47 @@ def collection_audit(
         "fully_covered",
         F.col("no_gaps") & (F.col("fewest_per_thinker") == n) & (F.col("most_per_thinker") == n),
     ).drop("no_gaps")
+
+
+def numbered_texts(texts: DataFrame, digits: int = SLICE_DIGITS) -> DataFrame:
+    """(owner, number) beside ``texts`` (thinker_name, text_key, without repeats): a dense number of each text.
+
+    A text belongs to the first of its thinkers by name, and the texts of an owner are numbered from 0, so the numbers
+    of a thinker's texts lie close together. Numbers are counted per slice of the key and over the slices of an
+    owner: no task numbers more than one slice.
+    """
+    owners = texts.groupBy("text_key").agg(F.min("thinker_name").alias("owner"))
+    sliced = reused(owners.withColumn("slice", F.substring("text_key", 1, digits)))
+    counts = sliced.groupBy("owner", "slice").agg(F.count(F.lit(1)).alias("rows"))
+    before = slice_bounds(counts, ["owner"]).select("owner", "slice", "before")
+    in_slice = Window.partitionBy("owner", "slice").orderBy("text_key")
+    numbers = sliced.withColumn("place", F.row_number().over(in_slice)).join(before, ["owner", "slice"])
+    number = (F.col("before") + F.col("place") - 1).alias("number")
+    return texts.join(numbers.select("text_key", "owner", number), "text_key")
+
+
+def collection_texts(gold: DataFrame, thinkers: DataFrame, members: DataFrame) -> DataFrame:
+    """Eligible quotes and distinct texts of each collection; a text that two members share counts once.
+
+    Each thinker's texts become bitmaps of their numbers, one for each owner and 32,768 numbers, and a collection's are
+    the union of its members': quotes are never joined with members, however many collections share a thinker.
+    """
+    named = gold.filter("is_daily_eligible").join(thinkers.select("thinker_qid", F.col("thinker_name").alias("_name")), "thinker_qid")
+    eligible = reused(named.select(F.col("_name").alias("thinker_name"), text_key().alias("text_key")))
+    quotes = eligible.groupBy("thinker_name").agg(F.count(F.lit(1)).alias("quotes"))
+    numbered = numbered_texts(eligible.filter("thinker_name is not null").distinct())
+    # Bit positions of the number itself, which starts at 0; the functions count from 1.
+    number = F.col("number") + 1
+    chunk, bit = F.bitmap_bucket_number(number).alias("chunk"), F.bitmap_bit_position(number).alias("bit")
+    bits = numbered.select("thinker_name", "owner", chunk, bit)
+    bitmaps = bits.groupBy("thinker_name", "owner", "chunk").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
+    unions = (
+        members.select("slug", "thinker_name")
+        .join(bitmaps, "thinker_name")
+        .groupBy("slug", "owner", "chunk")
+        .agg(F.bitmap_count(F.bitmap_or_agg("bitmap")).alias("texts"))
+        .groupBy("slug")
+        .agg(F.sum("texts").alias("texts"))
+    )
+    sums = members.join(quotes, "thinker_name", "left").groupBy("slug").agg(F.coalesce(F.sum("quotes"), F.lit(0)).alias("eligible_quotes"))
+    return sums.join(unions, "slug", "left").select("slug", "eligible_quotes", F.coalesce("texts", F.lit(0)).alias("distinct_texts"))

@@ -493,3 +493,26 @@ def test_partial_names_without_terms(spark):
     names = spark.createDataFrame([("Q1", "Ana", "Ana"), ("Q2", None, None)], "thinker_qid string, thinker_name string, wikiquote_title string")
     assert search.search_names_partial(queries, names).count() == 0
     assert search.search_names_partial(queries, names.limit(0)).count() == 0
+
+
+def test_texts_shared_by_members_count_once(spark):
+    generator = random.Random(21)
+    rows = [(f"Q{generator.randrange(6)}", generator.random() < 0.8, f"Text {generator.randrange(90)} " + "ab"[i % 2].upper()) for i in range(900)]
+    gold_rows = spark.createDataFrame(rows + [("Q9", True, "nobody's")], "thinker_qid string, is_daily_eligible boolean, quote_text string")
+    thinkers = spark.createDataFrame([(f"Q{i}", f"N{i}") for i in range(6)], "thinker_qid string, thinker_name string")
+    slugs = {"a": [0, 1, 2], "b": [2, 3], "c": [7], "d": [5]}
+    members = spark.createDataFrame([(s, f"N{i}") for s, ids_ in slugs.items() for i in ids_], "slug string, thinker_name string")
+    wanted = set()
+    for slug, numbers in slugs.items():
+        mine = [t.lower() for q, e, t in rows if e and int(q[1:]) in numbers]
+        wanted.add((slug, len(mine), len(set(mine))))
+    assert {r[:] for r in reports.collection_texts(gold_rows, thinkers, members).collect()} == wanted
+
+
+def test_numbers_of_texts_are_dense(spark):
+    texts = spark.range(500).select(F.concat(F.lit("N"), F.col("id") % 3).alias("thinker_name"), F.sha2((F.col("id") % 400).cast("string"), 256).alias("text_key"))
+    numbers = {}
+    for r in reports.numbered_texts(texts.distinct(), digits=1).collect():
+        numbers.setdefault(r.owner, {})[r.text_key] = r.number
+    assert sum(map(len, numbers.values())) == 400
+    assert all(sorted(n.values()) == list(range(len(n))) for n in numbers.values())

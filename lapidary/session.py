@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
+from functools import lru_cache
 
+from py4j.protocol import Py4JError
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,12 +18,29 @@ def shared_folder(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None)
 
 
+def _remove(jvm, folder: str) -> None:
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+    except (Py4JError, OSError):  # the JVM has ended first; what is left is named by its application
+        return
+
+
+@lru_cache
+def run_folder(base: str, application: str) -> str:
+    """A folder of one application, removed when its driver's Python ends: its tables are read no more then."""
+    folder = f"{base.rstrip('/')}/run-{application}"
+    atexit.register(_remove, SparkSession.active()._jvm, folder)
+    return folder
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own in the shared one; on one machine without a shared folder, in the warehouse."""
     folder = shared_folder(spark)
     if not folder and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    return f"{(folder or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+    return f"{run_folder(base, spark.sparkContext.applicationId)}/{name}-{uuid.uuid4().hex}"
 
 
 def reused(df: DataFrame) -> DataFrame:
@@ -30,10 +50,9 @@ def reused(df: DataFrame) -> DataFrame:
     behind them; the schema is read from the files, so missing files are an error. Else the executors keep the rows and
     what a lost one held is computed again. No folder is chosen here. Callers keep narrow rows only.
     """
-    folder = shared_folder(df.sparkSession)
-    if not folder:
+    if not shared_folder(df.sparkSession):
         return df.persist(StorageLevel.MEMORY_AND_DISK)
-    path = f"{folder.rstrip('/')}/reused-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "reused")
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 

@@ -107,7 +107,8 @@ def _kind(category: Column) -> Column:
 def _children(
     cells: DataFrame, points: DataFrame, members: DataFrame, depth: int
 ) -> DataFrame:
-    """Rows that fit each limit of ``points`` (scope, kind, node, max_length) in each child of its node.
+    """Rows that fit each limit of ``points`` (scope, kind, node, max_length) in each child of its node, in the children
+    before it (``before``) and in all (``in_node``).
 
     ``cells``: thinker_name, category, character_count, occurrence_id; one column of digits, ``depth`` of which name a
     child. Limits meet the lengths in one running count over both, so a child's window has a row for each distinct
@@ -124,7 +125,6 @@ def _children(
     nodes = points.select("scope", "kind", "node").distinct()
     place = ["scope", "kind", "node", "child"]
     held = spread.join(nodes, ["scope", "kind", "node"], "left_semi").groupBy(*place, "length").agg(F.sum("rows").alias("rows"))
-    held = reused(held)
     asked = held.select(*place).distinct().join(points, ["scope", "kind", "node"])
     both = held.withColumn("asked", F.lit(False)).unionByName(
         asked.select(*place, F.col("max_length").alias("length"), F.lit(0).cast("long").alias("rows"), F.lit(True).alias("asked"))
@@ -133,9 +133,10 @@ def _children(
     running = Window.partitionBy(*place).orderBy("length", "asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fitting = both.withColumn("rows", F.sum("rows").over(running)).filter("asked").withColumnRenamed("length", "max_length")
     # At most as many rows as a node has children.
-    in_order = Window.partitionBy("scope", "kind", "node", "max_length").orderBy("child")
-    before = F.sum("rows").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("rows")
-    return fitting.withColumn("before", before).filter("rows > 0").drop("asked")
+    node_rows = Window.partitionBy("scope", "kind", "node", "max_length")
+    in_order = node_rows.orderBy("child").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.sum("rows").over(in_order) - F.col("rows")
+    return fitting.withColumns({"before": before, "in_node": F.sum("rows").over(node_rows)}).filter("rows > 0").drop("asked")
 
 
 def pick_by_seed(quotes: DataFrame, requests: DataFrame, members: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
@@ -153,29 +154,24 @@ def pick_by_seed(quotes: DataFrame, requests: DataFrame, members: DataFrame, lea
     """
     eligible = quotes.filter(F.col("occurrence_id").isNotNull())
     cells = reused(eligible.select("thinker_name", "category", "character_count", "occurrence_id"))
-    wanted = reused(
-        requests.select(
-            "request_id",
-            "scope",
-            F.coalesce(_kind(F.col("category")), F.lit("")).alias("kind"),
-            F.coalesce(F.col("max_length").cast("long"), F.lit(_NO_LIMIT)).alias("max_length"),
-            "seed",
-            F.lit("").alias("node"),
-        )
+    standing = requests.select(
+        "request_id",
+        "scope",
+        F.coalesce(_kind(F.col("category")), F.lit("")).alias("kind"),
+        F.coalesce(F.col("max_length").cast("long"), F.lit(_NO_LIMIT)).alias("max_length"),
+        F.lit("").alias("node"),
+        "seed",
     )
-    named = members.join(wanted.select("scope").distinct(), "scope", "left_semi")
+    named = members.join(requests.select("scope").distinct(), "scope", "left_semi")
     total, levels = cells.count(), 1
     while total > leaf_rows * 16 ** (LEVEL_DIGITS * levels):
         levels += 1
-    standing = wanted
     for level in range(1, levels + 1):
         points = standing.select(*_FILTER, "node").distinct()
-        children = reused(_children(cells, points, named, LEVEL_DIGITS * level))
+        met = standing.join(_children(cells, points, named, LEVEL_DIGITS * level), [*_FILTER, "node"])
         if level == 1:
-            totals = children.groupBy(*_FILTER).agg(F.sum("rows").alias("matches"))
-            standing = standing.join(totals, _FILTER).withColumn("position", ids.seeded_index(F.col("seed"), F.col("matches")))
-        inside = (F.col("position") >= F.col("before")) & (F.col("position") < F.col("before") + F.col("rows"))
-        down = standing.join(children, [*_FILTER, "node"]).filter(inside)
+            met = met.withColumn("matches", F.col("in_node")).withColumn("position", ids.seeded_index(F.col("seed"), F.col("matches")))
+        down = met.filter((F.col("position") >= F.col("before")) & (F.col("position") < F.col("before") + F.col("rows")))
         standing = reused(
             down.select("request_id", *_FILTER, F.col("child").alias("node"), "matches", (F.col("position") - F.col("before")).alias("position"))
         )

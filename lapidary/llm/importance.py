@@ -32,6 +32,8 @@ from lapidary.llm.wordhash import MIX, window_hashes, word_hashes, word_starts
 BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
 SAMPLE = 20_000
+#: Rows whose texts a task holds as Python strings at a time.
+PART = 256
 SEED = 7
 #: Values are kept as whole numbers of 2**-20, moved up to be positive; log ratios beyond 2**31 cannot occur.
 UNIT, SHIFT, LEVELS = 1 << 20, 1 << 52, (39, 26, 13, 0)
@@ -44,9 +46,16 @@ def ngram_buckets(text: str | None) -> np.ndarray:
     return (np.concatenate([hashes * MIX[1], window_hashes(hashes, 2) * MIX[1]]) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
+def _parts(batches):
+    """Batches cut to ``PART`` rows, so that few texts are held twice."""
+    for batch in batches:
+        for first in range(0, batch.num_rows, PART):
+            yield batch.slice(first, PART)
+
+
 def _counts(batches):
     target, raw = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for batch in batches:
+    for batch in _parts(batches):
         for text, good in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist()):
             buckets = ngram_buckets(text)
             for sums in (raw, target) if good else (raw,):
@@ -84,7 +93,7 @@ def scored(docs: DataFrame, ratios: list[float], seed: int = SEED, keep: list[st
     model = np.array(ratios)
 
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             sums = [float(model[ngram_buckets(t)].sum()) for t in batch.column("text").to_pylist()]
             columns = [*(batch.column(c) for c in ("row", "doc_id", "tie")), pa.array(sums, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "tie", "log_ratio"])

@@ -85,6 +85,7 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.type = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
+        self.remembered = REMEMBERED
         self.end = np.array([END_ID], self.type).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -92,7 +93,7 @@ class Encoder:
         whole = {t for t in texts if t and any(x in t for x in self.added)}
         cut = [pieces_of(t) if t and t not in whole else [] for t in texts]
         new = list(set(chain.from_iterable(cut)).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) + len(new) > self.remembered:
             self.known = {}
             new = list(set(chain.from_iterable(cut)))
         self.known.update(zip(new, self._coded([_text_of(x) for x in new])))
@@ -151,9 +152,10 @@ def _coded(batch: pa.RecordBatch, encoder: Encoder, step: int = 500):
         yield from zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist()))
 
 
-def _blocks(tokenizer: str, dictionary: bytes, digest: str, id_type: pa.DataType):
+def _blocks(tokenizer: str, dictionary: bytes, digest: str, id_type: pa.DataType, remembered: int):
     def run(batches):
         encoder, shard = _encoder(tokenizer), TaskContext.get().partitionId()
+        encoder.remembered = remembered
         shared = zstandard.ZstdCompressionDict(dictionary)
         shared.precompute_compress(level=LEVEL)  # else it is digested anew for each document
         press = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared)
@@ -187,8 +189,12 @@ def _blocks(tokenizer: str, dictionary: bytes, digest: str, id_type: pa.DataType
     return run
 
 
-def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER) -> None:
-    """Write the store of ``docs`` (``doc_id, text``) into the folder ``path``."""
+def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, remembered: int = REMEMBERED) -> None:
+    """Write the store of ``docs`` (``doc_id, text``) into the folder ``path``.
+
+    A worker keeps the ids of up to ``remembered`` pieces, after its last task too: fewer take less memory from stages
+    that follow in the same workers, and more time.
+    """
     spark = docs.sparkSession
     dictionary = train_dictionary(docs, tokenizer)
     digest = hashlib.sha256(dictionary).hexdigest()
@@ -199,7 +205,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER) -> None:
     id_field = docs.schema["doc_id"].dataType
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_field.simpleString()]
     made = dealt.select("doc_id", "text").mapInArrow(
-        _blocks(tokenizer, dictionary, digest, arrow), _BLOCKS.format(id=id_field.simpleString())
+        _blocks(tokenizer, dictionary, digest, arrow, remembered), _BLOCKS.format(id=id_field.simpleString())
     )
     made.write.parquet(f"{path}/blocks")
     blocks = spark.read.parquet(f"{path}/blocks")

@@ -17,6 +17,8 @@ from lapidary.llm.common import new_path, written
 
 #: Each document can be taken once; the budget is this share of the tokens that reach the mixing.
 EPOCHS, SHARE = 1, 0.8
+#: Pieces of text that a worker of the last stage remembers: other stages run in the same workers.
+REMEMBERED = 300_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of the documents as read back from the token store."""
     path = new_path(spark, "tokens")
-    token_store.write(docs, path)
+    token_store.write(docs, path, remembered=REMEMBERED)
     return token_store.read_summary(spark, path)
 
 

@@ -173,7 +173,8 @@ def pick_by_seed(quotes: DataFrame, requests: DataFrame, members: DataFrame, lea
             met = met.withColumn("matches", F.col("in_node")).withColumn("position", ids.seeded_index(F.col("seed"), F.col("matches")))
         down = met.filter((F.col("position") >= F.col("before")) & (F.col("position") < F.col("before") + F.col("rows")))
         standing = reused(
-            down.select("request_id", *_FILTER, F.col("child").alias("node"), "matches", (F.col("position") - F.col("before")).alias("position"))
+            down.select("request_id", *_FILTER, F.col("child").alias("node"), "matches", (F.col("position") - F.col("before")).alias("position")),
+            plain=True,
         )
     points = standing.select(*_FILTER, "node").distinct()
     leaves = cells.withColumn("node", F.substring("occurrence_id", 1, LEVEL_DIGITS * levels)).join(named, "thinker_name")

@@ -103,7 +103,7 @@ def daily_selection(
     seeded = checked.withColumn("seed", ids.seed(key)).withColumn(
         "scope", _scope(F.col("thinker"), F.col("collection"))
     )
-    seeded = reused(seeded)
+    seeded = reused(seeded, plain=True)
     answers = _answer(seeded, _pick(eligible, seeded.filter("problem is null"), _scopes(members)))
     titles = members.groupBy(F.col("slug").alias("collection")).agg(F.min("title").alias("collection_title"))
     return answers.join(titles, "collection", "left").withColumns({
@@ -158,7 +158,7 @@ def two_stage_selection(
     else:
         draw = secrets.randbits(63) if random_seed is None else random_seed
         key = ids.selection_key(F.lit(str(draw)), F.col("request_id").cast("string"))
-    checked = reused(checked.withColumn("_key", key))
+    checked = reused(checked.withColumn("_key", key), plain=True)
     candidates = _scopes(members).unionByName(
         checked.filter("thinker is not null")
         .select(_by_thinker(F.col("thinker")).alias("scope"), F.col("thinker").alias("thinker_name"))
@@ -183,7 +183,7 @@ def two_stage_selection(
         ids.seed(F.col("_key")).alias("seed"),
     )
     picked = pick_by_seed(reused(shortest), for_names, candidates.distinct())
-    first = reused(picked.select("request_id", F.col("thinker_name").alias("_first")))
+    first = reused(picked.select("request_id", F.col("thinker_name").alias("_first")), plain=True)
     second = (
         open_requests.join(first, "request_id")
         .withColumn("scope", _by_thinker(F.col("_first")))

@@ -43,17 +43,20 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{run_folder(base, spark.sparkContext.applicationId)}/{name}-{uuid.uuid4().hex}"
 
 
-def reused(df: DataFrame) -> DataFrame:
+def reused(df: DataFrame, plain: bool = False) -> DataFrame:
     """Rows that a plan reads more than once.
 
     Where the cluster names a shared folder (``spark.checkpoint.dir``) they are written to it, which also ends the plan
     behind them; the schema is read from the files, so missing files are an error. Else the executors keep the rows and
     what a lost one held is computed again. No folder is chosen here. Callers keep narrow rows only.
+    Joins take the size of files for the size of rows. Rows that compress to a small part, such as millions of requests
+    with few distinct filters, would thus be broadcast through the driver; ``plain`` writes them as they are.
     """
     if not shared_folder(df.sparkSession):
         return df.persist(StorageLevel.MEMORY_AND_DISK)
     path = new_folder(df.sparkSession, "reused")
-    df.write.option("compression", "zstd").parquet(path)
+    options = {"compression": "none", "parquet.enable.dictionary": "false"} if plain else {"compression": "zstd"}
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -9,6 +9,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from lapidary import session
 from lapidary.functions import ids
 from lapidary.operators import picks
 from lapidary.operators import violations as v
@@ -516,3 +517,26 @@ def test_numbers_of_texts_are_dense(spark):
         numbers.setdefault(r.owner, {})[r.text_key] = r.number
     assert sum(map(len, numbers.values())) == 400
     assert all(sorted(n.values()) == list(range(len(n))) for n in numbers.values())
+
+
+def test_tables_of_requests_are_not_taken_for_small(spark, monkeypatch):
+    """Requests compress to a small part of their size; a join must not take them for a table to broadcast."""
+    written = []
+
+    def kept(df, **options):
+        written.append(session.reused(df, **options))
+        return written[-1]
+
+    monkeypatch.setattr(selection, "reused", kept)
+    monkeypatch.setattr(picks, "reused", kept)
+    n = 40000
+    requests = spark.range(n).selectExpr(
+        "id as request_id", "'2026-01-01' as on_date", "'N1' as thinker", "cast(null as string) as collection",
+        "cast(null as string) as category", "cast(null as long) as max_length",
+    )
+    rows = [tuple(sha(str(i)) if c == "occurrence_id" else "N1" if c == "thinker_name" else "x" for c in selection._SHOWN) for i in range(40)]
+    quotes = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in selection._SHOWN)).withColumn("character_count", F.lit(5).cast("long"))
+    members = spark.createDataFrame([("c", "C", "N1")], "slug string, title string, thinker_name string")
+    assert selection.two_stage_selection(requests, quotes, members).filter("status = 'ok'").count() == n
+    sizes = [int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) for df in written if df.count() == n]
+    assert len(sizes) == 4 and min(sizes) > 8 * n

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapidary.functions.tokens import token_list
 from lapidary.operators.latest import first_per_key
-from lapidary.session import reused
+from lapidary.session import dealt_by_rows, reused
 
 #: Identities of a posting block, about.
 BLOCK = 256
@@ -149,6 +149,11 @@ def search_figures(queries: DataFrame, names: DataFrame, limit: int = 5) -> Data
     )
 
 
+def _form(tokens: Column) -> Column:
+    """Tokens of a name in one order, as text; tokens hold no blanks."""
+    return F.array_join(F.array_sort(tokens), " ")
+
+
 def search_names(queries: DataFrame, names: DataFrame, limit: int = 5) -> DataFrame:
     """First ``limit`` names with all tokens of each query, by title and identity.
 
@@ -224,24 +229,39 @@ def matching_terms(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def search_names_partial(queries: DataFrame, names: DataFrame, limit: int = 5) -> DataFrame:
     """First ``limit`` names for which each token of a query stands for some term, by penalty, title and identity.
 
-    The best term counts for each token. Names are found by the token that stands for the fewest; the other tokens are
-    only compared with the terms of these names. Returns the hits with ``hit_rank`` and ``penalty``.
+    The best term counts for each token. Names with equal tokens have equal penalties, so queries meet the distinct forms,
+    and each form shows its first ``limit`` names. Forms are found by the token that stands for the fewest; the other tokens
+    are only compared with the terms of these forms, which a candidate carries along. Returns the hits with ``hit_rank`` and
+    ``penalty``.
     """
-    terms = reused(names.select("thinker_qid", F.explode(token_list(F.col("thinker_name"))).alias("term")))
+    order = [F.asc_nulls_last("wikiquote_title"), F.asc("thinker_qid")]
+    dealt = dealt_by_rows(names.filter("thinker_qid is not null"), "thinker_qid")
+    # All tokens of an identity, however many names it has.
+    held = dealt.select("thinker_qid", F.explode(token_list(F.col("thinker_name"))).alias("term")).groupBy("thinker_qid")
+    formed = dealt.join(held.agg(_form(F.collect_set("term")).alias("form")), "thinker_qid")
+    shown = reused(
+        first_per_key(formed.select("form", "thinker_qid", "thinker_name", "wikiquote_title"), ["form"], order, n=limit)
+    )
+    forms = shown.select("form").distinct()
+    terms = reused(forms.select("form", F.explode(F.split("form", " ")).alias("term")))
     asked = reused(query_terms(queries))
-    known = terms.groupBy("term").agg(F.count(F.lit(1)).alias("names"))
+    known = terms.groupBy("term").agg(F.count(F.lit(1)).alias("forms"))
     matches = reused(matching_terms(asked.select("token").distinct(), known.select("term")))
-    sizes = matches.join(known, "term").groupBy("token").agg(F.sum("names").alias("names"))
-    order = Window.partitionBy("query_id").orderBy(F.asc_nulls_first("names"), "token")
-    ranked = asked.join(sizes, "token", "left").withColumn("place", F.row_number().over(order))
-    rarest = ranked.filter("place = 1 and names is not null").select("query_id", "token")
-    candidates = rarest.join(matches.select("token", "term"), "token").join(terms, "term").select("query_id", "thinker_qid").distinct()
-    wanted = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"))
-    pairs = candidates.join(terms, "thinker_qid").join(asked, "query_id").join(matches, ["token", "term"])
-    best = pairs.groupBy("query_id", "thinker_qid", "token").agg(F.min("penalty").alias("penalty"))
-    hits = best.groupBy("query_id", "thinker_qid").agg(F.count(F.lit(1)).alias("held"), F.sum("penalty").alias("penalty"))
-    whole = hits.join(wanted, "query_id").filter("held = wanted").join(names, "thinker_qid")
-    rank = Window.partitionBy("query_id").orderBy("penalty", F.asc_nulls_last("wikiquote_title"), "thinker_qid")
+    sizes = matches.join(known, "term").groupBy("token").agg(F.sum("forms").alias("forms"))
+    place = Window.partitionBy("query_id").orderBy(F.asc_nulls_first("forms"), "token")
+    ranked = asked.join(sizes, "token", "left").withColumn("place", F.row_number().over(place))
+    wanted = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"), F.collect_set("token").alias("tokens"))
+    rarest = ranked.filter("place = 1 and forms is not null").select("query_id", "token").join(wanted, "query_id")
+    candidates = rarest.join(matches.select("token", "term"), "token").join(terms, "term").select("query_id", "wanted", "tokens", "form").distinct()
+    pairs = (
+        candidates.select("query_id", "wanted", "form", F.explode("tokens").alias("token"))
+        .select("*", F.explode(F.split("form", " ")).alias("term"))
+        .join(matches, ["token", "term"])
+    )
+    best = pairs.groupBy("query_id", "wanted", "form", "token").agg(F.min("penalty").alias("penalty"))
+    hits = best.groupBy("query_id", "wanted", "form").agg(F.count(F.lit(1)).alias("held"), F.sum("penalty").alias("penalty"))
+    whole = hits.filter("held = wanted").join(shown, "form")
+    rank = Window.partitionBy("query_id").orderBy("penalty", *order)
     return (
         whole.withColumn("hit_rank", F.row_number().over(rank))
         .filter(F.col("hit_rank") <= limit)

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Session setting: number of partitions over which rows of small inputs are dealt; unset leaves the scan's own.
 INPUT_PARTITIONS = "spark.lapidary.input.partitions"
+#: Rows that one task sorts where they are dealt by number.
+ROWS_A_TASK = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str | None:
@@ -68,3 +70,8 @@ def spread(df: DataFrame, key: str, partitions: int | None) -> DataFrame:
 def input_partitions(df: DataFrame) -> int | None:
     wanted = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
     return int(wanted) if wanted else None
+
+
+def dealt_by_rows(df: DataFrame, key: str, rows: int = ROWS_A_TASK) -> DataFrame:
+    """Deal rows by a key over as many partitions as give each about ``rows``, however few files hold them."""
+    return df.repartition(max(1, -(-df.count() // rows)), key)

@@ -60,21 +60,23 @@ def token_frequencies(index: DataFrame) -> DataFrame:
 
 
 def search_texts(
-    queries: DataFrame, rows: DataFrame, identity: str, column: str, index: DataFrame | None = None
+    queries: DataFrame, rows: DataFrame, identity: str, column: str, index: DataFrame | None = None, tokens: Column | None = None
 ) -> DataFrame:
     """Texts that hold all tokens of a query, for every query (query_id, query_text).
 
     Each query looks up its rarest token only; its candidates are then checked
     against the text's token list. Tokens that most texts share are therefore
     never joined unless a query has nothing rarer. With a stored ``index`` only
-    the candidates are taken apart; without one the texts are, twice.
+    the candidates are taken apart; without one the texts are, twice. ``tokens``:
+    how to take a text apart, ``token_list`` by default.
     """
+    tokens = token_list(F.col(column)) if tokens is None else tokens
     wanted = queries.select("query_id", token_list(F.col("query_text")).alias("query_tokens")).filter(
         F.size("query_tokens") > 0
     )
     terms = wanted.select("query_id", F.explode("query_tokens").alias("token"))
     if index is None:
-        index = token_index(rows, identity, column)
+        index = rows.select(F.explode(tokens).alias("token"), identity)
     used = index.join(terms.select("token").distinct(), "token", "left_semi")
     rarest = (
         terms.join(token_frequencies(used), "token")
@@ -85,7 +87,7 @@ def search_texts(
     return (
         candidates.join(rows.select(identity, column), identity)
         .join(wanted, "query_id")
-        .filter(F.size(F.array_except("query_tokens", token_list(F.col(column)))) == 0)
+        .filter(F.size(F.array_except("query_tokens", tokens)) == 0)
         .select("query_id", identity)
     )
 
@@ -159,11 +161,21 @@ def search_names(queries: DataFrame, names: DataFrame, limit: int = 5) -> DataFr
 
     ``names``: thinker_qid, thinker_name, wikiquote_title. Returns the hits with
     their ``hit_rank`` and ``has_more``, true when the page is full.
+    Names with equal tokens answer the same queries, so queries meet the distinct
+    forms, and each form shows its first ``limit`` names. Repeated identities, which
+    count by their rows, are searched one by one.
     """
-    hits = search_texts(queries, names, "thinker_qid", "thinker_name").join(names, "thinker_qid")
-    kept = first_per_key(
-        hits, ["query_id"], [F.asc_nulls_last("wikiquote_title"), F.asc("thinker_qid")], n=limit
-    )
+    order = [F.asc_nulls_last("wikiquote_title"), F.asc("thinker_qid")]
+    known = names.filter("thinker_qid is not null").select("thinker_qid", "thinker_name", "wikiquote_title")
+    copies = F.count(F.lit(1)).over(Window.partitionBy("thinker_qid"))
+    counted = dealt_by_rows(known, "thinker_qid").withColumn("copies", copies)
+    formed = counted.filter("copies = 1").withColumn("form", _form(token_list(F.col("thinker_name")))).filter("form <> ''")
+    shown = reused(first_per_key(formed.drop("copies"), ["form"], order, n=limit))
+    repeated = reused(counted.filter("copies > 1").drop("copies"))
+    forms = shown.select("form").distinct()
+    hits = search_texts(queries, forms, "form", "form", tokens=F.split("form", " ")).join(shown, "form").drop("form")
+    hits = hits.unionByName(search_texts(queries, repeated, "thinker_qid", "thinker_name").join(repeated, "thinker_qid").select(hits.columns))
+    kept = first_per_key(hits, ["query_id"], order, n=limit)
     # At most ``limit`` rows of a query are left here.
     paged = kept.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("wikiquote_title", "thinker_qid", "thinker_name"))).alias("hits")

@@ -540,3 +540,32 @@ def test_tables_of_requests_are_not_taken_for_small(spark, monkeypatch):
     assert selection.two_stage_selection(requests, quotes, members).filter("status = 'ok'").count() == n
     sizes = [int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) for df in written if df.count() == n]
     assert len(sizes) == 4 and min(sizes) > 8 * n
+
+
+def test_names_with_equal_tokens_are_searched_once(spark, monkeypatch):
+    """Queries meet distinct forms of names, and no task takes all rows of a file; repeated identities count by rows."""
+    rows = [(f"Q{i:04}", ["Ana Sá", "sa  ANA", "Ana Rui"][i % 3], f"T{i % 50:02}") for i in range(3000)] + [("Q0001", "sa  ANA", "T01")] * 2
+    schema = "thinker_qid string, thinker_name string, wikiquote_title string"
+    names = spark.createDataFrame(rows, schema).coalesce(1)
+    queries = spark.createDataFrame([(t, t) for t in ("ana", "sa ana", "rui", "an", "x")], "query_id string, query_text string")
+    written, dealt = [], []
+
+    def kept(df, **options):
+        written.append(session.reused(df, **options))
+        return written[-1]
+
+    def spread(df, key):
+        dealt.append(session.dealt_by_rows(df, key, 500))
+        return dealt[-1]
+
+    monkeypatch.setattr(search, "reused", kept)
+    monkeypatch.setattr(search, "dealt_by_rows", spread)
+    exact = {(r.query_id, r.hit_rank): r.thinker_qid for r in search.search_names(queries, names).collect()}
+    first = sorted((t, q) for q, _, t in dict.fromkeys(rows))
+    plain = [q for t, q in first if q != "Q0001"]
+    assert [exact["ana", k] for k in range(1, 6)] == plain[:5] and exact["rui", 1] == next(q for q in plain if int(q[1:]) % 3 == 2)
+    assert max(df.count() for df in written) <= 10 and not any(q == "x" for q, _ in exact)
+    assert [df.rdd.getNumPartitions() for df in dealt] == [7] and max(dealt[0].groupBy(F.spark_partition_id()).count().toDF("p", "n").toPandas()["n"]) < 1000
+    partial = {(r.query_id, r.hit_rank): (r.thinker_qid, r.penalty) for r in search.search_names_partial(queries, names).collect()}
+    assert [partial["an", k] for k in range(1, 6)] == [(q, 1) for t, q in first][:5]
+    assert max(df.count() for df in written) <= 20

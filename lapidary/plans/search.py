@@ -187,9 +187,11 @@ def search_names(queries: DataFrame, names: DataFrame, limit: int = 5) -> DataFr
 
 def resolve_names(queries: DataFrame, names: DataFrame, entities: DataFrame) -> DataFrame:
     """Best title and entity of each vague name; ``entities``: thinker_qid, entity_qid (nullable)."""
-    best = search_names(queries, names, limit=1).select("query_id", "wikiquote_title", "thinker_qid")
+    best = reused(search_names(queries, names, limit=1).select("query_id", "wikiquote_title", "thinker_qid"), plain=True)
     found = queries.select("query_id", "query_text").join(best, "query_id", "left")
-    known = found.join(entities.select("thinker_qid", "entity_qid"), "thinker_qid", "left")
+    # Only entities that were found are sorted and joined.
+    asked = entities.select("thinker_qid", "entity_qid").join(best.select("thinker_qid").distinct(), "thinker_qid", "left_semi")
+    known = found.join(asked, "thinker_qid", "left")
     status = (
         F.when(F.col("wikiquote_title").isNull(), "not_found")
         .when(F.coalesce("entity_qid", F.lit("")) == "", "no_entity")

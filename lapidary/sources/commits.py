@@ -39,6 +39,13 @@ def numbers(spark: SparkSession, folder: str) -> list[int]:
     return sorted(int(found[1]) for name in names if (found := _NAME.fullmatch(name)))
 
 
+def folders(spark: SparkSession, folder: str, prefix: str) -> list[str]:
+    """Names of the folders in ``folder`` that begin with ``prefix``, without it, in order."""
+    found = _file_system(spark, folder).listStatus(_path(spark, folder))
+    names = [status.getPath().getName() for status in found if status.isDirectory()]
+    return sorted(name.removeprefix(prefix) for name in names if name.startswith(prefix))
+
+
 def newest(spark: SparkSession, folder: str) -> int:
     """Number of the newest commit, 0 before the first."""
     return max(numbers(spark, folder), default=0)

@@ -23,6 +23,16 @@ from lapidary.sources import commits
 NO_KEY = "none"
 
 
+def latest_in_order(rows: DataFrame, key: str, newest_by: str, ties: Sequence[str]) -> DataFrame:
+    """The latest row of each key, by bucket and key.
+
+    A range over bucket and key lets a large bucket span several tasks and files. It also brings the rows of a key
+    together, and the ranking leaves them in the order in which they are written: rows are shuffled and sorted once.
+    """
+    ranged = rows.repartitionByRange("bucket", key)
+    return latest_per_key(ranged, ["bucket", key], newest_by, ties).sortWithinPartitions("bucket", key)
+
+
 def merge_latest(rows: DataFrame, target: str, key: str, newest_by: str, ties: Sequence[str], digits: int = 2) -> list[str]:
     """Merge ``rows`` into the table in ``target``, the latest row of each key staying; returns the buckets written.
 
@@ -31,24 +41,22 @@ def merge_latest(rows: DataFrame, target: str, key: str, newest_by: str, ties: S
     spark, log = rows.sparkSession, f"{target}/commits"
     number = commits.newest(spark, log)
     held = commits.read(spark, log, number)["buckets"] if number else {}
-    bucket = F.coalesce(F.substring(key, 1, digits), F.lit(NO_KEY))
-    fresh = reused(rows.withColumn("bucket", bucket))
-    # Bounded: a name for each bucket.
-    touched = sorted(row.bucket for row in fresh.select("bucket").distinct().collect())
-    before = [held[b] for b in touched if b in held]
-    if before:
-        old = spark.read.schema(rows.schema).parquet(*before)
-        fresh = fresh.unionByName(old.withColumn("bucket", bucket))
+    marked = rows.withColumn("bucket", F.coalesce(F.substring(key, 1, digits), F.lit(NO_KEY)))
     folder = f"{target}/data/{uuid.uuid4().hex}"
-    # A range over bucket and key lets a large bucket span several tasks and files.
-    (
-        latest_per_key(fresh, [key], newest_by, ties)
-        .repartitionByRange("bucket", key)
-        .sortWithinPartitions("bucket", key)
-        .write.partitionBy("bucket")
-        .option("compression", "zstd")
-        .parquet(folder)
-    )
+    if held:
+        fresh = reused(marked)
+        # Bounded: a name for each bucket.
+        touched = sorted(row.bucket for row in fresh.select("bucket").distinct().collect())
+        before = [held[b] for b in touched if b in held]
+        if before:
+            old = spark.read.schema(rows.schema).parquet(*before)
+            fresh = fresh.unionByName(old.withColumn("bucket", F.coalesce(F.substring(key, 1, digits), F.lit(NO_KEY))))
+    else:
+        fresh = marked
+    latest_in_order(fresh, key, newest_by, ties).write.partitionBy("bucket").option("compression", "zstd").parquet(folder)
+    if not held:
+        # The names of the folders written.
+        touched = commits.folders(spark, folder, "bucket=")
     written = {b: f"{folder}/bucket={b}" for b in touched}
     commits.commit(spark, log, number + 1, {"buckets": held | written, "schema": rows.schema.json()})
     return touched

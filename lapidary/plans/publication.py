@@ -12,6 +12,7 @@ from lapidary.functions import ids
 from lapidary.functions.text import strip_whitespace
 from lapidary.operators import violations as v
 from lapidary.plans import checks, search
+from lapidary.session import reused
 from lapidary.sources import access, commits
 
 SERVING_THINKERS, SERVING_QUOTES, METADATA_TEXTS = fixed.SERVING_THINKERS, fixed.SERVING_QUOTES, fixed.METADATA_TEXTS
@@ -88,7 +89,14 @@ def key_constraints(thinkers: DataFrame, quotes: DataFrame) -> DataFrame:
 
 
 def serving_constraints(thinkers: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Violations of the serving tables' keys, references, required columns and value checks."""
+    """Violations of the serving tables' keys, references, required columns and value checks.
+
+    The quotes are read once: what the checks need of a row, its keys, flag and whether the other columns are null, is
+    kept for all of them.
+    """
+    keys = ["occurrence_id", "thinker_qid", "is_daily_eligible"]
+    filled = [F.when(F.col(c).isNotNull(), True).alias(c) for c in REQUIRED if c not in keys]
+    quotes = reused(quotes.select(*keys, *filled))
 
     def counted(label: str, df: DataFrame) -> DataFrame:
         return df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(label).alias("constraint"), "violations")

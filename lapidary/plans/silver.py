@@ -68,7 +68,12 @@ def identify(rows: DataFrame) -> DataFrame:
 
 def normalise_quotes(quotes: DataFrame, supplemental: DataFrame) -> DataFrame:
     """Silver table: identified occurrences, each at its latest snapshot."""
-    return latest_per_key(identify(union_sources(quotes, supplemental)), ["occurrence_id"], "fetched_at", TIES)
+    return latest_quotes(identify(union_sources(quotes, supplemental)))
+
+
+def latest_quotes(identified: DataFrame) -> DataFrame:
+    """Each identified occurrence at its latest snapshot."""
+    return latest_per_key(identified, ["occurrence_id"], "fetched_at", TIES)
 
 
 def merge_quotes(quotes: DataFrame, supplemental: DataFrame, target: str) -> list[str]:

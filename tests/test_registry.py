@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
-from bindings import oracle
+from bindings import oracle, registry
 from bindings.registry import QUERIES
 from tools.compare import TABLES, rows_of
 
@@ -40,3 +40,21 @@ def test_query_equals_twin(spark, db, name):
     columns = [c[0] for c in cursor.description]
     assert sorted(columns) == sorted(df.columns)
     assert rows_of(df.columns, df.collect()) == rows_of(columns, cursor.fetchall())
+
+
+def test_relations_and_identities_are_computed_once(spark, tmp_path, monkeypatch):
+    """Tests read relations that are written, and uniqueness before and after deduplication shares one cleaning of the texts."""
+    documents = [(i, "A line of a document.\nAnother line " + "x" * (i % 3), "en", f"src{i % 4}") for i in range(60)] * 2
+    spark.createDataFrame(documents, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    talks = [(i, 0, "user", "A line that was spoken.") for i in range(20)]
+    spark.createDataFrame(talks, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    labels = [(i, i % 2, i % 3 // 2) for i in range(60)]
+    spark.createDataFrame(labels, "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    tables = registry._relations(spark, str(tmp_path))
+    # A Parquet scan per relation, and nothing else in its plan.
+    plans = [df._jdf.queryExecution().optimizedPlan().toString().strip().splitlines() for df in tables.values()]
+    assert all(len(lines) == 1 and "Relation" in lines[0] for lines in plans)
+    identified = []
+    monkeypatch.setattr(registry.silver, "identify", lambda df, was=registry.silver.identify: identified.append(df) or was(df))
+    rows = registry.QUERIES["unique_violations"](spark, str(tmp_path)).collect()
+    assert len(identified) == 1 and {r.relation for r in rows} == {"bronze"} and max(r.occurrences for r in rows) >= 2

@@ -537,7 +537,8 @@ def quote_search(spark, sf_dir):
     wanted = given.table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query_text")
     )
-    blocks = search.posting_blocks(_texts(spark, sf_dir), "occurrence_id", "quote_text", only=search.query_terms(wanted))
+    terms = search.query_terms(wanted)
+    blocks = search.posting_blocks(_texts(spark, sf_dir), "occurrence_id", "quote_text", only=terms, queries=terms)
     return search.search_index(wanted, blocks, "occurrence_id")
 
 

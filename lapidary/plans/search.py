@@ -20,8 +20,28 @@ def token_index(rows: DataFrame, identity: str, column: str) -> DataFrame:
     return rows.select(F.explode(token_list(F.col(column))).alias("token"), identity)
 
 
+def answering(tokens: DataFrame, identity: str, terms: DataFrame) -> DataFrame:
+    """Rows of ``tokens`` (identity, tokens) whose identity holds the rarest term of some query (query_id, token).
+
+    All others can answer no query. Terms are counted in place, and only the identities that hold a rarest one are brought
+    together; a query with a term that stands nowhere has no answer.
+    """
+    found = tokens.select(F.explode("tokens").alias("token"), identity).join(terms.select("token").distinct(), "token", "left_semi")
+    sized = terms.join(token_frequencies(found), "token", "left").groupBy("query_id")
+    rarest = sized.agg(F.min_by("token", F.struct("texts", "token")).alias("token"), F.bool_and(F.col("texts").isNotNull()).alias("whole"))
+    # Written first, so that the joins see their sizes before the texts are dealt.
+    first = reused(rarest.filter("whole").select("token").distinct())
+    held = reused(found.join(first, "token", "left_semi").select(identity).distinct())
+    return tokens.join(held, identity, "left_semi")
+
+
 def posting_blocks(
-    rows: DataFrame, identity: str, column: str, only: DataFrame | None = None, block: int = BLOCK
+    rows: DataFrame,
+    identity: str,
+    column: str,
+    only: DataFrame | None = None,
+    block: int = BLOCK,
+    queries: DataFrame | None = None,
 ) -> DataFrame:
     """Posting lists in blocks: token, slice, n, first, last, identities (in order).
 
@@ -29,8 +49,12 @@ def posting_blocks(
     as make its blocks about ``block`` identities long; a token in few texts has one block, with the empty slice. The
     block that would hold an identity is thus known by name, so a look-up is an equal join and skips all others.
     ``only``: a column ``token``; no other tokens are indexed. Each text is taken apart once.
+    ``queries``: the terms of queries (query_id, token) that the index is made for; texts that can answer none of them
+    (see ``answering``) are left out, so that the postings of frequent tokens are dealt for few texts.
     """
     tokens = reused(rows.select(identity, token_list(F.col(column)).alias("tokens")))
+    if queries is not None:
+        tokens = reused(answering(tokens, identity, queries))
     postings = tokens.select(F.explode("tokens").alias("token"), F.col(identity).alias("identity"))
     if only is not None:
         postings = postings.join(only.select("token").distinct(), "token", "left_semi")

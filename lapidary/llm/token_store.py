@@ -30,7 +30,7 @@ import os
 import re
 import zlib
 from array import array
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -41,6 +41,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
+from tokenizers.pre_tokenizers import ByteLevel
 
 from lapidary.llm.common import first_by
 
@@ -67,6 +69,14 @@ def pieces_of(text: str) -> list[str]:
     return [f"\0{x}" for x in _PIECE.findall(text)]
 
 
+#: ASCII marks that the tokenizer cuts from a word before them. An apostrophe is none: the tokenizer knows endings with it.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Letters beyond ASCII up to U+024F, which words of Latin script consist of.
+_LETTERS = [x for x in map(chr, range(0x80, 0x250)) if x.isalpha()]
+#: Runs of marks whose ids a worker remembers.
+MARKS = 4096
+
+
 def _text_of(piece: str) -> str:
     return piece[1:] if piece[0] == "\0" else piece if piece == "\n" else f" {piece}"
 
@@ -74,6 +84,9 @@ def _text_of(piece: str) -> str:
 class Encoder:
     """Texts to id bytes. The tokenizers library encodes each distinct piece once while it is remembered.
 
+    Pieces are remembered in two halves: when the newer is full it becomes the older, and a piece that is met again moves
+    to the newer, so that frequent pieces stay known and rare ones go. A word of Latin letters with marks behind it, which
+    the tokenizer itself cuts between the two, goes to the library's BPE model, other pieces to the whole tokenizer.
     With ``special`` the strings of added tokens get those tokens' ids, as the library does by default; such texts are
     encoded whole. Without it they are ordinary text.
     """
@@ -84,28 +97,60 @@ class Encoder:
         self.tokenizer.encode_special_tokens = not special
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.type = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
+        # typecodes H and I are 2 and 4 bytes
+        self.code = "H" if self.type == "<u2" else "I"
+        self.model, cut = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        rule = self.tokenizer.normalizer is None and isinstance(cut, ByteLevel) and cut.use_regex and not cut.add_prefix_space
+        #: Whether a word's ids are those that the model gives for its bytes as the pre-tokenizer writes them.
+        self.by_word = rule and isinstance(self.model, BPE)
+        self.blank, self.letters = "", {}
+        if self.by_word:
+            self.blank, *written = ("".join(x for x, _ in cut.pre_tokenize_str(c)) for c in (" ", *_LETTERS))
+            self.letters = dict(zip(map(ord, _LETTERS), written))
+        self.marks = lru_cache(MARKS)(self._word)
+        self.known, self.older = _Pieces(self), {}
         self.remembered = REMEMBERED
         self.end = np.array([END_ID], self.type).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """All ids of each text and the end id."""
-        whole = {t for t in texts if t and any(x in t for x in self.added)}
-        cut = [pieces_of(t) if t and t not in whole else [] for t in texts]
-        new = list(set(chain.from_iterable(cut)).difference(self.known))
-        if len(self.known) + len(new) > self.remembered:
-            self.known = {}
-            new = list(set(chain.from_iterable(cut)))
-        self.known.update(zip(new, self._coded([_text_of(x) for x in new])))
-        known, apart = self.known.__getitem__, dict(zip(whole, self._coded(list(whole))))
-        return [apart.get(t, b"") + b"".join(map(known, pieces)) + self.end for t, pieces in zip(texts, cut)]
-
-    def _coded(self, texts: list[str]) -> list[bytes]:
-        if not texts:
-            return []
-        # typecodes H and I are 2 and 4 bytes
-        code = "H" if self.type == "<u2" else "I"
-        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if len(self.known) > self.remembered // 2:
+            self.known, self.older = _Pieces(self), self.known
+        return [(self._text(t) if t else b"") + self.end for t in texts]
+
+    def _text(self, text: str) -> bytes:
+        if any(x in text for x in self.added):
+            return self._whole(text)
+        return b"".join(map(self.known.__getitem__, pieces_of(text)))
+
+    def piece(self, piece: str) -> bytes:
+        word = piece.rstrip(_MARKS)
+        bare = word[1:] if word[:1] == "\0" else word
+        if not self.by_word or not bare.isalpha() or not (bare.isascii() or max(bare) <= _LETTERS[-1]):
+            return self._whole(_text_of(piece))
+        coded = bare if bare.isascii() else bare.translate(self.letters)
+        ids = self._word(coded if bare is not word else self.blank + coded)
+        return ids + self.marks(piece[len(word) :]) if len(word) < len(piece) else ids
+
+    def _word(self, word: str) -> bytes:
+        return array(self.code, [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
+
+
+class _Pieces(dict):
+    """Ids of pieces; a piece that is not there is taken from the encoder's older half, else encoded."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.encoder.older.get(piece)
+        if found is None:
+            found = self.encoder.piece(piece)
+        self[piece] = found
+        return found
 
 
 _encoders: dict[str, Encoder] = {}

@@ -86,3 +86,24 @@ def test_added_tokens_in_a_text_have_the_librarys_ids(spark):
     assert 50256 in got[0]
     for i, text in enumerate(texts):
         assert got[i] == ids_of(library, text), repr(text)
+
+
+def test_frequent_pieces_stay_known_and_words_have_the_librarys_ids(tokenizer):
+    encoder, asked = token_store.Encoder(), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer, encoder.remembered = Counted(), 200
+    rng, marks = random.Random(4), "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    letters = [chr(x) for x in range(0x41, 0x280) if chr(x).isalpha()]
+    for n in range(100):
+        words = ["".join(rng.choices(letters, k=rng.randrange(1, 8))) + "".join(rng.choices(marks, k=rng.randrange(4))) for _ in range(20)]
+        texts = [" ".join(["a", "4x2", *words[:10], "4x2"]), "4x2 " + " ".join(words[10:])]
+        for text, data in zip(texts, encoder.encode(texts)):
+            assert np.frombuffer(data, encoder.type).tolist() == ids_of(tokenizer, text), repr(text)
+        assert len(encoder.known) <= encoder.remembered
+    # Some 2,000 pieces went by; the one that came with all of them was encoded once.
+    assert asked.count(" 4x2") == 1
